@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import bpe, sharding
 
 QUERIES = {
     "op2_virtual_slots": sharding.op2_virtual_slots,
+    "op10_bpe": bpe.op10_bpe,
 }
 ORACLES: dict[str, str] = {}
