@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding
+from . import bpe, records, sharding
 
 QUERIES = {
     "op2_virtual_slots": sharding.op2_virtual_slots,
+    "op3_records": records.op3_records,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES: dict[str, str] = {}
