@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, records, sharding
+from . import bpe, packing, records, sharding
 
 QUERIES = {
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op3_records": records.op3_records,
+    "op9_best_fit": packing.op9_best_fit,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES: dict[str, str] = {}
