@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, records, sharding
+from . import bpe, classifier, packing, quality_rules, records, sharding
 
 QUERIES = {
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op3_records": records.op3_records,
     "op5_line_frequency": quality_rules.op5_line_frequency,
+    "op6_quality": classifier.op6_quality,
     "op9_best_fit": packing.op9_best_fit,
     "op10_bpe": bpe.op10_bpe,
 }
