@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, classifier, packing, quality_rules, records, sharding
+from . import bitsliced, bpe, classifier, licenses, packing, quality_rules, records, sharding
 
 QUERIES = {
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op3_records": records.op3_records,
     "op5_line_frequency": quality_rules.op5_line_frequency,
     "op6_quality": classifier.op6_quality,
+    "op7_licences": licenses.op7_licences,
     "op8_top_k": bitsliced.op8_top_k,
     "op9_best_fit": packing.op9_best_fit,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES: dict[str, str] = {
     "op5_line_frequency": quality_rules.ORACLE,
+    "op7_licences": licenses.ORACLE,
     "op8_top_k": bitsliced.ORACLE,
 }
