@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, classifier, licenses, packing, quality_rules, records, sharding
+from . import bitsliced, bpe, classifier, dartminhash, licenses, packing, quality_rules, records, sharding
 
 QUERIES = {
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op3_records": records.op3_records,
+    "op4_near_duplicates": dartminhash.op4_near_duplicates,
     "op5_line_frequency": quality_rules.op5_line_frequency,
     "op6_quality": classifier.op6_quality,
     "op7_licences": licenses.op7_licences,
