@@ -170,7 +170,7 @@ def _bpe(path: str, pattern: str) -> Bpe:
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts, one after another, and where each begins."""
-    memo = tokenizing.memo(("bpe", path, pattern), lambda: _bpe(path, pattern).encode_chunks)
+    memo = tokenizing.memo(("bpe", path, pattern), lambda: _bpe(path, pattern).encode_chunks, tokenizing.alone)
     return memo.ids([tokenizing.spaced_chunks(t) for t in texts])
 
 
@@ -184,8 +184,7 @@ def digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path, pattern)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for ks, texts in tokenizing.slices(keys, batch.column(1).to_pylist()):
+            for ks, texts in tokenizing.slices(batch.column(0), batch.column(1)):
                 ids, at = encode_texts(texts, path, pattern)
                 own = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(

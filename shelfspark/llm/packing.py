@@ -111,7 +111,7 @@ def cut_documents(docs: DataFrame, encode: Callable[[list[str]], tuple[np.ndarra
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for ks, texts in tokenizing.slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ks, texts in tokenizing.slices(batch.column(0), batch.column(1)):
                 ids, at = encode(texts)
                 rows = []
                 for k, a, b in zip(ks, at[:-1], at[1:], strict=True):
@@ -155,7 +155,7 @@ def encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Encodes whole texts with a byte-level file of the tokenizers library."""
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return tokenizing.memo(("byte", path), lambda: tokenizing.byte_level_encoder(path)).ids([tokenizing.spaced_chunks(t) for t in texts])
+        return tokenizing.memo(("byte", path), lambda: tokenizing.byte_level_encoder(path), tokenizing.alone).ids([tokenizing.spaced_chunks(t) for t in texts])
 
     return encode
 

@@ -84,7 +84,7 @@ def write_records(docs: DataFrame, folder: str, encode: Callable[[list[str]], tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype).tobytes()
         for batch in batches:
-            for ks, texts in tokenizing.slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ks, texts in tokenizing.slices(batch.column(0), batch.column(1)):
                 ids, at = encode(texts)
                 own = ids.astype(dtype)
                 yield pa.RecordBatch.from_arrays([pa.array([frame(struct.pack("<q", NULL_KEY if k is None else k) + own[a:b].tobytes() + end) for k, a, b in zip(ks, at[:-1], at[1:], strict=True)], pa.binary())], ["frame"])

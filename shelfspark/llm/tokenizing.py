@@ -11,9 +11,14 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # The code points that Unicode calls White_Space, as the inside of a character class.
 _WIDE = f"\x85\xa0{chr(0x1680)}{chr(0x2000)}-{chr(0x200A)}{chr(0x2028)}{chr(0x2029)}{chr(0x202F)}{chr(0x205F)}{chr(0x3000)}"
@@ -26,56 +31,91 @@ MEMO_ENTRIES = 600_000
 SLICE_CHARS = 1_000_000
 
 
+#: Punctuation that never shares a token with a letter or digit before it.
+ENDINGS = ".,;:!?*$%&#|"
+
+
+@lru_cache(maxsize=10_000)
+def _solid(char: str) -> bool:
+    """Whether a word's last character still ends in a letter or digit in composed lower case, as tokenizers may see it."""
+    return char.isalnum() and unicodedata.normalize("NFC", char).lower()[-1].isalnum()
+
+
 class ChunkMemo(dict):
-    """Chunk to serial number; ids of serial s are flat[starts[s]:starts[s + 1]].
+    """Chunk to serial number, with the ids of each serial.
 
-    encode: gives the id arrays of a list of new chunks.
+    encode: gives the id arrays of a list of new chunks. A chunk that ends in punctuation after a
+    letter or digit is made of the ids of the word and of the punctuation, so that a word is encoded
+    once whatever follows it. ending: the chunk that stands for punctuation right after a word.
     """
 
-    def __init__(self, encode: Callable[[list], list[np.ndarray]], entries: int = MEMO_ENTRIES):
+    def __init__(self, encode: Callable[[list], list[np.ndarray]], ending: Callable[[str], object] = str, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self._encode, self._entries = encode, entries
+        self._encode, self._ending, self._entries = encode, ending, entries
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
         self._new: list = []
-        self._flat, self._starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
-        self._n = self._used = 0
+        self._flat, self._used = np.zeros(1 << 20, np.uint32), 0
+        self._begin, self._size, self._n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
 
     def __missing__(self, chunk) -> int:
         serial = self[chunk] = self._n + len(self._new)
         self._new.append(chunk)
         return serial
 
+    def _add(self, serials: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        total = self._used + len(ids)
+        while len(self._flat) < total:
+            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        self._flat[self._used : total] = ids
+        self._begin[serials] = self._used + np.cumsum(sizes) - sizes
+        self._size[serials] = sizes
+        self._used = total
+
+    def _gather(self, serials: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of serials one after another, and where each ends."""
+        sizes = self._size[serials]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat(self._begin[serials] - (ends - sizes), sizes)
+        return self._flat[at], ends
+
     def _settle(self) -> None:
         """Encode the chunks met since the last call."""
         if not self._new:
             return
-        got = self._encode(self._new)
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        total, n = self._used + int(sizes.sum()), self._n + len(got)
-        while len(self._flat) < total:
-            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
-        while len(self._starts) < n + 1:
-            self._starts = np.concatenate([self._starts, np.zeros_like(self._starts)])
-        self._flat[self._used : total] = np.concatenate(got)
-        self._starts[self._n + 1 : n + 1] = self._used + np.cumsum(sizes)
-        self._n, self._used, self._new = n, total, []
+        whole, made = [], []
+        for serial, chunk in enumerate(self._new[:], self._n):
+            if type(chunk) is str and chunk and chunk[-1] in ENDINGS and (word := chunk.rstrip(ENDINGS)) and _solid(word[-1]):
+                made.append((serial, self[word], self[self._ending(chunk[len(word) :])]))
+            else:
+                whole.append(serial)
+        found = set(whole)
+        done = {m[0] for m in made}
+        whole += [s for s in range(self._n, self._n + len(self._new)) if s not in found and s not in done]
+        n = self._n + len(self._new)
+        while len(self._begin) < n:
+            self._begin, self._size = (np.concatenate([x, np.zeros_like(x)]) for x in (self._begin, self._size))
+        got = self._encode([self._new[s - self._n] for s in whole])
+        self._add(np.array(whole), np.fromiter(map(len, got), np.int64, len(got)), np.concatenate(got))
+        if made:
+            table = np.array(made)
+            ids, ends = self._gather(table[:, 1:].ravel())
+            self._add(table[:, 0], np.diff(ends[1::2], prepend=0), ids)
+        self._n, self._new = n, []
 
     def ids(self, chunked: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, given as chunks, and where each text's ids begin (one more entry: the end)."""
         if len(self) > self._entries:
             self._reset()
-        get = self.__getitem__
         counts = np.fromiter(map(len, chunked), np.int64, len(chunked))
-        serials = np.fromiter((s for chunks in chunked for s in map(get, chunks)), np.int64, int(counts.sum()))
+        serials = np.fromiter(map(self.__getitem__, chain.from_iterable(chunked)), np.int64, int(counts.sum()))
         self._settle()
-        begin, sizes = self._starts[serials], self._starts[serials + 1] - self._starts[serials]
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)
+        ids, ends = self._gather(serials)
         upto = np.concatenate([[0], ends])
-        return self._flat[at], upto[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, upto[np.concatenate([[0], np.cumsum(counts)])]
 
 
 def spaced_chunks(text: str) -> list:
@@ -147,23 +187,30 @@ def byte_level_encoder(path: str) -> Callable[[list], list[np.ndarray]]:
 
 
 def word_level_encoder(path: str) -> Callable[[list], list[np.ndarray]]:
-    """Encodes plain_chunks with a file whose pre-tokenizer drops white space, a NUL word between chunks."""
+    """Encodes plain_chunks with a file whose pre-tokenizer drops white space and marks a word's last token.
+
+    Chunks of letters alone are one word each; they are encoded joined by spaces and told apart by
+    the tokens that end a word.
+    """
     t = _load(path)
+    vocab = t.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    for token, i in vocab.items():
+        ends[i] = token.endswith("</w>")
     one = lambda texts: [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-    nul = one(["\0"])[0]
 
     def encode(chunks: list) -> list[np.ndarray]:
         out: list = [None] * len(chunks)
-        joined = [i for i, c in enumerate(chunks) if "\0" not in c and len(nul) == 1]
-        alone = sorted(set(range(len(chunks))) - set(joined))
+        joined = [i for i, c in enumerate(chunks) if c.isalpha()]
+        alone = [i for i, c in enumerate(chunks) if not c.isalpha()]
         groups = [joined[i : i + GROUP] for i in range(0, len(joined), GROUP)]
-        for group, ids in zip(groups, one([" \0 ".join([chunks[i] for i in g]) for g in groups]), strict=True):
-            cuts = np.flatnonzero(ids == nul[0])
-            if len(cuts) != len(group) - 1:  # some chunk gives the separator's id itself
+        for group, ids in zip(groups, one([" ".join([chunks[i] for i in g]) for g in groups]), strict=True):
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) != len(group) or cuts[-1] != len(ids):  # lower case took some letter apart
                 alone += group
                 continue
-            for i, part in zip(group, np.split(ids, cuts), strict=True):
-                out[i] = part[1:] if i != group[0] else part
+            for i, part in zip(group, np.split(ids, cuts[:-1]), strict=True):
+                out[i] = part
         for i, ids in zip(alone, one([chunks[i] for i in alone]), strict=True):
             out[i] = ids
         return out
@@ -174,18 +221,23 @@ def word_level_encoder(path: str) -> Callable[[list], list[np.ndarray]]:
 _MEMOS: dict = {}
 
 
-def memo(key: tuple, make: Callable[[], Callable[[list], list[np.ndarray]]]) -> ChunkMemo:
-    """The worker's memo of one tokenizer; it outlives tasks."""
+def memo(key: tuple, make: Callable[[], Callable[[list], list[np.ndarray]]], ending: Callable[[str], object] = str) -> ChunkMemo:
+    """The worker's memo of one tokenizer; it outlives tasks. For spaced_chunks ending is `alone`."""
     if key not in _MEMOS:
-        _MEMOS[key] = ChunkMemo(make())
+        _MEMOS[key] = ChunkMemo(make(), ending)
     return _MEMOS[key]
 
 
-def slices(keys: list, texts: list) -> Iterator[tuple[list, list[str]]]:
-    """Rows in slices of about SLICE_CHARS characters, so that chunk lists stay small; null texts become empty."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= SLICE_CHARS or i + 1 == len(texts):
-            yield keys[begin : i + 1], [t or "" for t in texts[begin : i + 1]]
-            begin, size = i + 1, 0
+def alone(text: str) -> tuple[str]:
+    """The chunk of spaced_chunks that stands for a text without a space before it."""
+    return (text,)
+
+
+def slices(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[str]]]:
+    """Rows in slices of about SLICE_CHARS bytes, so that few texts are Python objects at a time; null texts become empty."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + SLICE_CHARS)))
+        yield keys[begin:end].to_pylist(), [t or "" for t in texts[begin:end].to_pylist()]
+        begin = end
