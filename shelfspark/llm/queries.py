@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, classifier, dartminhash, licenses, packing, quality_rules, records, sharding
+from . import bitsliced, bpe, classifier, dartminhash, licenses, line_dedup, packing, quality_rules, records, sharding
 
 QUERIES = {
+    "op1_fuzzy_lines": line_dedup.op1_fuzzy_lines,
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op3_records": records.op3_records,
     "op4_near_duplicates": dartminhash.op4_near_duplicates,

@@ -190,27 +190,36 @@ def word_level_encoder(path: str) -> Callable[[list], list[np.ndarray]]:
     """Encodes plain_chunks with a file whose pre-tokenizer drops white space and marks a word's last token.
 
     Chunks of letters alone are one word each; they are encoded joined by spaces and told apart by
-    the tokens that end a word.
+    the tokens that end a word. On lower-case ASCII letters the file's normalizer and pattern do
+    nothing but cut at the spaces, so such words go through a copy that only does that.
     """
+    from tokenizers import pre_tokenizers
+
     t = _load(path)
+    plain = _load(path)
+    plain.normalizer, plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
     vocab = t.get_vocab()
     ends = np.zeros(max(vocab.values()) + 1, bool)
     for token, i in vocab.items():
         ends[i] = token.endswith("</w>")
-    one = lambda texts: [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    one = lambda texts, t=t: [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(chunks: list) -> list[np.ndarray]:
         out: list = [None] * len(chunks)
-        joined = [i for i, c in enumerate(chunks) if c.isalpha()]
-        alone = [i for i, c in enumerate(chunks) if not c.isalpha()]
-        groups = [joined[i : i + GROUP] for i in range(0, len(joined), GROUP)]
-        for group, ids in zip(groups, one([" ".join([chunks[i] for i in g]) for g in groups]), strict=True):
-            cuts = np.flatnonzero(ends[ids]) + 1
-            if len(cuts) != len(group) or cuts[-1] != len(ids):  # lower case took some letter apart
-                alone += group
-                continue
-            for i, part in zip(group, np.split(ids, cuts[:-1]), strict=True):
-                out[i] = part
+        kinds: tuple[list, list, list] = ([], [], [])
+        for i, c in enumerate(chunks):
+            kinds[0 if not c.isalpha() else 1 if c.isascii() else 2].append(i)
+        alone = kinds[0]
+        for joined, tokenizer in ((kinds[1], plain), (kinds[2], t)):
+            groups = [joined[i : i + GROUP] for i in range(0, len(joined), GROUP)]
+            texts = [" ".join([chunks[i] for i in g]) for g in groups]
+            for group, ids in zip(groups, one([x.lower() for x in texts] if tokenizer is plain else texts, tokenizer), strict=True):
+                cuts = np.flatnonzero(ends[ids]) + 1
+                if len(cuts) != len(group) or cuts[-1] != len(ids):  # lower case took some letter apart
+                    alone += group
+                    continue
+                for i, part in zip(group, np.split(ids, cuts[:-1]), strict=True):
+                    out[i] = part
         for i, ids in zip(alone, one([chunks[i] for i in alone]), strict=True):
             out[i] = ids
         return out
