@@ -49,11 +49,25 @@ def hash_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     number = own - np.searchsorted(ends, starts[text])
     place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
     whole = np.add.reduceat(wordhash.mix(h ^ wordhash.mix((place + 1).astype(np.uint64) * wordhash.GOLDEN)), first)
+    return text, number, wordhash.mix(whole), _simhash(h, first)
+
+
+#: A byte's bits, each in a byte of its own.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
+def _simhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each line, whose words begin at first: every bit that more than half of the words' hashes have.
+
+    Bits are counted eight at a time, in the bytes of a number, over at most 255 words at once.
+    """
     counts = np.diff(np.append(first, len(h)))
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-    sim = np.packbits(2 * sums > counts[:, None], axis=1).reshape(-1).view(np.uint64)
-    return text, number, wordhash.mix(whole), sim
+    parts = -(-counts // 255)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    sums = np.add.reduceat(_SPREAD[h.view(np.uint8)].reshape(-1, 8), np.repeat(first, parts) + 255 * nth, axis=0).view(np.uint8).reshape(-1, 64)
+    if (parts > 1).any():
+        sums = np.add.reduceat(sums, np.cumsum(parts) - parts, axis=0, dtype=np.int32)
+    return np.packbits(2 * sums.astype(np.int32) > counts[:, None], axis=1).reshape(-1).view(np.uint64)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,34 +116,51 @@ def near_in_deal(s: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, int]]:
                 yield int(ranked[at + i]), int(ranked[j])
 
 
+SMALL_DEAL = 64
+
+
+def _near_in_deals(deal: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Positions of near values, pairs x 2, over whole deals in order; small deals of one size are compared together."""
+    order = wordhash.mix(s ^ deal)
+    edges = np.concatenate([[0], np.flatnonzero(deal[1:] != deal[:-1]) + 1, [len(deal)]])
+    sizes, out = np.diff(edges), []
+    for n in np.unique(sizes).tolist():
+        at = edges[:-1][sizes == n]
+        if n > SMALL_DEAL:
+            out += [np.array(list(near_in_deal(s[a : a + n], order[a : a + n])), np.int64).reshape(-1, 2) + a for a in at.tolist()]
+        elif n > 1:
+            for few in np.array_split(at, -(-len(at) * n * n // 2_000_000)):
+                place = few[:, None] + np.arange(n)
+                place = np.take_along_axis(place, np.argsort(order[place], axis=1), axis=1)
+                mine = s[place]
+                near = np.bitwise_count(mine[:, :, None] ^ mine[:, None, :]) <= DISTANCE
+                near &= np.tri(n, k=-1, dtype=bool)
+                near &= np.cumsum(near, axis=2) <= PARTNERS
+                g, i, j = np.nonzero(near)
+                out.append(np.stack([place[g, i], place[g, j]], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
 def _near_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by deal: lead lines of near SimHashes. Values of a deal differ in the bits that are left alone."""
-    deal, values, leads = None, [], []
-
-    def flush() -> pa.RecordBatch | None:
-        if len(values) < 2:
-            return None
-        s, h = np.array(values, np.int64).view(np.uint64), np.array(leads, np.int64)
-        pairs = np.array(list(near_in_deal(s, wordhash.mix(s ^ np.array([deal], np.int64).view(np.uint64)))), np.int64).reshape(-1, 2)
-        if not len(pairs):
-            return None
-        u, v = h[pairs[:, 0]], h[pairs[:, 1]]
+    """Over rows sorted by deal: lead lines of near SimHashes. The last deal of a batch waits for the next batch."""
+    rest = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+
+    def pairs(deal: np.ndarray, s: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
+        found = _near_in_deals(deal, s)
+        u, v = lead[found[:, 0]], lead[found[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     for batch in batches:
-        deals = batch.column(0).to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(deals)) + 1, [len(deals)]]).tolist()
-        s, h = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a < b:
-                if deals[a] != deal:
-                    if (out := flush()) is not None:
-                        yield out
-                    deal, values, leads = deals[a], [], []
-                values += s[a:b]
-                leads += h[a:b]
-    if (out := flush()) is not None:
-        yield out
+        new = [batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
+        rows = [np.concatenate(x) for x in zip(rest, new, strict=True)]
+        if not len(rows[0]):
+            continue
+        whole = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
+        if whole:
+            yield pairs(*(x[:whole] for x in rows))
+        rest = [x[whole:] for x in rows]
+    if len(rest[0]):
+        yield pairs(*rest)
 
 
 def edit_similarity(a: str, b: str) -> float:
@@ -173,15 +204,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[int, str] = {}
-        for text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own, want = normalise(text), set(wanted)
-            lines = own.split(b"\n")
-            _, number, h, _ = hash_lines([own])
-            for n, x in zip(number.tolist(), h.view(np.int64).tolist(), strict=True):
+        for wanted, texts in tokenizing.slices(batch.column(1), batch.column(0)):
+            out: dict[int, str] = {}
+            own = [normalise(t) for t in texts]
+            lines = [t.split(b"\n") for t in own]
+            text, number, h, _ = hash_lines(own)
+            want = set().union(*wanted)
+            for i, n, x in zip(text.tolist(), number.tolist(), h.view(np.int64).tolist(), strict=True):
                 if x in want:
-                    out[x] = b" ".join(lines[n].split()).decode()
-        yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.string())], ["h", "t"])
+                    out[x] = b" ".join(lines[i][n].split()).decode()
+            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.string())], ["h", "t"])
 
 
 def duplicate_lines(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
