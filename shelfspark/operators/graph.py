@@ -25,19 +25,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges are stars already: every u has one smaller v, and no v is a u."""
+    counts = edges.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("d"), F.coalesce(F.every(F.col("v") < F.col("u")), F.lit(True)).alias("down")).first()
+    if counts["n"] != counts["d"] or not counts["down"]:
+        return False
+    return edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (u, v) that is not the least of its component; root is the least.
 
     Minima are combined before each shuffle, and a node with very many neighbours is a side of plain
-    joins that Spark can split. Each round is written to the shared folder; rounds end when nothing
-    moves (logarithmic in the longest chain). Self-loops and null ends are dropped, no edges give no rows.
+    joins that Spark can split. Each round is written to the shared folder; rounds end when the edges
+    are stars (logarithmic in the longest chain). Self-loops and null ends are dropped, no edges give
+    no rows.
     """
-    now = edges.where(F.col("u") != F.col("v")).select("u", "v")
-    before = None
+    least, most = F.least("u", "v"), F.greatest("u", "v")
+    now = workspace.materialize(edges.where(F.col("u") != F.col("v")).select(most.alias("u"), least.alias("v")).distinct(), "components")
     for _ in range(MAX_ROUNDS):
-        now = workspace.materialize(_small_star(_large_star(now)), "components")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before:
+        if _settled(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        now = workspace.materialize(_small_star(_large_star(now)), "components")
     raise RuntimeError("components did not settle")

@@ -72,10 +72,11 @@ def match(docs: DataFrame, q: str, weights: dict[str, float] = FIELD_WEIGHTS, ke
 
 def count_matches(docs: DataFrame, q: str, weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
     """How many documents match: no join, no scores."""
-    has = [F.exists(F.flatten(F.array(*[tokens(f) for f, _ in _fields(docs, weights)])), lambda x, t=t: x.startswith(t)) for t in params.terms(q)]
+    every = F.flatten(F.array(*[tokens(f) for f, _ in _fields(docs, weights)]))
+    has = lambda t: F.exists(every, lambda x: x.startswith(t))
     out = docs
-    for h in has:
-        out = out.where(h)
+    for t in params.terms(q):
+        out = out.where(has(t))
     return out.agg(F.count(F.lit(1)).alias("total"))
 
 

@@ -201,6 +201,17 @@ def match_lists(items: DataFrame, records: DataFrame, work_of: DataFrame) -> Dat
     return found.withColumn("work_id", F.when(slot == 1, F.col("work_id")))
 
 
+DERIVED = ("editions", "works", "work_genres", "work_authors", "authors", "genres", "publishers", "languages", "series", "works_fts", "slugs")
+
+
+def derive(editions: DataFrame) -> dict[str, DataFrame]:
+    """The tables that follow from grouped editions."""
+    all_works, glinks, alinks = works(editions), work_genres(editions), work_authors(editions)
+    people = authors(editions, alinks)
+    tables = (editions, all_works, glinks, alinks, people, genres(glinks), value_counts(editions, "publisher"), value_counts(editions, "language"), series_pages(all_works), pooled_text(editions, glinks), work_slugs(all_works, alinks, people))
+    return dict(zip(DERIVED, tables, strict=True))
+
+
 def build(records: DataFrame, merges: DataFrame | None = None, splits: DataFrame | None = None, **side) -> dict[str, DataFrame]:
     """All tables from raw records. Grouping sees validated languages and the authors as catalogued."""
     live = records.where(F.col("ppn").isNotNull()) if "removed_at" not in records.columns else records.where(F.col("ppn").isNotNull() & F.col("removed_at").isNull())
@@ -208,13 +219,11 @@ def build(records: DataFrame, merges: DataFrame | None = None, splits: DataFrame
         live = live.withColumn("related_ppns", F.lit(None).cast("array<string>"))
     work_of = grouping.group_editions(live.withColumn("language", text.valid_language("language")), merges, splits)
     editions = transform(records, **side).join(work_of, "ppn")
-    all_works, glinks, alinks = works(editions), work_genres(editions), work_authors(editions)
-    people = authors(editions, alinks)
-    out = {"editions": editions, "works": all_works, "work_genres": glinks, "work_authors": alinks, "authors": people, "genres": genres(glinks), "publishers": value_counts(editions, "publisher"), "languages": value_counts(editions, "language"), "series": series_pages(all_works), "works_fts": pooled_text(editions, glinks), "slugs": work_slugs(all_works, alinks, people)}
+    out = derive(editions)
     if "genres" in records.columns:
         parents = genre_parents(live)
         out["genre_parents"] = parents
-        out["genre_pages"], out["genre_tree"] = genre_taxonomy(glinks, parents, all_works)
+        out["genre_pages"], out["genre_tree"] = genre_taxonomy(out["work_genres"], parents, out["works"])
     return out
 
 

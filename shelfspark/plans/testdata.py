@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark import workspace
+from shelfspark.plans import catalog
 from shelfspark.session import table
 
 AUTHORS = ("Anna Vrij", "Bob de Wit", "Bob De Wit", "Buren, van", "Øyvind Strøm", "Cara Licht | Bernlef", "Élodie Noël (red.)", None)
@@ -70,3 +72,19 @@ def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 50 == 0, F.array(ppn(d + 1))).alias("related_ppns"),
         F.array(F.concat(F.lit("Genre "), (F.length(line) % 6).cast("string")), second).alias("subjects"),
     )
+
+
+_SNAPSHOTS: dict[tuple[str, str], str] = {}
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The published catalog of documents: built and written once a session, read by every page and report."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SNAPSHOTS:
+        folder = workspace.new_path(spark, "catalog")
+        built = catalog.build(editions(spark, sf_dir))
+        # Later tables are derived from the written editions, so the grouping runs once.
+        first = workspace.materialize(built["editions"], "editions")
+        catalog.publish(catalog.derive(first), folder, "v1")
+        _SNAPSHOTS[key] = folder
+    return {name: catalog.read_published(spark, _SNAPSHOTS[key], name) for name in catalog.DERIVED}

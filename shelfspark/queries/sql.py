@@ -49,11 +49,11 @@ GROUPED_SQL = f"""{EDITIONS_SQL}, keyed AS (
   SELECT ppn, format, related, {fold(strip_noise('title'))} AS tkey, {surname(first_author('author'))} AS skey, {fold('language')} AS lang FROM editions
 ), heads AS (
   SELECT tkey, coalesce(skey, '') AS skey, lang, min(ppn) AS head FROM keyed WHERE tkey <> '' AND lang <> '' GROUP BY ALL
-), only AS (
+), lone AS (
   SELECT tkey, skey, min(head) AS head FROM heads GROUP BY ALL HAVING count(*) = 1
 ), edges AS (
   SELECT ppn AS u, head AS v FROM keyed JOIN heads ON keyed.tkey = heads.tkey AND coalesce(keyed.skey, '') = heads.skey AND keyed.lang = heads.lang
-  UNION SELECT ppn, head FROM keyed JOIN only ON keyed.tkey = only.tkey AND coalesce(keyed.skey, '') = only.skey WHERE lang = '' AND keyed.tkey <> ''
+  UNION SELECT ppn, head FROM keyed JOIN lone ON keyed.tkey = lone.tkey AND coalesce(keyed.skey, '') = lone.skey WHERE lang = '' AND keyed.tkey <> ''
   UNION SELECT ppn, related FROM keyed WHERE related IN (SELECT ppn FROM keyed)
 ), both_ways AS (
   SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v
