@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import classifier, dartminhash, line_dedup, packing, quality_rules, workspace
+from shelfspark import workspace
+from shelfspark.llm import classifier, dartminhash, line_dedup, packing, quality_rules
 
 ORACLE_SQL = None  # a trained model, SimHash lines and tokenised lengths have no SQL form; tests/llm checks every stage
 

@@ -26,7 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph, tokenizing, wordhash, workspace
+from shelfspark import workspace
+from shelfspark.operators import graph
+
+from . import tokenizing, wordhash
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5

@@ -21,7 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph, tokenizing, wordhash, workspace
+from shelfspark import workspace
+from shelfspark.operators import graph
+
+from . import tokenizing, wordhash
 
 DISTANCE, SIMILARITY = 3, 0.8
 #: A SimHash meets this many near ones of each deal, the first in the deal's own random order.

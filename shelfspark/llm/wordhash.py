@@ -64,7 +64,7 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each word on; the last n - 1 entries mean nothing."""
     out = h.copy()
-    for k in range(1, n):
+    for k in range(1, min(n, len(h))):
         out[: len(h) - k] = mix(out[: len(h) - k] * GOLDEN + h[k:])
     return out
 
