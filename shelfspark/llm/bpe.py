@@ -140,7 +140,7 @@ class Bpe:
         a, b = self._merged_from(i)
         return self.token[a] + self.token[b] == self.token[i]
 
-    def encode_chunks(self, chunks: list) -> list[np.ndarray]:
+    def encode_chunks(self, chunks: list) -> Iterator[tokenizing.Batch]:
         """Ids of chunks as tokenizing.spaced_chunks gives them."""
         out = []
         for c in chunks:
@@ -152,7 +152,7 @@ class Bpe:
                     ids = self._words[word] = np.array(self.encode_word(word.encode()), np.uint32)
                 parts.append(ids)
             out.append(parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint32))
-        return out
+        yield tokenizing.batch(list(range(len(out))), out)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids."""

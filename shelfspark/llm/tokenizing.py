@@ -35,6 +35,10 @@ SLICE_CHARS = 1_000_000
 ENDINGS = ".,;:!?*$%&#|"
 
 
+Batch = tuple[np.ndarray, np.ndarray, np.ndarray]
+Encode = Callable[[list], Iterator[Batch]]
+
+
 @lru_cache(maxsize=10_000)
 def _solid(char: str) -> bool:
     """Whether a word's last character still ends in a letter or digit in composed lower case, as tokenizers may see it."""
@@ -44,12 +48,13 @@ def _solid(char: str) -> bool:
 class ChunkMemo(dict):
     """Chunk to serial number, with the ids of each serial.
 
-    encode: gives the id arrays of a list of new chunks. A chunk that ends in punctuation after a
+    encode: gives batches of a list of new chunks: their positions in it, their ids one after another
+    and how many each has. A chunk that ends in punctuation after a
     letter or digit is made of the ids of the word and of the punctuation, so that a word is encoded
     once whatever follows it. ending: the chunk that stands for punctuation right after a word.
     """
 
-    def __init__(self, encode: Callable[[list], list[np.ndarray]], ending: Callable[[str], object] = str, entries: int = MEMO_ENTRIES):
+    def __init__(self, encode: Encode, ending: Callable[[str], object] = str, entries: int = MEMO_ENTRIES):
         super().__init__()
         self._encode, self._ending, self._entries = encode, ending, entries
         self._reset()
@@ -98,8 +103,9 @@ class ChunkMemo(dict):
         n = self._n + len(self._new)
         while len(self._begin) < n:
             self._begin, self._size = (np.concatenate([x, np.zeros_like(x)]) for x in (self._begin, self._size))
-        got = self._encode([self._new[s - self._n] for s in whole])
-        self._add(np.array(whole), np.fromiter(map(len, got), np.int64, len(got)), np.concatenate(got))
+        serials = np.array(whole, np.int64)
+        for at, ids, sizes in self._encode([self._new[s - self._n] for s in whole]):
+            self._add(serials[at], sizes, ids)
         if made:
             table = np.array(made)
             ids, ends = self._gather(table[:, 1:].ravel())
@@ -151,7 +157,17 @@ def _load(path: str):
 GROUP = 1000
 
 
-def byte_level_encoder(path: str) -> Callable[[list], list[np.ndarray]]:
+def batch(positions: list[int], ids: list) -> Batch:
+    """The ids of some chunks, each given as a list or array."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.array(positions, np.int64), np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+
+def _groups(positions: list[int]) -> list[list[int]]:
+    return [positions[i : i + GROUP] for i in range(0, len(positions), GROUP)]
+
+
+def byte_level_encoder(path: str) -> Encode:
     """Encodes spaced_chunks with a byte-level BPE file of the tokenizers library.
 
     Chunks that begin with a space are encoded joined, since the split between them is certain, and
@@ -162,67 +178,64 @@ def byte_level_encoder(path: str) -> Callable[[list], list[np.ndarray]]:
     width = np.zeros(max(vocab.values()) + 1, np.int64)
     for token, i in vocab.items():
         width[i] = len(token)  # one character of a byte-level token is one byte
-    one = lambda texts: [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    encoded = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(chunks: list) -> list[np.ndarray]:
-        out: list = [None] * len(chunks)
-        joined = [i for i, c in enumerate(chunks) if type(c) is str]
+    def encode(chunks: list) -> Iterator[Batch]:
         alone = [i for i, c in enumerate(chunks) if type(c) is not str]
-        for i, ids in zip(alone, one([chunks[i][0] for i in alone]), strict=True):
-            out[i] = ids
-        groups = [joined[i : i + GROUP] for i in range(0, len(joined), GROUP)]
-        for group, ids in zip(groups, one(["".join([f" {chunks[i]}" for i in g]) for g in groups]), strict=True):
+        if alone:
+            yield batch(alone, encoded([chunks[i][0] for i in alone]))
+        groups = _groups([i for i, c in enumerate(chunks) if type(c) is str])
+        for group, got in zip(groups, encoded([" " + " ".join([chunks[i] for i in g]) for g in groups]), strict=True):
+            ids = np.array(got, np.uint32)
             ends = np.cumsum([1 + len(chunks[i].encode()) for i in group])
             upto = np.cumsum(width[ids])
             cuts = np.searchsorted(upto, ends) + 1
-            if len(ids) and (upto[-1] != ends[-1] or (upto[cuts - 1] != ends).any()):  # a token over a cut: not with these splits
-                parts = one([f" {chunks[i]}" for i in group])
+            if not len(ids) or upto[-1] != ends[-1] or (upto[cuts - 1] != ends).any():  # a token over a cut: not with these splits
+                yield batch(group, encoded([f" {chunks[i]}" for i in group]))
             else:
-                parts = np.split(ids, cuts[:-1])
-            for i, part in zip(group, parts, strict=True):
-                out[i] = part
-        return out
+                yield np.array(group), ids, np.diff(cuts, prepend=0)
 
     return encode
 
 
-def word_level_encoder(path: str) -> Callable[[list], list[np.ndarray]]:
+def word_level_encoder(path: str) -> Encode:
     """Encodes plain_chunks with a file whose pre-tokenizer drops white space and marks a word's last token.
 
     Chunks of letters alone are one word each; they are encoded joined by spaces and told apart by
-    the tokens that end a word. On lower-case ASCII letters the file's normalizer and pattern do
-    nothing but cut at the spaces, so such words go through a copy that only does that.
+    the tokens that end a word. On composed letters in lower case the file's normalizer and pattern
+    do nothing but cut at the spaces, so words that Python's lower case makes such (all but those
+    with a capital sigma, which it treats by context) go through a copy that only does that.
     """
     from tokenizers import pre_tokenizers
 
     t = _load(path)
     plain = _load(path)
-    plain.normalizer, plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+    plain.normalizer = None
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     vocab = t.get_vocab()
     ends = np.zeros(max(vocab.values()) + 1, bool)
     for token, i in vocab.items():
         ends[i] = token.endswith("</w>")
-    one = lambda texts, t=t: [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    encoded = lambda texts, t=t: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(chunks: list) -> list[np.ndarray]:
-        out: list = [None] * len(chunks)
+    def encode(chunks: list) -> Iterator[Batch]:
         kinds: tuple[list, list, list] = ([], [], [])
         for i, c in enumerate(chunks):
-            kinds[0 if not c.isalpha() else 1 if c.isascii() else 2].append(i)
+            simple = c.isascii() or "\u03a3" not in c and unicodedata.is_normalized("NFC", c) and c.lower().isalpha()
+            kinds[0 if not c.isalpha() else 1 if simple else 2].append(i)
         alone = kinds[0]
         for joined, tokenizer in ((kinds[1], plain), (kinds[2], t)):
-            groups = [joined[i : i + GROUP] for i in range(0, len(joined), GROUP)]
+            groups = _groups(joined)
             texts = [" ".join([chunks[i] for i in g]) for g in groups]
-            for group, ids in zip(groups, one([x.lower() for x in texts] if tokenizer is plain else texts, tokenizer), strict=True):
+            for group, got in zip(groups, encoded([x.lower() for x in texts] if tokenizer is plain else texts, tokenizer), strict=True):
+                ids = np.array(got, np.uint32)
                 cuts = np.flatnonzero(ends[ids]) + 1
                 if len(cuts) != len(group) or cuts[-1] != len(ids):  # lower case took some letter apart
                     alone += group
-                    continue
-                for i, part in zip(group, np.split(ids, cuts[:-1]), strict=True):
-                    out[i] = part
-        for i, ids in zip(alone, one([chunks[i] for i in alone]), strict=True):
-            out[i] = ids
-        return out
+                else:
+                    yield np.array(group), ids, np.diff(cuts, prepend=0)
+        if alone:
+            yield batch(alone, encoded([chunks[i] for i in alone]))
 
     return encode
 
@@ -230,10 +243,10 @@ def word_level_encoder(path: str) -> Callable[[list], list[np.ndarray]]:
 _MEMOS: dict = {}
 
 
-def memo(key: tuple, make: Callable[[], Callable[[list], list[np.ndarray]]], ending: Callable[[str], object] = str) -> ChunkMemo:
+def memo(key: tuple, make: Callable[[], Encode], ending: Callable[[str], object] = str, entries: int = MEMO_ENTRIES) -> ChunkMemo:
     """The worker's memo of one tokenizer; it outlives tasks. For spaced_chunks ending is `alone`."""
     if key not in _MEMOS:
-        _MEMOS[key] = ChunkMemo(make(), ending)
+        _MEMOS[key] = ChunkMemo(make(), ending, entries)
     return _MEMOS[key]
 
 
