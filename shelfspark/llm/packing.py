@@ -25,6 +25,8 @@ from shelfspark import workspace
 from . import tokenizing
 
 CAPACITY = 1024
+#: Chunks that a worker remembers; a task here holds little else.
+MEMO_ENTRIES = 1_500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -157,7 +159,7 @@ def encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Encodes whole texts with a byte-level file of the tokenizers library."""
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return tokenizing.memo(("byte", path), lambda: tokenizing.byte_level_encoder(path), tokenizing.alone).ids([tokenizing.spaced_chunks(t) for t in texts])
+        return tokenizing.memo(("byte", path), lambda: tokenizing.byte_level_encoder(path), tokenizing.alone, MEMO_ENTRIES).ids([tokenizing.spaced_chunks(t) for t in texts])
 
     return encode
 
