@@ -1,8 +1,8 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence a group.
 
 Lines are normalised (lower case, ASCII punctuation left out, single spaces). Equal normalised lines
-are one node. A node's SimHash has 64 bits, summed over its words. Nodes of one SimHash meet a node
-drawn from among them; different SimHashes within DISTANCE bits are found by the pigeonhole rule: of
+are one node. A node's SimHash has 64 bits, summed over its words. Nodes of one SimHash meet two leaders
+drawn from among them, which also stand for it among other SimHashes; different SimHashes within DISTANCE bits are found by the pigeonhole rule: of
 m blocks at least m - DISTANCE agree, so values are dealt out by every choice of that many blocks and
 compared with the others that were dealt the same. m depends on how many values there are (the more,
 the more bits must agree) and never changes what is found. Pairs are verified by the edit similarity
@@ -28,7 +28,7 @@ from . import tokenizing, wordhash
 
 DISTANCE, SIMILARITY = 3, 0.8
 #: A SimHash meets this many near ones of each deal, the first in the deal's own random order.
-PARTNERS = 4
+PARTNERS = 8
 LINES = "row long, doc_id long, line int, h long, s long"
 
 
@@ -145,16 +145,16 @@ def _near_in_deals(deal: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def _near_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by deal: lead lines of near SimHashes. The last deal of a batch waits for the next batch."""
-    rest = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+    """Over rows sorted by deal: near SimHashes s, t. The last deal of a batch waits for the next batch."""
+    rest = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
-    def pairs(deal: np.ndarray, s: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
+    def pairs(deal: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
         found = _near_in_deals(deal, s)
-        u, v = lead[found[:, 0]], lead[found[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        a, b = s.view(np.int64)[found[:, 0]], s.view(np.int64)[found[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["s", "t"])
 
     for batch in batches:
-        new = [batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
+        new = [c.to_numpy().view(np.uint64) for c in batch.columns]
         rows = [np.concatenate(x) for x in zip(rest, new, strict=True)]
         if not len(rows[0]):
             continue
@@ -232,21 +232,25 @@ def duplicate_lines(docs: DataFrame, row: str | None = None) -> tuple[DataFrame,
     lines = workspace.materialize(read.mapInArrow(_digest, LINES), "lines")
     nodes = lines.groupBy("h").agg(F.min("s").alias("s"), F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = workspace.materialize(nodes, "line_nodes")
-    # Equal SimHashes: each node and one drawn from among them.
-    values = workspace.materialize(nodes.groupBy("s").agg(F.min_by("h", F.xxhash64("h")).alias("lead"), F.count(F.lit(1)).alias("n")), "simhashes")
-    equal = nodes.select("h", "s").join(values.where("n > 1").select("s", "lead"), "s").where(F.col("h") != F.col("lead")).select(F.least("h", "lead").alias("u"), F.greatest("h", "lead").alias("v"))
+    # Equal SimHashes: each node and two leaders drawn from among them.
+    drawn = F.xxhash64("h")
+    values = workspace.materialize(nodes.groupBy("s").agg(F.min_by("h", drawn).alias("a"), F.max_by("h", drawn).alias("b"), F.count(F.lit(1)).alias("n")), "simhashes")
+    equal = nodes.select("h", "s").join(values.where("n > 1").select("s", "a", "b"), "s").select(F.col("h").alias("u"), F.explode(F.array("a", "b")).alias("v"))
     m, agree = plan_blocks(values.count())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, lead = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            s = batch.column(0).to_numpy()
             deals = _deal(s.view(np.uint64), m, agree).view(np.int64)
-            n = deals.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(deals.ravel()), pa.array(np.repeat(s, n)), pa.array(np.repeat(lead, n))], ["deal", "s", "lead"])
-
-    dealt = values.select("s", "lead").mapInArrow(deal, "deal long, s long, lead long")
-    near = dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(_near_values, "u long, v long")
-    pairs = workspace.materialize(equal.unionByName(near).distinct(), "line_pairs")
+            yield pa.RecordBatch.from_arrays([pa.array(deals.ravel()), pa.array(np.repeat(s, deals.shape[1]))], ["deal", "s"])
+
+    dealt = values.select("s").mapInArrow(deal, "deal long, s long")
+    near = dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(_near_values, "s long, t long").distinct()
+    leaders = values.select("s", "a", "b")
+    near = near.join(leaders, "s").join(leaders.select(F.col("s").alias("t"), F.col("a").alias("c"), F.col("b").alias("d")), "t")
+    near = near.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("c").alias("v")), F.struct(F.col("b").alias("u"), F.col("d").alias("v")))).alias("p")).select("p.u", "p.v")
+    met = equal.unionByName(near).where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    pairs = workspace.materialize(met.distinct(), "line_pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct().join(nodes.select("h", F.col("first.doc_id").alias("doc_id")), "h")
     wanted = workspace.materialize(ends.groupBy("doc_id").agg(F.collect_list("h").alias("wanted")), "wanted_lines")
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(workspace.broadcast_if_small(wanted), "doc_id").select("text", "wanted")
