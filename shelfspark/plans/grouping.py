@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark import workspace
 from shelfspark.functions import text
 from shelfspark.operators import graph
 
@@ -46,7 +47,8 @@ def group_editions(editions: DataFrame, merges: DataFrame | None = None, splits:
     else, so the first keeps the group.
     """
     known = editions.select("ppn")
-    parts = [bucket_edges(work_keys(editions)), link_edges(editions)]
+    keys = workspace.materialize(work_keys(editions), "work_keys")  # folded once, read by several joins
+    parts = [bucket_edges(keys), link_edges(editions)]
     if merges is not None:
         held = merges.select(F.col("a").alias("u"), F.col("b").alias("v"))
         parts.append(held.join(known.withColumnRenamed("ppn", "u"), "u", "left_semi").join(known.withColumnRenamed("ppn", "v"), "v", "left_semi"))
