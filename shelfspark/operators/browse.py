@@ -164,6 +164,31 @@ def lists_of(works_page: DataFrame, work_lists: DataFrame) -> DataFrame:
     return held.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("position", "slug"))).alias("lists"))
 
 
+def author_lists(works: DataFrame, work_lists: DataFrame, lists: DataFrame) -> DataFrame:
+    """slug, name, year of every list that a shelf's books are on, each once, newest year first."""
+    held = work_lists.join(works.select("work_id"), "work_id", "left_semi").groupBy("slug").agg(F.max("year").alias("year"))
+    return held.join(lists.select("slug", "name"), "slug").orderBy(F.col("year").desc_nulls_last(), "slug").select("slug", "name", "year")
+
+
+def audiences(tree: DataFrame) -> DataFrame:
+    """Audiences that have a genre at all."""
+    return tree.select("audience").distinct().orderBy(F.desc("audience"))
+
+
+def browse_paths(authors: DataFrame, series: DataFrame, genre_pages: DataFrame, publisher_pages_: DataFrame) -> DataFrame:
+    """Paths of the browse sitemap: hubs, letters, and every page that gathers enough titles."""
+    spark = authors.sparkSession
+    hubs = spark.createDataFrame([(x,) for x in ("/auteurs", "/genres", "/e-books", "/luisterboeken")], "path string")
+    under = lambda root, df, slug: df.select(F.concat(F.lit(f"/{root}/"), slug).alias("path"))
+    letters = under("auteurs", letter_counts(authors), F.lower("letter"))
+    people = under("auteur", indexable(authors.where(F.col("first_sort") != "").withColumnRenamed("n_works", "titles")), F.col("first_sort"))
+    rest = [under(root, indexable(df), F.col("slug")) for root, df in (("reeks", series), ("genre", genre_pages), ("uitgever", publisher_pages_))]
+    out = hubs.unionByName(letters).unionByName(people)
+    for df in rest:
+        out = out.unionByName(df)
+    return out
+
+
 def dashboard_counts(works: DataFrame, editions: DataFrame, authors: DataFrame, publishers: DataFrame) -> DataFrame:
     """Catalog totals at both grains, one row."""
     one = lambda df, *aggs: df.agg(*aggs)

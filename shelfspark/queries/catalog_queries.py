@@ -76,6 +76,48 @@ def _spelled(s, d):
     return _build(s, d)["works_fts"].select("work_id", F.md5(F.concat_ws("|", "title", "author", "subjects")).alias("digest"))
 
 
+def _tagged(s, d):
+    code = F.substring_index(F.col("subjects")[0], " ", -1)
+    top = F.struct(F.concat(code, F.lit(".0")).alias("code"), F.col("subjects")[0].alias("name"))
+    sub = F.struct(F.concat(code, F.lit("."), (F.substring_index(F.col("subjects")[1], " ", -1).cast("int") + 1).cast("string")).alias("code"), F.col("subjects")[1].alias("name"))
+    return editions(s, d).select("ppn", "audience", F.array(top, sub).alias("genres"))
+
+
+def _taxonomy(s, d):
+    t = _build(s, d)
+    return catalog.genre_taxonomy(t["work_genres"], catalog.genre_parents(_tagged(s, d)), t["works"])
+
+
+def _browse_paths(s, d):
+    t = _build(s, d)
+    return browse.browse_paths(t["authors"], t["series"], _taxonomy(s, d)[0], browse.publisher_pages(t["publishers"]))
+
+
+_PARENTS = """, tagged AS (
+  SELECT lower(trim(coalesce(audience, ''))) AS aud, ppn, unnest([1, 2]) AS pos, unnest(subjects) AS genre,
+    unnest([string_split(subjects[1], ' ')[-1] || '.0', string_split(subjects[1], ' ')[-1] || '.' || (string_split(subjects[2], ' ')[-1]::INTEGER + 1)]) AS code FROM editions
+), coded AS (
+  SELECT aud, genre, arg_min(code, (ppn, pos)) AS code, count(*) AS n FROM tagged GROUP BY ALL
+), tops AS (
+  SELECT aud, code, arg_min(genre, (-n, genre)) AS parent FROM coded GROUP BY ALL
+), parents AS (
+  SELECT c.aud AS audience, c.genre, t.parent FROM coded c JOIN tops t ON t.aud = c.aud AND t.code = string_split(c.code, '.')[1] || '.0' WHERE string_split(c.code, '.')[2] <> '0' AND t.parent <> c.genre
+)"""
+_TREES = f"""{_PARENTS}, placed AS (
+  SELECT g.work_id, g.genre, {sql.slug('g.genre')} AS slug, {sql.slug('parent')} AS pslug, CASE WHEN lower(w.audience) = 'jeugd' THEN 'jeugd' ELSE 'volwassenen' END AS aud
+  FROM work_genres g JOIN works w USING (work_id) LEFT JOIN parents p ON p.genre = g.genre AND p.audience = lower(coalesce(w.audience, ''))
+), genre_pages AS (
+  SELECT slug, name, titles, CASE WHEN parent <> slug THEN parent ELSE '' END AS parent_slug
+  FROM (SELECT slug, arg_min(genre, (-length(genre), genre)) AS name, count(DISTINCT work_id) AS titles FROM placed GROUP BY slug)
+  JOIN (SELECT slug, arg_min(pslug, (-n, pslug)) AS parent FROM (SELECT slug, pslug, count(*) AS n FROM placed GROUP BY ALL) GROUP BY slug) USING (slug)
+), per AS (
+  SELECT aud, slug, count(DISTINCT work_id) AS titles FROM placed GROUP BY ALL
+), genre_tree AS (
+  SELECT per.aud AS audience, per.slug, coalesce(parent, '') AS parent_slug, titles FROM per LEFT JOIN (
+    SELECT aud, slug, arg_min(pslug, (-n, pslug)) AS parent FROM (SELECT aud, slug, pslug, count(*) AS n FROM placed WHERE pslug <> '' AND pslug <> slug AND (aud, pslug) IN (SELECT (aud, slug) FROM per) GROUP BY ALL) GROUP BY ALL) USING (aud, slug)
+)"""
+_PAGES = "SELECT replace(name_fold, ' ', '-') AS slug, sum(n) AS titles FROM publishers WHERE name_fold <> '' GROUP BY ALL"
+_SERIES = f"SELECT {sql.slug('series')} AS slug, count(*) AS titles FROM works WHERE series <> '' GROUP BY ALL"
 _PICK = "SELECT work_id, title, author, md5(summary) AS summary, publisher, year, language, series, series_no, audience, keywords, has_ebook, has_audiobook, ereader, ebook_ppn, audiobook_ppn, n_editions, added_rank FROM works"
 _LIMITED = lambda kind, col, frm, n: f"SELECT '{kind}' AS kind, value FROM (SELECT {col} AS value FROM {frm} LIMIT {n})"
 
@@ -113,6 +155,13 @@ ALL = {
     "genre_spellings": (lambda s, d: browse.genre_spellings(_build(s, d)["genres"], "onderwerp-1"), sql.with_catalog(f"SELECT name FROM genres WHERE {sql.fold('name')} = 'onderwerp 1'")),
     "sitemap_pages": (lambda s, d: browse.sitemap_pages(editions(s, d).withColumnRenamed("ppn", "work_id"), 100), "SELECT lpad(doc_id::VARCHAR, 9, '0') AS work_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 100 + 1)::BIGINT AS page FROM documents"),
     "leading_editions": (lambda s, d: browse.leading_editions(_build(s, d)["editions"]), sql.with_catalog("SELECT work_id, format, min(ppn) AS ppn FROM enriched GROUP BY ALL")),
+    "genre_parents": (lambda s, d: catalog.genre_parents(_tagged(s, d)), f"WITH {sql.EDITIONS_SQL}{_PARENTS} SELECT * FROM parents"),
+    "genre_pages": (lambda s, d: _taxonomy(s, d)[0], f"WITH RECURSIVE {sql.CATALOG_SQL}{_TREES} SELECT * FROM genre_pages"),
+    "genre_tree": (lambda s, d: _taxonomy(s, d)[1], f"WITH RECURSIVE {sql.CATALOG_SQL}{_TREES} SELECT * FROM genre_tree"),
+    "genre_children": (lambda s, d: browse.genre_children(_taxonomy(s, d)[0], ""), f"WITH RECURSIVE {sql.CATALOG_SQL}{_TREES} SELECT slug, name, titles FROM genre_pages WHERE parent_slug = ''"),
+    "browse_sitemap": (_browse_paths, f"""WITH RECURSIVE {sql.CATALOG_SQL}{_TREES} SELECT unnest(['/auteurs', '/genres', '/e-books', '/luisterboeken']) AS path UNION ALL SELECT DISTINCT '/auteurs/' || lower(surname_letter) FROM authors
+      UNION ALL SELECT '/auteur/' || first_sort FROM authors WHERE n_works >= 2 UNION ALL SELECT '/reeks/' || slug FROM ({_SERIES}) WHERE titles >= 2
+      UNION ALL SELECT '/genre/' || slug FROM genre_pages WHERE titles >= 2 UNION ALL SELECT '/uitgever/' || slug FROM ({_PAGES}) WHERE titles >= 2"""),
     "series_sniff": (lambda s, d: catalog.transform(editions(s, d).drop("series", "series_no").withColumn("title", F.concat(F.lit("Reeks "), (F.col("doc_id") % 9).cast("string"), F.lit(": deel "), (F.col("doc_id") % 5).cast("string")))).select("ppn", "series", "series_no"), sql.with_editions("SELECT ppn, 'Reeks ' || (doc_id % 9) AS series, (doc_id % 5)::INTEGER AS series_no FROM editions")),
 }
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/shelfspark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/shelfspark/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the intermediates made inside at its end. A path taken off the list that it gives stays."""
+    mine: list[str] = []
+    _SCOPES.append(mine)
+    try:
+        yield mine
+    finally:
+        _SCOPES.remove(mine)
+        for path in mine:
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
