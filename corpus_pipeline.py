@@ -51,8 +51,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. A stage's intermediates, and its input but the first, go once its output is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = workspace.materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        out = workspace.new_path(spark, name.replace(" ", "_"))
+        with workspace.scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
+        if last:
+            workspace.remove(spark, last)
+        docs, last = spark.read.parquet(out), out
     return docs
