@@ -166,22 +166,23 @@ def _near_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(*rest)
 
 
-def edit_similarity(a: str, b: str) -> float:
-    """1 less the edit distance by the longer length; the bit-parallel algorithm after equal ends are cut off."""
-    longest = max(len(a), len(b))
-    if not longest:
-        return 1.0
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
+def _trimmed(a, b) -> tuple:
+    """Two sequences without their equal ends."""
+    head, most = 0, min(len(a), len(b))
+    while head < most and a[head] == b[head]:
         head += 1
-    a, b = a[head:], b[head:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    tail = 0
+    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    return a[head : len(a) - tail], b[head : len(b) - tail]
+
+
+def _distance(a, b) -> int:
+    """Edit distance of two sequences, bit-parallel over the first."""
+    a, b = _trimmed(a, b)
     if not a or not b:
-        return 1 - max(len(a), len(b)) / longest
-    if abs(len(a) - len(b)) > (1 - SIMILARITY) * longest + 1e-6:
-        return 1 - abs(len(a) - len(b)) / longest  # an upper bound, below the threshold
-    where: dict[str, int] = {}
+        return max(len(a), len(b))
+    where: dict = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, top, distance = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
@@ -195,13 +196,35 @@ def edit_similarity(a: str, b: str) -> float:
         up, down = up << 1 | 1, down << 1
         plus = (down | ~(diagonal | up)) & full
         minus = up & diagonal & full
-    return 1 - distance / longest
+    return distance
+
+
+def edit_similarity(a: str, b: str) -> float:
+    """1 less the edit distance by the longer length; 1 for two empty lines."""
+    longest = max(len(a), len(b))
+    return 1 - _distance(a, b) / longest if longest else 1.0
+
+
+def alike(a: str, b: str) -> bool:
+    """Whether edit_similarity is SIMILARITY or more.
+
+    Most pairs are settled sooner: lengths too far apart rule it out, and words edited in all,
+    each as costly as the longest with its space, may be few enough to be sure of it.
+    """
+    longest = max(len(a), len(b))
+    if abs(len(a) - len(b)) > (1 - SIMILARITY) * longest + 1e-6:
+        return False
+    x, y = _trimmed(a.split(" "), b.split(" "))
+    costliest = 1 + max(map(len, x + y), default=0)
+    if _distance(x, y) * costliest <= (1 - SIMILARITY) * longest:
+        return True
+    return edit_similarity(a, b) >= SIMILARITY
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         u, v, a, b = (c.to_pylist() for c in batch.columns)
-        kept = [i for i in range(len(u)) if edit_similarity(a[i], b[i]) >= SIMILARITY]
+        kept = [i for i in range(len(u)) if alike(a[i], b[i])]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in kept], pa.int64()) for x in (u, v)], ["u", "v"])
 
 

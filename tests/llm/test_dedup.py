@@ -103,7 +103,7 @@ def test_edit_similarity_at_and_above_the_threshold():
         longest = max(len(a), len(b))
         want = 1 - plain_distance(a, b) / longest if longest else 1.0
         got = line_dedup.edit_similarity(a, b)
-        assert abs(got - want) < 1e-9 or (got < 0.8 and want < 0.8), (a, b)
+        assert abs(got - want) < 1e-9 and line_dedup.alike(a, b) == (want >= 0.8), (a, b)
 
 
 def test_pigeonhole_deals_find_all_near_values():
