@@ -2,10 +2,14 @@
 
 Lines are normalised (lower case, ASCII punctuation left out, single spaces). Equal normalised lines
 are one node. A node's SimHash has 64 bits, summed over its words. Nodes of one SimHash meet two leaders
-drawn from among them, which also stand for it among other SimHashes; different SimHashes within DISTANCE bits are found by the pigeonhole rule: of
-m blocks at least m - DISTANCE agree, so values are dealt out by every choice of that many blocks and
-compared with the others that were dealt the same. m depends on how many values there are (the more,
-the more bits must agree) and never changes what is found. Pairs are verified by the edit similarity
+drawn from among them, which also stand for it among other SimHashes. Different SimHashes are compared
+where they are dealt the same, by two routes. Those within BLOCK_DISTANCE bits are found by the
+pigeonhole rule: of m blocks at least m - BLOCK_DISTANCE agree, so values are dealt out by every choice
+of that many blocks; m depends on how many values there are (the more, the more bits must agree).
+Lines at the edit similarity of SIMILARITY are mostly further apart: these share runs of words, so
+they are also dealt by their sketch, the least hashes of word shingles (shorter ones in short lines),
+and those within DISTANCE bits are candidates. Pairs whose lengths or letter counts are too far apart
+for the edit similarity are left out before texts are fetched, which loses nothing. Pairs are verified by the edit similarity
 of the normalised lines, and verified pairs make groups. The first line of a group by document and
 place stays, all its other occurrences go. Lines without words always stay.
 """
@@ -26,10 +30,14 @@ from shelfspark.operators import graph
 
 from . import tokenizing, wordhash
 
-DISTANCE, SIMILARITY = 3, 0.8
+#: SimHashes of candidates differ in at most DISTANCE bits; the pigeonhole rule finds all within BLOCK_DISTANCE.
+DISTANCE, BLOCK_DISTANCE, SIMILARITY = 20, 3, 0.8
+#: Coordinates of a sketch. The first half are of shingles of three words, the others of two or one in short lines.
+SKETCH = 8
 #: A SimHash meets this many near ones of each deal, the first in the deal's own random order.
 PARTNERS = 8
-LINES = "row long, doc_id long, line int, h long, s long"
+LINES = "row long, doc_id long, line int, h long, s long, sketch binary, size int, shape binary"
+LINE_COLUMNS = [c.split()[0] for c in LINES.split(", ")]
 
 
 def normalise(text: str) -> bytes:
@@ -39,10 +47,15 @@ def normalise(text: str) -> bytes:
 
 def hash_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of normalised texts, for every line with words: its text's index, its number in it, its hash and its SimHash."""
+    return _read_lines(texts)[:4]
+
+
+def _read_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash_lines, and the lines' sketches (lines x SKETCH), lengths and letter counts."""
     data, starts = wordhash.join(texts)
     h, begin, _ = wordhash.words(data, starts)
     if not len(h):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros((0, SKETCH), np.uint32), np.zeros(0, np.int64), np.zeros((0, SHAPE), np.uint8))
     ends = np.flatnonzero(data == 10)
     line = np.searchsorted(ends, begin)  # of each word
     first = np.flatnonzero(np.diff(line, prepend=-1))
@@ -52,7 +65,40 @@ def hash_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     number = own - np.searchsorted(ends, starts[text])
     place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
     whole = np.add.reduceat(wordhash.mix(h ^ wordhash.mix((place + 1).astype(np.uint64) * wordhash.GOLDEN)), first)
-    return text, number, wordhash.mix(whole), _simhash(h, first)
+    return text, number, wordhash.mix(whole), _simhash(h, first), _sketch(h, first, place), *_shape(data, ends, own, np.diff(np.append(first, len(h))))
+
+
+#: A byte's letter class; SHAPE for bytes that begin no character, and for white space.
+SHAPE = 15
+_LETTER = np.arange(256) % SHAPE
+_LETTER[128:192] = SHAPE
+_LETTER[[*range(9, 14), 32]] = SHAPE
+
+
+def _shape(data: np.ndarray, ends: np.ndarray, own: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths in characters, and characters of each letter class (255 at most), of the lines own, with single spaces."""
+    line = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
+    counts = np.bincount(line * (SHAPE + 1) + _LETTER[data], minlength=len(ends) * (SHAPE + 1)).reshape(-1, SHAPE + 1)[own, :SHAPE]
+    return counts.sum(axis=1) + words - 1, np.minimum(counts, 255).astype(np.uint8)
+
+
+def _sketch(h: np.ndarray, first: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """lines x SKETCH: of each coordinate's hash of the line's shingles, the upper half of the least.
+
+    A line shorter than its shingles has one of all its words.
+    """
+    counts = np.diff(np.append(first, len(h)))
+    grams = np.stack([wordhash.ngrams(h, k) for k in (1, 2, 3)])
+    short = np.where(counts > 12, 3, np.where(counts > 5, 2, 1))
+    out = np.empty((len(first), SKETCH), np.uint32)
+    for sizes, coordinates in ((np.full(len(first), 3), range(SKETCH // 2)), (short, range(SKETCH // 2, SKETCH))):
+        k = np.repeat(np.minimum(sizes, counts), counts)
+        whole = place + k <= np.repeat(counts, counts)
+        own = grams[k - 1, np.arange(len(h))]
+        for c in coordinates:
+            hashed = wordhash.mix(own ^ wordhash.mix(np.full(1, c + 1, np.uint64) * wordhash.GOLDEN))
+            out[:, c] = np.minimum.reduceat(np.where(whole, hashed, ~np.uint64(0)), first) >> np.uint64(32)
+    return out
 
 
 #: A byte's bits, each in a byte of its own.
@@ -73,6 +119,14 @@ def _simhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(2 * sums.astype(np.int32) > counts[:, None], axis=1).reshape(-1).view(np.uint64)
 
 
+def _packed(rows: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in rows], pa.binary())
+
+
+def _unpacked(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
@@ -81,15 +135,15 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in tokenizing.slices(batch.column(0), batch.column(1)):
             rows = batch.column(2)[done : done + len(keys)].to_numpy() if numbered else np.arange(row, row + len(keys))
             row, done = row + len(keys), done + len(keys)
-            text, number, h, s = hash_lines([normalise(t) for t in texts])
+            text, number, h, s, sketch, size, shape = _read_lines([normalise(t) for t in texts])
             doc = pa.array(keys, pa.int64()).take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[text], pa.int64()), doc, pa.array(number.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(s.view(np.int64))], ["row", "doc_id", "line", "h", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[text], pa.int64()), doc, pa.array(number.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), _packed(sketch), pa.array(size.astype(np.int32)), _packed(shape)], LINE_COLUMNS)
 
 
 def plan_blocks(values: int) -> tuple[int, int]:
     """How many blocks, and how many must agree: enough bits that few values are dealt the same by chance."""
-    for m in range(DISTANCE + 1, 64):
-        agree = m - DISTANCE
+    for m in range(BLOCK_DISTANCE + 1, 64):
+        agree = m - BLOCK_DISTANCE
         if 64 * agree // m >= min(40, max(1, values).bit_length() - 6):
             return m, agree
     raise ValueError("too many values")
@@ -106,23 +160,35 @@ def _deal(s: np.ndarray, m: int, agree: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def near_in_deal(s: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of positions of near values in one deal: each value and the first PARTNERS near it by order."""
+def _deal_sketch(sketch: np.ndarray) -> np.ndarray:
+    """lines x SKETCH: each coordinate, mixed with its number."""
+    return wordhash.mix(sketch.astype(np.uint64) | np.arange(1, SKETCH + 1, dtype=np.uint64) << np.uint64(32))
+
+
+def near_in_deal(s: np.ndarray, order: np.ndarray, size: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[int, int]]:
+    """Pairs of positions of near values of like sizes in one deal: each value and the first PARTNERS near it by order."""
     ranked = np.argsort(order, kind="stable")
-    mine = s[ranked]
+    mine, long = s[ranked], size[ranked]
     for at in range(0, len(mine), 512):
         some = mine[at : at + 512]
-        near = np.bitwise_count(some[:, None] ^ mine[None, : at + len(some)]) <= DISTANCE
+        near = np.bitwise_count(some[:, None] ^ mine[None, : at + len(some)]) <= distance
+        near &= _like_sizes(long[at : at + 512, None], long[None, : at + len(some)])
         near &= np.arange(at + len(some))[None, :] < (at + np.arange(len(some)))[:, None]
         for i in np.flatnonzero(near.any(axis=1)).tolist():
             for j in np.flatnonzero(near[i])[:PARTNERS].tolist():
                 yield int(ranked[at + i]), int(ranked[j])
 
 
+def _like_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether lines of these lengths may have the edit similarity; size 0 stands for any."""
+    least, most = np.minimum(a, b), np.maximum(a, b)
+    return (most - least <= (1 - SIMILARITY) * most + 1e-6) | (least == 0)
+
+
 SMALL_DEAL = 64
 
 
-def _near_in_deals(deal: np.ndarray, s: np.ndarray) -> np.ndarray:
+def _near_in_deals(deal: np.ndarray, s: np.ndarray, size: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """Positions of near values, pairs x 2, over whole deals in order; small deals of one size are compared together."""
     order = wordhash.mix(s ^ deal)
     edges = np.concatenate([[0], np.flatnonzero(deal[1:] != deal[:-1]) + 1, [len(deal)]])
@@ -130,13 +196,14 @@ def _near_in_deals(deal: np.ndarray, s: np.ndarray) -> np.ndarray:
     for n in np.unique(sizes).tolist():
         at = edges[:-1][sizes == n]
         if n > SMALL_DEAL:
-            out += [np.array(list(near_in_deal(s[a : a + n], order[a : a + n])), np.int64).reshape(-1, 2) + a for a in at.tolist()]
+            out += [np.array(list(near_in_deal(s[a : a + n], order[a : a + n], size[a : a + n], distance)), np.int64).reshape(-1, 2) + a for a in at.tolist()]
         elif n > 1:
             for few in np.array_split(at, -(-len(at) * n * n // 2_000_000)):
                 place = few[:, None] + np.arange(n)
                 place = np.take_along_axis(place, np.argsort(order[place], axis=1), axis=1)
                 mine = s[place]
-                near = np.bitwise_count(mine[:, :, None] ^ mine[:, None, :]) <= DISTANCE
+                near = np.bitwise_count(mine[:, :, None] ^ mine[:, None, :]) <= distance
+                near &= _like_sizes(size[place][:, :, None], size[place][:, None, :])
                 near &= np.tri(n, k=-1, dtype=bool)
                 near &= np.cumsum(near, axis=2) <= PARTNERS
                 g, i, j = np.nonzero(near)
@@ -144,17 +211,19 @@ def _near_in_deals(deal: np.ndarray, s: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def _near_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by deal: near SimHashes s, t. The last deal of a batch waits for the next batch."""
-    rest = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+def _near_values(batches: Iterator[pa.RecordBatch], distance: int = DISTANCE) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by deal and SimHash: near SimHashes s, t, equal rows counting once. The last deal of a batch waits for the next batch."""
+    rest = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)]
 
-    def pairs(deal: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-        found = _near_in_deals(deal, s)
+    def pairs(deal: np.ndarray, s: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        new = np.append(True, (deal[1:] != deal[:-1]) | (s[1:] != s[:-1]) | (size[1:] != size[:-1]))
+        deal, s, size = deal[new], s[new], size[new]
+        found = _near_in_deals(deal, s, size, distance)
         a, b = s.view(np.int64)[found[:, 0]], s.view(np.int64)[found[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["s", "t"])
 
     for batch in batches:
-        new = [c.to_numpy().view(np.uint64) for c in batch.columns]
+        new = [*(c.to_numpy().view(np.uint64) for c in batch.columns[:2]), batch.column(2).to_numpy()]
         rows = [np.concatenate(x) for x in zip(rest, new, strict=True)]
         if not len(rows[0]):
             continue
@@ -218,9 +287,31 @@ def alike(a: str, b: str) -> bool:
     costliest = 1 + max(map(len, x + y), default=0)
     if _distance(x, y) * costliest <= (1 - SIMILARITY) * longest:
         return True
+    if longest > 64 and _trigrams_apart(a, b) > 3 * (1 - SIMILARITY) * longest + 1e-6:
+        return False
     return edit_similarity(a, b) >= SIMILARITY
 
 
+def _trigrams_apart(a: str, b: str) -> int:
+    """Trigrams that one line has more often than the other; an edit changes three of a line at most. Hashing only lowers it."""
+    counts = []
+    for t in (a, b):
+        c = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        counts.append(np.bincount((c[:-2] * np.uint32(961) + c[1:-1] * np.uint32(31) + c[2:]) % np.uint32(4093), minlength=4093))
+    apart = counts[0] - counts[1]
+    return max(int(apart[apart > 0].sum()), -int(apart[apart < 0].sum()))
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs u, v whose lengths and letter counts allow the edit similarity: an edit changes a count up and one down at most."""
+    for batch in batches:
+        size = [batch.column(i).to_numpy() for i in (2, 3)]
+        a, b = (_unpacked(batch.column(i), np.uint8, SHAPE).astype(np.int32) for i in (4, 5))
+        most = np.maximum(np.maximum(a - b, 0).sum(axis=1), np.maximum(b - a, 0).sum(axis=1))
+        close = _like_sizes(*size) & (most <= (1 - SIMILARITY) * np.maximum(*size) + 1e-6)
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(close)) for i in (0, 1)], ["u", "v"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         u, v, a, b = (c.to_pylist() for c in batch.columns)
@@ -253,12 +344,12 @@ def duplicate_lines(docs: DataFrame, row: str | None = None) -> tuple[DataFrame,
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(row).cast("long")] if row else []))
     lines = workspace.materialize(read.mapInArrow(_digest, LINES), "lines")
-    nodes = lines.groupBy("h").agg(F.min("s").alias("s"), F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
+    nodes = lines.groupBy("h").agg(F.min("s").alias("s"), F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("sketch", "size", "shape")])
     nodes = workspace.materialize(nodes, "line_nodes")
     # Equal SimHashes: each node and two leaders drawn from among them.
-    drawn = F.xxhash64("h")
-    values = workspace.materialize(nodes.groupBy("s").agg(F.min_by("h", drawn).alias("a"), F.max_by("h", drawn).alias("b"), F.count(F.lit(1)).alias("n")), "simhashes")
-    equal = nodes.select("h", "s").join(values.where("n > 1").select("s", "a", "b"), "s").select(F.col("h").alias("u"), F.explode(F.array("a", "b")).alias("v"))
+    drawn, node = F.xxhash64("h"), F.struct("h", "size", "shape")
+    values = workspace.materialize(nodes.groupBy("s").agg(F.min_by(node, drawn).alias("a"), F.max_by(node, drawn).alias("b"), F.count(F.lit(1)).alias("n")), "simhashes")
+    equal = nodes.select(node.alias("u"), "s").join(values.where("n > 1").select("s", "a", "b"), "s").select("u", F.explode(F.array("a", "b")).alias("v"))
     m, agree = plan_blocks(values.count())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,12 +358,21 @@ def duplicate_lines(docs: DataFrame, row: str | None = None) -> tuple[DataFrame,
             deals = _deal(s.view(np.uint64), m, agree).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(deals.ravel()), pa.array(np.repeat(s, deals.shape[1]))], ["deal", "s"])
 
-    dealt = values.select("s").mapInArrow(deal, "deal long, s long")
-    near = dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(_near_values, "s long, t long").distinct()
+    def deal_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            deals = _deal_sketch(_unpacked(batch.column(1), np.uint32, SKETCH)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(deals.ravel()), *(pa.array(np.repeat(batch.column(i).to_numpy(), SKETCH)) for i in (0, 2))], ["deal", "s", "size"])
+
+    def near_pairs(dealt: DataFrame, distance: int) -> DataFrame:
+        return dealt.repartition("deal").sortWithinPartitions("deal", "s", "size").mapInArrow(lambda batches: _near_values(batches, distance), "s long, t long")
+
+    near = near_pairs(values.select("s").mapInArrow(deal, "deal long, s long").withColumn("size", F.lit(0)), BLOCK_DISTANCE)
+    near = near.unionByName(near_pairs(nodes.select("s", "sketch", "size").mapInArrow(deal_sketch, "deal long, s long, size int"), DISTANCE)).distinct()
     leaders = values.select("s", "a", "b")
     near = near.join(leaders, "s").join(leaders.select(F.col("s").alias("t"), F.col("a").alias("c"), F.col("b").alias("d")), "t")
     near = near.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("c").alias("v")), F.struct(F.col("b").alias("u"), F.col("d").alias("v")))).alias("p")).select("p.u", "p.v")
-    met = equal.unionByName(near).where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    met = equal.unionByName(near).where(F.col("u.h") != F.col("v.h")).select("u.h", F.col("v.h").alias("k"), "u.size", F.col("v.size").alias("l"), "u.shape", F.col("v.shape").alias("m"))
+    met = met.mapInArrow(_close, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = workspace.materialize(met.distinct(), "line_pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct().join(nodes.select("h", F.col("first.doc_id").alias("doc_id")), "h")
     wanted = workspace.materialize(ends.groupBy("doc_id").agg(F.collect_list("h").alias("wanted")), "wanted_lines")

@@ -160,6 +160,38 @@ def test_lines_equal_brute_force(spark):
         assert texts[k, i] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in want))
 
 
+def test_long_lines_are_alike_as_their_edit_similarity_says():
+    for n in range(60):
+        a = " ".join(passage(rnd.randint(10, 40)))
+        b = "".join(c if rnd.random() > n / 200 else rnd.choice(["", "x", c + c]) for c in a)
+        assert line_dedup.alike(a, b) == (1 - plain_distance(a, b) / max(len(a), len(b)) >= 0.8)
+
+
+def test_edited_lines_of_every_length_are_found(spark):
+    """Recall against brute force on the edit similarity alone, without any SimHash."""
+    lines = []
+    for n in (4, 6, 8, 10, 12, 13, 20, 30, 60):
+        for _ in range(12):
+            base = passage(n)
+            lines.append(base)
+            for edits in {1, max(1, n // 8)}:
+                copy = list(base)
+                for at in rnd.sample(range(n), edits):
+                    copy[at] = rnd.choice(VOCABULARY)
+                lines.append(copy)
+    texts = [" ".join(x) for x in lines]
+    parent = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if line_dedup.alike(texts[a], texts[b]):
+                x, y = root_of(parent, a), root_of(parent, b)
+                parent[max(x, y)] = min(x, y)
+    want = {i for i in range(len(texts)) if root_of(parent, i) != i}
+    _, drop = line_dedup.duplicate_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n", F.col("doc_id")), "n")
+    got = {r["row"] for r in drop.collect()}
+    assert not got - want and len(got) >= 0.98 * len(want) and len(want) > 100, (len(got), len(want))
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_few_or_no_lines(spark, n):
     df = spark.createDataFrame([(1, "just one line")], "doc_id long, text string").limit(n)
