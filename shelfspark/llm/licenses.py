@@ -1,7 +1,8 @@
 """Licence recognition: known sentences to identifiers, identifier sequences to licences.
 
-A text is cut into sentences, each is normalised (lower case, only letters, digits and inner dots)
-and looked up among known licence sentences. What remains is a sequence of identifiers, 0 for any
+A text is cut into pieces, each is normalised (lower case, only letters, digits and inner dots). A known
+licence sentence is one piece, or several in a row where only a line end, ':' or ';' parts them, so that
+wrapped texts and headers are read whole; a list number before it is passed over. What remains is a sequence of identifiers, 0 for any
 other sentence, against which ordered rules are matched: a rule holds where its identifiers stand
 side by side. Rules are tried in their order; where one has matched, its identifiers are used up, so
 that a licence whose text includes another's is told from it.
@@ -9,6 +10,7 @@ that a licence whose text includes another's is told from it.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,12 +93,27 @@ ANCHORS = ("licen", "permi", "software", "redistribution", "warrant")
 _BREAK, _OTHER = r"([.!?;:])[\x20\x09-\x0D]+", "[^a-z0-9.]+"
 
 
+#: Any known sentence, whose words stand in one line or in lines that follow; the longest first.
+_KNOWN = "|".join(re.escape(s.replace("v. 2.0", "v.2.0")).replace(r"\ ", r"[ \n]") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+
+
 def sentences(text: Column) -> Column:
     """Normalised sentences: cut after . ! ? : or ; before white space, and at line ends."""
     lines = F.split(F.regexp_replace(F.lower(text), _BREAK, "$1\n"), "\n")
     return F.transform(lines, lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, _OTHER, " "), r"\.* *$", ""), r"^[ .]+", ""))
 
 
+def _units(text: Column) -> Column:
+    """Known sentences and other pieces in order; a known sentence in several pieces is one unit, list numbers are none.
+
+    Sentence ends and blank lines leave an empty piece, which no known sentence spans.
+    """
+    ended = F.regexp_replace(text, r"([.!?])[\x20\x09-\x0D]+", "$1\n\n")
+    pieces = F.concat(F.lit("\n"), F.array_join(sentences(ended), "\n"), F.lit("\n"))
+    units = F.regexp_extract_all(pieces, F.lit(rf"(?<=\n)(?:[0-9]{{1,2}} )?({_KNOWN}|[^\n]+)(?=\n)"), F.lit(1))
+    return F.filter(F.transform(units, lambda u: F.translate(u, "\n", " ")), lambda u: ~u.rlike("^[0-9]{1,2}$"))
+
+
 def _without_v(text: Column) -> Column:
     """A version after "v." belongs to its sentence."""
     return F.regexp_replace(text, r"\b([vV])\.[\x20\x09-\x0D]+(?=[0-9])", "$1.")
@@ -112,7 +129,7 @@ def recognise(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s.replace("v. 2.0", "v.2.0"), str(i))])
     anchored = reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(a)) for a in ANCHORS))
-    ids = F.transform(F.filter(sentences(_without_v(text)), lambda s: s != ""), lambda s: F.coalesce(F.element_at(known, s), F.lit("0")))
+    ids = F.transform(_units(_without_v(text)), lambda s: F.coalesce(F.element_at(known, s), F.lit("0")))
     df = docs.select("doc_id", F.when(anchored, ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     df = df.select("doc_id", F.size(F.filter("ids", lambda i: i != "0")).cast("long").alias("n_known"), F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")).alias("left"), F.array().cast("array<string>").alias("found"))
     for name, rule in RULES:
