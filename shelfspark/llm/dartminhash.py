@@ -12,7 +12,8 @@ Signatures are cut into bands; equal texts are one node from the start, and in e
 each node is paired with two leaders, drawn at random by a hash of bucket and node, so a bucket of n
 gives at most 2n pairs. As every band draws its own leaders, a node meets many others of its group.
 Pairs are verified by the exact weighted Jaccard similarity of the whole texts, and verified pairs
-make connected components.
+make connected components. Then nodes of one bucket that are in different components all meet, so that
+no pair of a bucket is left out but those already connected.
 """
 
 from __future__ import annotations
@@ -135,6 +136,28 @@ def _sorted_cells(text: str) -> np.ndarray:
     return np.sort(cells([text])[0])
 
 
+def _verified(pairs: DataFrame, nodes: DataFrame, read: DataFrame) -> DataFrame:
+    """The pairs u, v of nodes whose texts are similar; texts are fetched once for each node."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "digest", "first"), "node")
+    same = (read["doc_id"] == wanted["first"]) & (F.unhex(F.md5(read["text"].cast("binary"))) == wanted["digest"])
+    texts = workspace.materialize(read.join(wanted, same).select("node", "text").dropDuplicates(["node"]), "texts")
+    u, v = texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), texts.select(F.col("node").alias("v"), F.col("text").alias("tv"))
+    return pairs.join(v, "v").join(u, "u").select("u", "v", "tu", "tv").mapInArrow(_verify, "u long, v long")
+
+
+def _unmet(in_bands: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs u, v of nodes in one bucket but in different components.
+
+    Components meet as lists of their nodes in the bucket, so pairs inside a component are never made.
+    """
+    rooted = in_bands.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    part = F.pmod(F.xxhash64("node"), F.lit(64))  # the lists of a very large component stay short
+    lists = rooted.groupBy("bucket", "root", part.alias("part")).agg(F.collect_list("node").alias("a"))
+    other = lists.select("bucket", F.col("root").alias("other"), F.col("a").alias("b"))
+    met = lists.join(other, "bucket").where(F.col("root") < F.col("other")).select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
+    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, digest, class_id for every row: class_id is the least doc_id of the row's near-duplicate class.
 
@@ -152,13 +175,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     leaders = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "bucket")).alias("a"), F.max_by("node", F.xxhash64("node", "bucket")).alias("b")).where(F.col("n") > 1)
     met = in_bands.join(leaders, "bucket").select("node", F.explode(F.array("a", "b")).alias("leader")).where(F.col("node") != F.col("leader"))
     pairs = workspace.materialize(met.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct(), "pairs")
-    # Texts of the nodes in pairs, one row each.
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "digest", "first"), "node")
-    same = (read["doc_id"] == wanted["first"]) & (F.unhex(F.md5(read["text"].cast("binary"))) == wanted["digest"])
-    texts = workspace.materialize(read.join(wanted, same).select("node", "text").dropDuplicates(["node"]), "texts")
-    u, v = texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), texts.select(F.col("node").alias("v"), F.col("text").alias("tv"))
-    links = pairs.join(v, "v").join(u, "u").select("u", "v", "tu", "tv").mapInArrow(_verify, "u long, v long")
-    roots = graph.components(workspace.materialize(links, "links"))
+    links = workspace.materialize(_verified(pairs, nodes, read), "links")
+    roots = graph.components(links)
+    unmet = workspace.materialize(_unmet(in_bands.join(leaders.where("n > 2").select("bucket"), "bucket"), roots).join(pairs, ["u", "v"], "left_anti"), "unmet")
+    if not unmet.isEmpty():
+        more = workspace.materialize(_verified(unmet, nodes, read), "links")
+        roots = graph.components(links.unionByName(more))
     rooted = nodes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("class_id"))
     classed = workspace.materialize(rooted.join(least, "root").select("digest", "class_id"), "classes")

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,29 @@ def test_signatures_estimate_weighted_similarity():
     assert abs(np.mean(errors)) < 0.02 and met == 40
 
 
+def test_nodes_of_a_bucket_in_different_components_all_meet(spark):
+    in_bands = spark.createDataFrame([(n, 7) for n in range(6)] + [(n, 8) for n in (0, 9)], "node long, bucket long")
+    roots = spark.createDataFrame([(1, 0), (2, 0), (9, 0)], "node long, root long")
+    got = sorted(tuple(r) for r in dartminhash._unmet(in_bands, roots).collect())
+    assert got == [(a, b) for a in range(6) for b in range(a + 1, 6) if b > 2]
+
+
+def test_a_text_like_only_one_of_a_crowd_is_in_its_class(spark, monkeypatch):
+    """All texts meet in one bucket; each is like the next alone, so leaders of the bucket cannot hold the chain."""
+    base = passage(200)
+    texts = [" ".join([f"n{i}" if i < 15 * k else w for i, w in enumerate(base)]) for k in range(9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sign = dartminhash._sign
+
+    def one_bucket(batches):
+        for b in sign(batches):
+            column = pa.array([[1]] * b.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), column], ["doc_id", "digest", "bands"])
+
+    monkeypatch.setattr(dartminhash, "_sign", one_bucket)
+    assert {r["class_id"] for r in dartminhash.classes(df).collect()} == {0}
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 400)] + [(500, 500), (601, 600), (600, 601)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
