@@ -30,7 +30,7 @@ def prefix_and(s, d):
 def suggest(s, d):
     t = snapshot(s, d)
     lists = s.createDataFrame([("bobs", "Bobs lijst")], "slug string, name string")
-    return search.suggest("bob", 7, t["works"].limit(0), t["works_fts"].limit(0), t["authors"], t["publishers"], t["genres"], t["languages"], lists)
+    return search.suggest("bob", 7, t["works"], t["works_fts"], t["authors"], t["publishers"], t["genres"], t["languages"], lists)
 
 
 def near(s, d):

@@ -1,6 +1,7 @@
 from shelfspark.functions import params
 from shelfspark.operators import browse, search, similar
 from shelfspark.plans import catalog
+from shelfspark.queries import search_queries
 from tests.sample import editions, rows
 
 
@@ -62,3 +63,14 @@ def test_lsa_invariants(spark):
     assert all(r["work_id"] != r["other"] and r["score"] >= 0.1 for r in got)
     assert len({(r["work_id"], r["rank"]) for r in got}) == len(got) == len({(r["work_id"], r["other"]) for r in got})
     assert similar.neighbours_of(None, t["works"], "001").count() == 0
+
+
+def test_registered_suggestions_hold_titles_by_score(spark, monkeypatch):
+    t = catalog.build(editions(spark))
+    monkeypatch.setattr(search_queries, "snapshot", lambda s, d: t)
+    got = [(r["kind"], r["label"]) for r in search_queries.suggest(spark, "").orderBy("kind", "rank").collect()]
+    hits = search.match(t["works_fts"], "bob").join(t["works"], "work_id").orderBy("score", "work_id")
+    titles = [("title", r["title"]) for r in hits.limit(7).collect()]
+    assert len(titles) == 2 and [g for g in got if g[0] == "title"] == titles and ("author", "Bob de Wit") in got
+    near = [(r["kind"], r["label"]) for r in search_queries.near(spark, "").collect()]
+    assert [k for k, _ in near] == ["author", "list", "title", "title"] and near[2:] == titles
