@@ -44,7 +44,7 @@ def knn(s, d):
 
 def tf_idf(s, d):
     e = editions(s, d).withColumnRenamed("ppn", "work_id")
-    tokens = similar.bags(e.select("work_id", "title", F.lit(None).cast("string").alias("summary"), "keywords"), e.select("work_id", F.explode("subjects").alias("genre")))
+    tokens = similar.bags(e.select("work_id", "title", "summary", "keywords"), e.select("work_id", F.explode("subjects").alias("genre")))
     return similar.tf_idf(tokens).groupBy("work_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("total"))
 
 

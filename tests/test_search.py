@@ -2,7 +2,7 @@ from shelfspark.functions import params
 from shelfspark.operators import browse, search, similar
 from shelfspark.plans import catalog
 from shelfspark.queries import search_queries
-from tests.sample import editions, rows
+from tests.sample import F, editions, rows
 
 
 def test_field_weights_rank_subject_over_summary(spark):
@@ -74,3 +74,10 @@ def test_registered_suggestions_hold_titles_by_score(spark, monkeypatch):
     assert len(titles) == 2 and [g for g in got if g[0] == "title"] == titles and ("author", "Bob de Wit") in got
     near = [(r["kind"], r["label"]) for r in search_queries.near(spark, "").collect()]
     assert [k for k, _ in near] == ["author", "list", "title", "title"] and near[2:] == titles
+
+
+def test_registered_tf_idf_weighs_the_words_of_whole_texts(spark, monkeypatch):
+    e = editions(spark).where("ppn IN ('003', '005')").withColumn("summary", F.lit("zeldzaam verhaal " * 50))
+    monkeypatch.setattr(search_queries, "editions", lambda s, d: e)
+    got = {r["work_id"]: r["terms"] for r in search_queries.tf_idf(spark, "").collect()}
+    assert got == {"003": 2, "005": 2}  # the titles, genres and keywords of the two differ
