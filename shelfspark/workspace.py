@@ -7,31 +7,45 @@ retry and never a row) and read back, which also cuts lineage.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir. Where it is unset a local master gets a temporary one; a cluster is an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shelfspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _LOCAL.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="shelfspark-")
+        _LOCAL[context.applicationId] = found
     return found.rstrip("/")
 
 
-_SCOPES: list[list[str]] = []
+class _Scopes(threading.local):
+    """The open scopes of a thread."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     path = f"{shared_dir(spark)}/shelfspark/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _SCOPES.open:
+        _SCOPES.open[-1].append(path)
     return path
 
 
@@ -39,20 +53,33 @@ def new_path(spark: SparkSession, name: str) -> str:
 def scope(spark: SparkSession) -> Iterator[list[str]]:
     """Delete the intermediates made inside at its end. A path taken off the list that it gives stays."""
     mine: list[str] = []
-    _SCOPES.append(mine)
+    _SCOPES.open.append(mine)
     try:
         yield mine
     finally:
-        _SCOPES.remove(mine)
+        _SCOPES.open.pop()
         for path in mine:
             remove(spark, path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back."""
+#: Internal setting of Spark: bytes after which a batch for a Python worker ends.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def materialize(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back.
+
+    batch_bytes: bounds what is handed to a Python worker at once where rows may be large.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH_BYTES)
+    try:
+        if batch_bytes:
+            spark.conf.set(_BATCH_BYTES, str(batch_bytes))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,10 +90,26 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Rows of up to three numbers or digests that every executor can hold.
-SMALL_ROWS = 200_000
+#: Bytes of a table that every executor can hold beside its work.
+SMALL_BYTES = 16_000_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """df, marked for broadcasting if its rows are found small; else as it is, for a shuffled join.
+
+    df should be a written table: its rows are counted, and only where they may fit are the bytes of
+    strings, binaries and lists summed.
+    """
+    fixed = 8 * len(df.columns) + 8
+    n = df.count()
+    if n * fixed > most:
+        return df
+    wide = [F.coalesce(F.sum(_bytes(F.col(c), kind)), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary") or "<" in kind]
+    return F.broadcast(df) if not wide or n * fixed + sum(df.agg(*wide).first()) <= most else df
 
 
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df, marked for broadcasting if a count finds it small; else as it is, for a shuffled join. df should be a written table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(c: Column, kind: str) -> Column:
+    """Bytes beyond a column's fixed width."""
+    if kind in ("string", "binary"):
+        return F.octet_length(c)
+    return 8 * F.size(c) if kind in ("array<int>", "array<bigint>") else F.octet_length(F.to_json(F.struct(c)))
