@@ -8,12 +8,12 @@ weights; the earliest dart by rank in each of K coordinates is its signature. Tw
 a coordinate with the probability of the sets' weighted Jaccard similarity. Ranks are only searched
 as far as about K ln K darts reach, so long texts cost one hash and one dart a word.
 
-Signatures are cut into bands; equal texts are one node from the start, and in every bucket of a band
-each node is paired with two leaders, drawn at random by a hash of bucket and node, so a bucket of n
-gives at most 2n pairs. As every band draws its own leaders, a node meets many others of its group.
-Pairs are verified by the exact weighted Jaccard similarity of the whole texts, and verified pairs
-make connected components. Then nodes of one bucket that are in different components all meet, so that
-no pair of a bucket is left out but those already connected.
+Signatures are cut into bands; equal texts are one node from the start. Nodes of one bucket of a band
+meet in groups of bounded size, which hold every node's regions once: each two of them are compared
+by the exact weighted Jaccard similarity of the whole texts, and only the links that join something
+are given out, so pairs are never rows. The first bands alone make most components; of the other
+bands only buckets that still hold several components meet, each node outside the largest one with
+all others. No pair of a bucket is left out but those already connected.
 """
 
 from __future__ import annotations
@@ -30,15 +30,19 @@ from pyspark.sql import functions as F
 from shelfspark import workspace
 from shelfspark.operators import graph
 
-from . import tokenizing, wordhash
+from . import meeting, tokenizing, wordhash
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Bands that meet in the first round.
+FIRST_BANDS = 6
 K = BANDS * ROWS
 DARTS = K * (math.log(K) + 2)
 #: Chances that a Poisson variable with mean 1 is at most 0, 1, 2, ..., as 64-bit fractions.
 _POISSON = np.array([min(2**64 - 1, int(sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) * 2**64)) for i in range(12)], np.uint64)
 _RANK_BITS = 20
+#: Unit regions that are looked at together.
+_AT_ONCE = 1 << 20
 
 
 def cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +68,10 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     todo = np.flatnonzero(np.diff(at))
     reach[todo] = DARTS / np.diff(at)[todo]
     while len(todo):
-        _throw(h, at, todo, reach, out)
+        work = np.cumsum(np.diff(at)[todo] * np.ceil(reach[todo]))
+        for some in np.split(todo, np.searchsorted(work, np.arange(_AT_ONCE, work[-1], _AT_ONCE))):
+            if len(some):
+                _throw(h, at, some, reach, out)
         table = out.reshape(n, K)
         missed = todo[(table[todo] == ~np.uint64(0)).any(axis=1)]
         reach[missed] *= 2  # some coordinate has no dart yet: throw as many again
@@ -116,88 +123,136 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for keys, texts in tokenizing.slices(batch.column(0), batch.column(1)):
             h, at = cells(texts)
+            sizes = np.diff(at)
             bands = band_hashes(signatures(h, at)).view(np.int64)
-            found = [row if n else None for row, n in zip(bands.tolist(), np.diff(at).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
+            found = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
+            digests = [hashlib.md5(t.encode()).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes * 8), found], ["doc_id", "digest", "bytes", "bands"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, mine = None, None
+def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, its regions sorted."""
     for batch in batches:
-        us, vs, kept = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-        for i in range(batch.num_rows):
-            if us[i] != last:
-                last, mine = us[i], _sorted_cells(batch.column(2)[i].as_py())
-            kept.append(similarity(mine, _sorted_cells(batch.column(3)[i].as_py())) >= SIMILARITY)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(c, kept, strict=True) if k], pa.int64()) for c in (us, vs)], ["u", "v"])
-
-
-def _sorted_cells(text: str) -> np.ndarray:
-    return np.sort(cells([text])[0])
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, read: DataFrame) -> DataFrame:
-    """The pairs u, v of nodes whose texts are similar; texts are fetched once for each node."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "digest", "first"), "node")
-    same = (read["doc_id"] == wanted["first"]) & (F.unhex(F.md5(read["text"].cast("binary"))) == wanted["digest"])
-    texts = workspace.materialize(read.join(wanted, same).select("node", "text").dropDuplicates(["node"]), "texts")
-    u, v = texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), texts.select(F.col("node").alias("v"), F.col("text").alias("tv"))
-    return pairs.join(v, "v").join(u, "u").select("u", "v", "tu", "tv").mapInArrow(_verify, "u long, v long")
+        for nodes, texts in tokenizing.slices(batch.column(0), batch.column(1)):
+            h, at = cells(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([np.sort(h[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "cells"])
 
 
-def _unmet(in_bands: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs u, v of nodes in one bucket but in different components.
+def joining_links(roots: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Positions of linked members of one group, as few as join all that any links join.
 
-    Components meet as lists of their nodes in the bucket, so pairs inside a component are never made.
+    roots: members of one component have one; sets: their sorted regions. Members meet those of the
+    other part, or all if there is one part. Members of the largest component are only met by others.
     """
-    rooted = in_bands.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    part = F.pmod(F.xxhash64("node"), F.lit(64))  # the lists of a very large component stay short
-    lists = rooted.groupBy("bucket", "root", part.alias("part")).agg(F.collect_list("node").alias("a"))
-    other = lists.select("bucket", F.col("root").alias("other"), F.col("a").alias("b"))
-    met = lists.join(other, "bucket").where(F.col("root") < F.col("other")).select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
-    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    n, sizes, links = len(sets), np.array([len(s) for s in sets]), []
+    label, across = np.unique(roots, return_inverse=True)[1], parts.min() != parts.max()
+    if n == 2:
+        return [(0, 1)] if label[0] != label[1] and similarity(sets[0], sets[1]) >= SIMILARITY else []
+    code, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    owner = np.repeat(np.arange(n), sizes)
+    shared = many[code] > 1  # a region of one member alone is in no pair
+    code, owner = code[shared], owner[shared]
+    held = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+    by_code = owner[np.argsort(code, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(many)))])
+    largest = np.bincount(label).argmax()
+    for x in np.flatnonzero(label != largest).tolist() if np.bincount(label).max() > 1 else range(1, n):
+        mine = code[held[x] : held[x + 1]]
+        width = start[mine + 1] - start[mine]
+        at = np.arange(width.sum()) + np.repeat(start[mine] - (np.cumsum(width) - width), width)
+        both = np.bincount(by_code[at], minlength=n)
+        near = (both >= SIMILARITY * (sizes + sizes[x] - both)) & (label != label[x])
+        if across:
+            near &= parts != parts[x]
+        for y in np.flatnonzero(near).tolist():
+            if label[y] != label[x]:
+                links.append((x, y))
+                label[label == label[y]] = label[x]
+    return links
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows bucket, a, b, part, node, root, cells, sorted by group: links u, v."""
+    for rows, edges in meeting.whole_groups(batches, 3):
+        part, node, root = (rows.column(i).to_numpy() for i in (3, 4, 5))
+        out = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b - a > 1:
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(6)[a:b]]
+                out += [(node[a + i], node[a + j]) for i, j in joining_links(root[a:b], part[a:b], sets)]
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["u", "v"])
+
+
+def _links(members: DataFrame, regions: DataFrame) -> DataFrame:
+    """Links of the groups of members (bucket, a, b, part, node, root)."""
+    held = members.join(regions, "node").select("bucket", "a", "b", "part", "node", "root", "cells")
+    met = held.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(_meet, "u long, v long")
+    return workspace.materialize(met, "links", meeting.BATCH_BYTES)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, digest, class_id for every row: class_id is the least doc_id of the row's near-duplicate class.
+    """doc_id, digest, class_id, kept and twins for every row of docs.
 
     Two texts are linked if the weighted Jaccard similarity of their five-word shingles (lower case,
     punctuation left out; a text of 1 to 4 words is one shingle) is SIMILARITY or more; classes are
-    connected. Equal texts are in one class, empty ones too. A null text is a class of its own, with
-    a null digest. Rows with equal doc_ids are told apart by their texts. An empty table gives no rows.
+    connected. Equal texts are in one class, empty ones too. A class is named class_id after its row
+    with the least doc_id, null ids last, ties to the least digest; kept marks that one row, so a class
+    has one even where ids are null or repeated. twins: another row has the same doc_id and text. A
+    null text is a class of its own, with a null digest, and kept. An empty table gives no rows.
     """
     read = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = workspace.materialize(read.where(F.col("text").isNotNull()).mapInArrow(_sign, "doc_id long, digest binary, bands array<long>"), "signed")
+    signed = read.where(F.col("text").isNotNull()).mapInArrow(_sign, "doc_id long, digest binary, bytes long, bands array<long>")
+    signed = workspace.materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed", meeting.BATCH_BYTES)
     # Equal texts become one node, named by a number that is fixed once the table is written.
-    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("bands", ignorenulls=True).alias("bands"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "row")
+    nodes = signed.groupBy("digest").agg(F.min(place).alias("first"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"))
     nodes = workspace.materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    in_bands = nodes.select("node", F.explode("bands").alias("bucket"))
-    leaders = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "bucket")).alias("a"), F.max_by("node", F.xxhash64("node", "bucket")).alias("b")).where(F.col("n") > 1)
-    met = in_bands.join(leaders, "bucket").select("node", F.explode(F.array("a", "b")).alias("leader")).where(F.col("node") != F.col("leader"))
-    pairs = workspace.materialize(met.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct(), "pairs")
-    links = workspace.materialize(_verified(pairs, nodes, read), "links")
+    in_bands = nodes.where("bytes > 0").select("node", "bytes", F.posexplode("bands").alias("band", "bucket"))
+    crowds = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    meet = workspace.materialize(in_bands.join(crowds, "bucket"), "in_buckets")
+    wanted = workspace.materialize(meet.select("node").distinct().join(nodes.select("node", "digest", F.col("first.doc_id").alias("first")), "node"), "wanted")
+    same = read["doc_id"].eqNullSafe(F.col("first")) & (F.unhex(F.md5(read["text"].cast("binary"))) == F.col("digest"))
+    texts = read.join(workspace.broadcast_if_small(wanted), same).select("node", "text")
+    regions = workspace.materialize(texts.mapInArrow(_cells_of, "node long, cells binary").dropDuplicates(["node"]), "regions", meeting.BATCH_BYTES)
+
+    dealt = workspace.materialize(meeting.deal(meet, "bucket", "node", "bytes"), "dealt")
+    early = (F.col("band") < FIRST_BANDS) & (F.col("a") == F.col("b"))
+    links = _links(dealt.where(early).withColumn("root", F.col("node")), regions)
     roots = graph.components(links)
-    unmet = workspace.materialize(_unmet(in_bands.join(leaders.where("n > 2").select("bucket"), "bucket"), roots).join(pairs, ["u", "v"], "left_anti"), "unmet")
-    if not unmet.isEmpty():
-        more = workspace.materialize(_verified(unmet, nodes, read), "links")
-        roots = graph.components(links.unionByName(more))
-    rooted = nodes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("class_id"))
-    classed = workspace.materialize(rooted.join(least, "root").select("digest", "class_id"), "classes")
-    out = signed.select("doc_id", "digest").join(classed, "digest").select("doc_id", "digest", "class_id")
-    alone = read.where(F.col("text").isNull()).select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"))
-    return out.unionByName(alone)
+    rooted = dealt.where(~early).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = workspace.materialize(rooted, "rooted")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
+    links = links.unionByName(_links(rooted.join(several, "bucket"), regions))
+    roots = graph.components(links)
+
+    grouped = nodes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = grouped.groupBy("root").agg(F.min("first").alias("least"))
+    classed = workspace.materialize(grouped.join(least, "root").select("digest", F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("kept_row")), "classes")
+    found = signed.select("doc_id", "digest", "row").join(workspace.broadcast_if_small(classed), "digest")
+    repeated = signed.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), F.col("digest").alias("text_digest"), F.lit(True).alias("twins"))
+    repeated = workspace.broadcast_if_small(workspace.materialize(repeated, "twins"))
+    found = found.join(repeated, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("text_digest")), "left")
+    out = found.select("doc_id", "digest", "class_id", (F.col("row") == F.col("kept_row")).alias("kept"), F.coalesce("twins", F.lit(False)).alias("twins"))
+    alone = read.where(F.col("text").isNull())
+    return out.unionByName(alone.select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), F.lit(False).alias("twins")))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of docs for each class, the one with the least doc_id; columns as they are. Rows with null texts stay."""
-    found = classes(docs).where((F.col("doc_id") == F.col("class_id")) & F.col("digest").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    same = (docs["doc_id"] == F.col("__id")) & (F.unhex(F.md5(docs["text"].cast("binary"))) == F.col("__digest"))
-    kept = docs.join(found, same).dropDuplicates(["__id", "__digest"]).dropDuplicates(["__id"]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col("text").isNull()))
+    """One row of docs for each class, the one that classes() marks; columns as they are. Rows with null texts stay.
+
+    Of rows with the same doc_id and text any one stays. Columns of docs may have any names.
+    """
+    kept = workspace.materialize(classes(docs).where(F.col("kept") & F.col("digest").isNotNull()).select("doc_id", "digest", "twins"), "kept")
+    packed = docs.select(F.struct(*docs.columns).alias("doc"))
+    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.unhex(F.md5(F.col("doc.text").cast("binary"))) == F.col("digest"))
+    one = packed.join(workspace.broadcast_if_small(kept.where("NOT twins")), same).select("doc")
+    some = kept.where("twins")
+    if not some.isEmpty():
+        one = one.unionByName(packed.join(workspace.broadcast_if_small(some), same).dropDuplicates(["digest"]).select("doc"))
+    return one.unionByName(packed.where(F.col("doc.text").isNull())).select("doc.*")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document; kept marks the document that stands for its class."""
-    found = classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "kept")

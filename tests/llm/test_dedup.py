@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.llm import dartminhash, line_dedup
+from shelfspark.llm import dartminhash, line_dedup, meeting
 from shelfspark.operators import graph
 
 rnd = random.Random(11)
@@ -45,10 +45,8 @@ def root_of(parent, x):
     return x
 
 
-def test_classes_equal_brute_force(spark):
-    rows = corpus()
-    df = spark.createDataFrame([(k, t, "en", 1) for k, t in rows], "doc_id long, text string, digest string, node int").repartition(4)
-    got = {(r["doc_id"], r["class_id"]) for r in dartminhash.classes(df).collect()}
+def brute_classes(rows):
+    """For every row (id, text) the indices of its class."""
     sets = [shingles(t) if t else None for _, t in rows]
     parent = list(range(len(rows)))
     for a in range(len(rows)):
@@ -57,13 +55,66 @@ def test_classes_equal_brute_force(spark):
                 x, y = root_of(parent, a), root_of(parent, b)
                 parent[max(x, y)] = min(x, y)
     members = defaultdict(list)
-    for i, (k, _) in enumerate(rows):
-        members[root_of(parent, i)].append(k)
-    want = {(k, min(ks)) for ks in members.values() for k in ks}
-    assert got == want
+    for i in range(len(rows)):
+        members[root_of(parent, i)].append(i)
+    return list(members.values())
+
+
+def least(ids):
+    return min((k for k in ids if k is not None), default=None)
+
+
+def test_classes_equal_brute_force(spark):
+    rows = corpus()
+    df = spark.createDataFrame([(k, t, "en", 1) for k, t in rows], "doc_id long, text string, digest string, node int").repartition(4)
+    got = Counter((r["doc_id"], r["class_id"]) for r in dartminhash.classes(df).collect())
+    groups = brute_classes(rows)
+    assert got == Counter((rows[i][0], least(rows[j][0] for j in g)) for g in groups for i in g)
     kept = dartminhash.keep_first(df)
-    assert kept.columns == df.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(k for k in {min(ks) for ks in members.values()})
-    assert dartminhash.classes(df.limit(0)).count() == 0
+    assert kept.columns == df.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(least(rows[i][0] for i in g) for g in groups)
+    assert dartminhash.classes(df.limit(0)).count() == 0 and dartminhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_class_stays_where_ids_are_null_or_repeated(spark):
+    texts = [" ".join(passage(30)) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (2, texts[3]), (None, texts[3]), (7, texts[0]), (1, texts[1]), (None, texts[2])]
+    df = spark.createDataFrame([(k, t, k, "x") for k, t in rows], "doc_id long, text string, row long, twins string").repartition(3)
+    got = dartminhash.keep_first(df).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, texts[0]), (1, texts[1]), (None, texts[2]), (2, texts[3])])
+    assert Counter(r["kept"] for r in dartminhash.classes(df).collect()) == {True: 4, False: 4}
+
+
+def test_very_many_tiny_texts_are_signed_in_bounded_steps():
+    texts = [f"a{i} b{i} c{i}" for i in range(3000)]
+    h, at = dartminhash.cells(texts)
+    together = dartminhash.signatures(h, at)
+    assert all((dartminhash.signatures(h[i : i + 1], np.array([0, 1])) == together[i]).all() for i in range(0, 3000, 500))
+
+
+def test_links_of_a_group_join_what_all_pairs_join():
+    for trial in range(60):
+        base = passage(120)
+        texts = [" ".join(w if rnd.random() > rnd.choice([0.005, 0.02, 0.03]) else "zz" + w for w in base) for _ in range(rnd.randint(2, 14))] + [" ".join(passage(40))]
+        h, at = dartminhash.cells(texts)
+        sets = [np.sort(h[a:b]) for a, b in zip(at[:-1], at[1:])]
+        n, across = len(sets), trial % 2
+        parts = np.array([i % 2 if across else 0 for i in range(n)])
+        roots = np.array([i if i > 2 else 0 for i in range(n)])
+        met = [(i, j) for i in range(n) for j in range(i) if not across or parts[i] != parts[j]]
+        joined = lambda links: frozenset(frozenset(g) for g in groups_of(n, [(1, 0), (2, 0)] + links))
+        got = dartminhash.joining_links(roots, parts, sets)
+        assert joined(got) == joined([p for p in met if dartminhash.similarity(sets[p[0]], sets[p[1]]) >= 0.8]) and len(got) < n
+
+
+def groups_of(n, links):
+    parent = list(range(n))
+    for a, b in links:
+        x, y = root_of(parent, a), root_of(parent, b)
+        parent[max(x, y)] = min(x, y)
+    out = defaultdict(list)
+    for i in range(n):
+        out[root_of(parent, i)].append(i)
+    return out.values()
 
 
 def test_signatures_estimate_weighted_similarity():
@@ -80,14 +131,34 @@ def test_signatures_estimate_weighted_similarity():
     assert abs(np.mean(errors)) < 0.02 and met == 40
 
 
-def test_nodes_of_a_bucket_in_different_components_all_meet(spark):
-    in_bands = spark.createDataFrame([(n, 7) for n in range(6)] + [(n, 8) for n in (0, 9)], "node long, bucket long")
-    roots = spark.createDataFrame([(1, 0), (2, 0), (9, 0)], "node long, root long")
-    got = sorted(tuple(r) for r in dartminhash._unmet(in_bands, roots).collect())
-    assert got == [(a, b) for a in range(6) for b in range(a + 1, 6) if b > 2]
-
-
-def test_a_text_like_only_one_of_a_crowd_is_in_its_class(spark, monkeypatch):
+def test_every_two_members_of_a_key_share_a_group(spark, monkeypatch):
+    monkeypatch.setattr(meeting, "PART_ROWS", 4)
+    members = spark.createDataFrame([(7, n) for n in range(30)] + [(8, 1), (8, 2), (9, 5)], "bucket long, node long")
+    got = [tuple(r) for r in meeting.deal(members, "bucket", "node").select("bucket", "a", "b", "node").collect()]
+    groups = defaultdict(set)
+    for bucket, a, b, node in got:
+        groups[bucket, a, b].add(node)
+    assert len(groups) > 20 and max(map(len, groups.values())) < 25
+    for bucket, n in ((7, 30), (8, 3)):
+        own = [g for (k, _, _), g in groups.items() if k == bucket]
+        assert all(any({x, y} <= g for g in own) for x in range(n) for y in range(x) if bucket == 7 or 0 < y)
+    assert len(got) == len(set(got))
+
+
+def test_groups_stay_whole_over_batches():
+    keys = sorted(rnd.choices(range(12), k=200))
+    rows = pa.record_batch([pa.array(keys), pa.array([0] * 200), pa.array(range(200))], ["k", "a", "x"])
+    for size in (1, 3, 17, 500):
+        seen = []
+        for part, edges in meeting.whole_groups((rows.slice(i, size) for i in range(0, 200, size)), 2):
+            for a, b in zip(edges[:-1], edges[1:]):
+                assert len(set(part.column(0)[a:b].to_pylist())) == 1
+                seen.append((part.column(0)[a].as_py(), part.column(2)[a:b].to_pylist()))
+        assert [k for k, _ in seen] == sorted(set(keys)) and [x for _, xs in seen for x in xs] == list(range(200))
+
+
+@pytest.mark.parametrize("part_rows", [2, 2048])
+def test_a_text_like_only_one_of_a_crowd_is_in_its_class(spark, monkeypatch, part_rows):
     """All texts meet in one bucket; each is like the next alone, so leaders of the bucket cannot hold the chain."""
     base = passage(200)
     texts = [" ".join([f"n{i}" if i < 15 * k else w for i, w in enumerate(base)]) for k in range(9)]
@@ -97,9 +168,10 @@ def test_a_text_like_only_one_of_a_crowd_is_in_its_class(spark, monkeypatch):
     def one_bucket(batches):
         for b in sign(batches):
             column = pa.array([[1]] * b.num_rows, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), column], ["doc_id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], column], ["doc_id", "digest", "bytes", "bands"])
 
     monkeypatch.setattr(dartminhash, "_sign", one_bucket)
+    monkeypatch.setattr(meeting, "PART_ROWS", part_rows)
     assert {r["class_id"] for r in dartminhash.classes(df).collect()} == {0}
 
 
