@@ -1,17 +1,22 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence a group.
 
 Lines are normalised (lower case, ASCII punctuation left out, single spaces). Equal normalised lines
-are one node. A node's SimHash has 64 bits, summed over its words. Nodes of one SimHash meet two leaders
-drawn from among them, which also stand for it among other SimHashes. Different SimHashes are compared
-where they are dealt the same, by two routes. Those within BLOCK_DISTANCE bits are found by the
-pigeonhole rule: of m blocks at least m - BLOCK_DISTANCE agree, so values are dealt out by every choice
-of that many blocks; m depends on how many values there are (the more, the more bits must agree).
-Lines at the edit similarity of SIMILARITY are mostly further apart: these share runs of words, so
-they are also dealt by their sketch, the least hashes of word shingles (shorter ones in short lines),
-and those within DISTANCE bits are candidates. Pairs whose lengths or letter counts are too far apart
-for the edit similarity are left out before texts are fetched, which loses nothing. Pairs are verified by the edit similarity
-of the normalised lines, and verified pairs make groups. The first line of a group by document and
-place stays, all its other occurrences go. Lines without words always stay.
+are one node. A node has two 64-bit SimHashes, over its words and over its pairs of words, and a
+sketch: the least hashes of its word shingles (shorter ones in short lines).
+
+Nodes are dealt by two routes. SimHashes within BLOCK_DISTANCE bits are found by the pigeonhole rule:
+of m blocks at least m - BLOCK_DISTANCE agree, so values are dealt out by every choice of that many
+blocks; m depends on how many values there are (the more, the more bits must agree), and changes only
+how many are dealt the same by chance. Lines at the edit similarity of SIMILARITY are mostly further
+apart: they share runs of words, so nodes are also dealt by every hash of their sketch, and are near
+if their SimHashes differ in at most DISTANCE and PAIR_DISTANCE bits.
+
+The nodes of a deal meet in groups of bounded size (see meeting). First each node is paired with the
+nearest one before it in all its deals alone, and verified by the edit similarity of the normalised lines.
+Then, in deals that still hold several components of these links, all near nodes of different
+components are verified inside their groups, so a crowd never makes all its pairs and none is left out.
+Verified links make groups. The first line of a group by document and place stays, all its other
+occurrences go. Lines without words always stay.
 """
 
 from __future__ import annotations
@@ -28,15 +33,16 @@ from pyspark.sql import functions as F
 from shelfspark import workspace
 from shelfspark.operators import graph
 
-from . import tokenizing, wordhash
+from . import edits, meeting, tokenizing, wordhash
 
-#: SimHashes of candidates differ in at most DISTANCE bits; the pigeonhole rule finds all within BLOCK_DISTANCE.
-DISTANCE, BLOCK_DISTANCE, SIMILARITY = 20, 3, 0.8
-#: Coordinates of a sketch. The first half are of shingles of three words, the others of two or one in short lines.
-SKETCH = 8
-#: A SimHash meets this many near ones of each deal, the first in the deal's own random order.
-PARTNERS = 8
-LINES = "row long, doc_id long, line int, h long, s long, sketch binary, size int, shape binary"
+#: Bits in which SimHashes over words may differ in a pigeonhole deal, in a sketch's deal, and those over pairs of words.
+BLOCK_DISTANCE, DISTANCE, PAIR_DISTANCE, SIMILARITY = 3, 18, 24, edits.SIMILARITY
+#: Lines shorter than this have too few pairs of words for the last bound.
+SHORT = 100
+#: Hashes of a sketch; shingles of three words, and half of them of two or of one word in lines of few words.
+SKETCH, FEW_WORDS, VERY_FEW_WORDS = 8, 12, 5
+KEYS = [f"k{i}" for i in range(SKETCH)]
+LINES = "row long, doc_id long, copy long, line int, h long, s long, g long, size int, " + ", ".join(f"{k} long" for k in KEYS)
 LINE_COLUMNS = [c.split()[0] for c in LINES.split(", ")]
 
 
@@ -45,72 +51,89 @@ def normalise(text: str) -> bytes:
     return text.lower().encode().translate(wordhash.NO_PUNCTUATION)
 
 
-def hash_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of normalised texts, for every line with words: its text's index, its number in it, its hash and its SimHash."""
-    return _read_lines(texts)[:4]
-
-
-def _read_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash_lines, and the lines' sketches (lines x SKETCH), lengths and letter counts."""
-    data, starts = wordhash.join(texts)
-    h, begin, _ = wordhash.words(data, starts)
-    if not len(h):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros((0, SKETCH), np.uint32), np.zeros(0, np.int64), np.zeros((0, SHAPE), np.uint8))
-    ends = np.flatnonzero(data == 10)
-    line = np.searchsorted(ends, begin)  # of each word
-    first = np.flatnonzero(np.diff(line, prepend=-1))
-    own = line[first]
-    at = np.concatenate([[0], ends + 1])[own]
-    text = np.searchsorted(starts, at, "right") - 1
-    number = own - np.searchsorted(ends, starts[text])
-    place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
-    whole = np.add.reduceat(wordhash.mix(h ^ wordhash.mix((place + 1).astype(np.uint64) * wordhash.GOLDEN)), first)
-    return text, number, wordhash.mix(whole), _simhash(h, first), _sketch(h, first, place), *_shape(data, ends, own, np.diff(np.append(first, len(h))))
-
-
-#: A byte's letter class; SHAPE for bytes that begin no character, and for white space.
-SHAPE = 15
-_LETTER = np.arange(256) % SHAPE
-_LETTER[128:192] = SHAPE
-_LETTER[[*range(9, 14), 32]] = SHAPE
-
-
-def _shape(data: np.ndarray, ends: np.ndarray, own: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths in characters, and characters of each letter class (255 at most), of the lines own, with single spaces."""
-    line = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
-    counts = np.bincount(line * (SHAPE + 1) + _LETTER[data], minlength=len(ends) * (SHAPE + 1)).reshape(-1, SHAPE + 1)[own, :SHAPE]
-    return counts.sum(axis=1) + words - 1, np.minimum(counts, 255).astype(np.uint8)
-
-
-def _sketch(h: np.ndarray, first: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """lines x SKETCH: of each coordinate's hash of the line's shingles, the upper half of the least.
-
-    A line shorter than its shingles has one of all its words.
-    """
-    counts = np.diff(np.append(first, len(h)))
-    grams = np.stack([wordhash.ngrams(h, k) for k in (1, 2, 3)])
-    short = np.where(counts > 12, 3, np.where(counts > 5, 2, 1))
-    out = np.empty((len(first), SKETCH), np.uint32)
-    for sizes, coordinates in ((np.full(len(first), 3), range(SKETCH // 2)), (short, range(SKETCH // 2, SKETCH))):
-        k = np.repeat(np.minimum(sizes, counts), counts)
-        whole = place + k <= np.repeat(counts, counts)
-        own = grams[k - 1, np.arange(len(h))]
-        for c in coordinates:
-            hashed = wordhash.mix(own ^ wordhash.mix(np.full(1, c + 1, np.uint64) * wordhash.GOLDEN))
-            out[:, c] = np.minimum.reduceat(np.where(whole, hashed, ~np.uint64(0)), first) >> np.uint64(32)
-    return out
+def normal_line(line: str) -> str:
+    """A line as its edit similarity is taken of."""
+    return b" ".join(normalise(line).split()).decode()
+
+
+class Lines:
+    """Every line with words of some normalised texts: its text's index, its number in it, and its digest."""
+
+    def __init__(self, texts: list[bytes]):
+        data, starts = wordhash.join(texts)
+        words, begin, _ = wordhash.words(data, starts)
+        ends = np.flatnonzero(data == 10)
+        line = np.searchsorted(ends, begin)  # of each word
+        first = np.flatnonzero(np.diff(line, prepend=-1))
+        own = line[first]
+        at = np.concatenate([[0], ends + 1])[own]
+        self.text = np.searchsorted(starts, at, "right") - 1
+        self.number = own - np.searchsorted(ends, starts[self.text])
+        self._words, self._first, self.counts = words, first, np.diff(np.append(first, len(words)))
+        self._line = np.repeat(np.arange(len(first)), self.counts)
+        self._place = np.arange(len(words)) - np.repeat(first, self.counts)
+        if len(first):
+            placed = wordhash.mix(words ^ (self._place + 1).astype(np.uint64) * wordhash.GOLDEN)
+            self.h = wordhash.mix(np.add.reduceat(placed, first))
+        else:
+            self.h = np.zeros(0, np.uint64)
+        # Characters: bytes that begin one and are no white space, and a space between words.
+        letters = np.concatenate([[0], np.cumsum(~wordhash.IS_SPACE[data] & ((data >= 192) | (data < 128)))])
+        self.size = letters[ends[own]] - letters[at] + self.counts - 1
+
+    def simhashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """SimHashes over words, and over pairs of words (the word itself in lines of one)."""
+        if not len(self._first):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        pairs = wordhash.ngrams(self._words, 2)
+        whole = (self._place + 1 < np.repeat(self.counts, self.counts)) | (np.repeat(self.counts, self.counts) == 1)
+        held = np.maximum(self.counts - 1, 1)
+        return _simhash(self._words, self._first, self.counts), _simhash(pairs[whole], np.cumsum(held) - held, held)
+
+    def sketches(self) -> np.ndarray:
+        """lines x SKETCH: the least different hashes of the line's shingles, 0 where there are fewer.
+
+        A line shorter than its shingles has one of all its words.
+        """
+        out = np.zeros((len(self._first), SKETCH), np.uint64)
+        half = SKETCH // 2
+        few, very_few = self.counts <= FEW_WORDS, self.counts <= VERY_FEW_WORDS
+        for k, lines, columns in ((3, ~few, (0, SKETCH)), (3, few, (0, half)), (2, few & ~very_few, (half, SKETCH)), (1, very_few, (half, SKETCH))):
+            if lines.any():
+                out[:, columns[0] : columns[1]] |= self._least(k, lines, columns[1] - columns[0])
+        return out
+
+    def _least(self, k: int, lines: np.ndarray, n: int) -> np.ndarray:
+        """lines x n: the n least shingles of k words of the marked lines."""
+        own = np.flatnonzero(lines[self._line])
+        count = self.counts[self._line[own]]
+        whole = self._place[own] + np.minimum(k, count) <= count
+        own, count = own[whole], count[whole]
+        grams = self._words.copy()
+        for j in range(1, k):  # a shingle ends with its line
+            longer = np.flatnonzero(self._place + j < self.counts[self._line])
+            step = wordhash.mix(grams[longer] * wordhash.GOLDEN + self._words[longer + j])
+            grams[longer] = step
+        h = wordhash.mix(grams[own] + np.uint64(k) * wordhash.GOLDEN)
+        key = np.sort(self._line[own].astype(np.uint64) << np.uint64(40) | h >> np.uint64(24))
+        key = key[np.append(True, key[1:] != key[:-1])]
+        line = (key >> np.uint64(40)).astype(np.int64)
+        nth = np.arange(len(key)) - np.searchsorted(line, line)
+        kept = nth < n
+        out = np.zeros((len(lines), n), np.uint64)
+        out[line[kept], nth[kept]] = wordhash.mix((key[kept] & np.uint64((1 << 40) - 1)) * np.uint64(4) + np.uint64(k)) | np.uint64(1)
+        return out
 
 
 #: A byte's bits, each in a byte of its own.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
-def _simhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each line, whose words begin at first: every bit that more than half of the words' hashes have.
+def _simhash(h: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each line, whose hashes begin at first: every bit that more than half of them have.
 
-    Bits are counted eight at a time, in the bytes of a number, over at most 255 words at once.
+    Bits are counted eight at a time, in the bytes of a number, over at most 255 hashes at once.
     """
-    counts = np.diff(np.append(first, len(h)))
     parts = -(-counts // 255)
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     sums = np.add.reduceat(_SPREAD[h.view(np.uint8)].reshape(-1, 8), np.repeat(first, parts) + 255 * nth, axis=0).view(np.uint8).reshape(-1, 64)
@@ -119,25 +142,20 @@ def _simhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(2 * sums.astype(np.int32) > counts[:, None], axis=1).reshape(-1).view(np.uint64)
 
 
-def _packed(rows: np.ndarray) -> pa.Array:
-    return pa.array([x.tobytes() for x in rows], pa.binary())
-
-
-def _unpacked(column: pa.Array, kind: type, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
-
-
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
-        numbered = batch.num_columns > 2
+        numbered = batch.num_columns > 3
         done = 0
         for keys, texts in tokenizing.slices(batch.column(0), batch.column(1)):
-            rows = batch.column(2)[done : done + len(keys)].to_numpy() if numbered else np.arange(row, row + len(keys))
+            at = slice(done, done + len(keys))
+            rows = batch.column(3)[at].to_numpy() if numbered else np.arange(row, row + len(keys))
             row, done = row + len(keys), done + len(keys)
-            text, number, h, s, sketch, size, shape = _read_lines([normalise(t) for t in texts])
-            doc = pa.array(keys, pa.int64()).take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[text], pa.int64()), doc, pa.array(number.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), _packed(sketch), pa.array(size.astype(np.int32)), _packed(shape)], LINE_COLUMNS)
+            lines = Lines([normalise(t) for t in texts])
+            text, (s, g) = pa.array(lines.text), lines.simhashes()
+            columns = [pa.array(rows, pa.int64()).take(text), pa.array(keys, pa.int64()).take(text), batch.column(2)[at].take(text), pa.array(lines.number.astype(np.int32))]
+            columns += [pa.array(x.view(np.int64)) for x in (lines.h, s, g)] + [pa.array(lines.size.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(x) for x in lines.sketches().view(np.int64).T.copy()], LINE_COLUMNS)
 
 
 def plan_blocks(values: int) -> tuple[int, int]:
@@ -150,242 +168,195 @@ def plan_blocks(values: int) -> tuple[int, int]:
 
 
 def _deal(s: np.ndarray, m: int, agree: int) -> np.ndarray:
-    """values x deals: the agreed bits of each choice of blocks, mixed with the choice's number."""
+    """values x deals: the agreed bits of each choice of blocks, mixed with the choice's number. Always even."""
     cuts = [64 * i // m for i in range(m + 1)]
     masks = [np.uint64((1 << cuts[i + 1]) - (1 << cuts[i])) for i in range(m)]
     out = []
     for number, choice in enumerate(combinations(range(m), agree)):
         mask = np.bitwise_or.reduce([masks[i] for i in choice])
-        out.append(wordhash.mix((s & mask) ^ wordhash.mix(np.full(1, number + 1, np.uint64) * wordhash.GOLDEN)))
+        out.append(wordhash.mix((s & mask) ^ wordhash.mix(np.full(1, number + 1, np.uint64) * wordhash.GOLDEN)) & ~np.uint64(1))
     return np.stack(out, axis=1)
 
 
-def _deal_sketch(sketch: np.ndarray) -> np.ndarray:
-    """lines x SKETCH: each coordinate, mixed with its number."""
-    return wordhash.mix(sketch.astype(np.uint64) | np.arange(1, SKETCH + 1, dtype=np.uint64) << np.uint64(32))
-
-
-def near_in_deal(s: np.ndarray, order: np.ndarray, size: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[int, int]]:
-    """Pairs of positions of near values of like sizes in one deal: each value and the first PARTNERS near it by order."""
-    ranked = np.argsort(order, kind="stable")
-    mine, long = s[ranked], size[ranked]
-    for at in range(0, len(mine), 512):
-        some = mine[at : at + 512]
-        near = np.bitwise_count(some[:, None] ^ mine[None, : at + len(some)]) <= distance
-        near &= _like_sizes(long[at : at + 512, None], long[None, : at + len(some)])
-        near &= np.arange(at + len(some))[None, :] < (at + np.arange(len(some)))[:, None]
-        for i in np.flatnonzero(near.any(axis=1)).tolist():
-            for j in np.flatnonzero(near[i])[:PARTNERS].tolist():
-                yield int(ranked[at + i]), int(ranked[j])
-
-
-def _like_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether lines of these lengths may have the edit similarity; size 0 stands for any."""
-    least, most = np.minimum(a, b), np.maximum(a, b)
-    return (most - least <= (1 - SIMILARITY) * most + 1e-6) | (least == 0)
-
-
-SMALL_DEAL = 64
-
-
-def _near_in_deals(deal: np.ndarray, s: np.ndarray, size: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
-    """Positions of near values, pairs x 2, over whole deals in order; small deals of one size are compared together."""
-    order = wordhash.mix(s ^ deal)
-    edges = np.concatenate([[0], np.flatnonzero(deal[1:] != deal[:-1]) + 1, [len(deal)]])
-    sizes, out = np.diff(edges), []
-    for n in np.unique(sizes).tolist():
-        at = edges[:-1][sizes == n]
-        if n > SMALL_DEAL:
-            out += [np.array(list(near_in_deal(s[a : a + n], order[a : a + n], size[a : a + n], distance)), np.int64).reshape(-1, 2) + a for a in at.tolist()]
-        elif n > 1:
-            for few in np.array_split(at, -(-len(at) * n * n // 2_000_000)):
-                place = few[:, None] + np.arange(n)
-                place = np.take_along_axis(place, np.argsort(order[place], axis=1), axis=1)
-                mine = s[place]
-                near = np.bitwise_count(mine[:, :, None] ^ mine[:, None, :]) <= distance
-                near &= _like_sizes(size[place][:, :, None], size[place][:, None, :])
-                near &= np.tri(n, k=-1, dtype=bool)
-                near &= np.cumsum(near, axis=2) <= PARTNERS
-                g, i, j = np.nonzero(near)
-                out.append(np.stack([place[g, i], place[g, j]], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-
-def _near_values(batches: Iterator[pa.RecordBatch], distance: int = DISTANCE) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by deal and SimHash: near SimHashes s, t, equal rows counting once. The last deal of a batch waits for the next batch."""
-    rest = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)]
-
-    def pairs(deal: np.ndarray, s: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        new = np.append(True, (deal[1:] != deal[:-1]) | (s[1:] != s[:-1]) | (size[1:] != size[:-1]))
-        deal, s, size = deal[new], s[new], size[new]
-        found = _near_in_deals(deal, s, size, distance)
-        a, b = s.view(np.int64)[found[:, 0]], s.view(np.int64)[found[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["s", "t"])
+def near(deal: np.ndarray, s: np.ndarray, g: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the second-last axis are near which of the last, for arrays that broadcast so; odd deals are sketches."""
+    facing = lambda x: (x[..., :, None], x[..., None, :])
+    (sa, sb), (ga, gb), (la, lb) = facing(s), facing(g), facing(size)
+    most = np.maximum(la, lb)
+    words = np.bitwise_count(sa ^ sb) <= np.where(deal & 1, DISTANCE, BLOCK_DISTANCE)[..., :, None]
+    pairs = (np.bitwise_count(ga ^ gb) <= PAIR_DISTANCE) | (most < SHORT) | (deal & 1 == 0)[..., :, None]
+    return (most - np.minimum(la, lb) <= (1 - SIMILARITY) * most + 1e-6) & words & pairs
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by deal those that are not alone in theirs."""
+    held: pa.RecordBatch | None = None  # the last row so far
+    joins = False  # whether it has the deal of the one before it
 
     for batch in batches:
-        new = [*(c.to_numpy().view(np.uint64) for c in batch.columns[:2]), batch.column(2).to_numpy()]
-        rows = [np.concatenate(x) for x in zip(rest, new, strict=True)]
-        if not len(rows[0]):
+        if not batch.num_rows:
             continue
-        whole = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
-        if whole:
-            yield pairs(*(x[:whole] for x in rows))
-        rest = [x[whole:] for x in rows]
-    if len(rest[0]):
-        yield pairs(*rest)
-
-
-def _trimmed(a, b) -> tuple:
-    """Two sequences without their equal ends."""
-    head, most = 0, min(len(a), len(b))
-    while head < most and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    return a[head : len(a) - tail], b[head : len(b) - tail]
-
-
-def _distance(a, b) -> int:
-    """Edit distance of two sequences, bit-parallel over the first."""
-    a, b = _trimmed(a, b)
-    if not a or not b:
-        return max(len(a), len(b))
-    where: dict = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full, top, distance = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
-    plus, minus = full, 0
-    for c in b:
-        match = where.get(c, 0)
-        diagonal = ((match & plus) + plus ^ plus | match | minus) & full
-        up = minus | ~(diagonal | plus) & full
-        down = plus & diagonal
-        distance += bool(up & top) - bool(down & top)
-        up, down = up << 1 | 1, down << 1
-        plus = (down | ~(diagonal | up)) & full
-        minus = up & diagonal & full
-    return distance
-
-
-def edit_similarity(a: str, b: str) -> float:
-    """1 less the edit distance by the longer length; 1 for two empty lines."""
-    longest = max(len(a), len(b))
-    return 1 - _distance(a, b) / longest if longest else 1.0
-
-
-def alike(a: str, b: str) -> bool:
-    """Whether edit_similarity is SIMILARITY or more.
-
-    Most pairs are settled sooner: lengths too far apart rule it out, and words edited in all,
-    each as costly as the longest with its space, may be few enough to be sure of it.
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        deal = rows.column(0).to_numpy()
+        same = deal[1:] == deal[:-1]
+        mark = np.append(same, False) | np.append(joins, same)
+        yield rows.slice(0, len(deal) - 1).filter(pa.array(mark[:-1]))
+        held, joins = rows.slice(len(deal) - 1), bool(mark[-1])
+    if held is not None and joins:
+        yield held
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Groups by size: rows, and the places of the rows of groups of one size, groups x members."""
+    for rows, edges in meeting.whole_groups(batches, keys):
+        sizes = np.diff(edges)
+        for n in np.unique(sizes[sizes > 1]).tolist():
+            places = edges[:-1][sizes == n][:, None] + np.arange(n)
+            for some in np.array_split(places, -(-places.size * n // 1_000_000)):
+                yield rows, some, np.arange(n)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows deal, a, b, part, id, s, g, size sorted by group: those with a near one, and the nearest of less id with its bits apart."""
+    for rows, place, n in _groups(batches, 3):
+        deal, part, node = (rows.column(i).to_numpy()[place] for i in (0, 3, 4))
+        s, g, size = rows.column(5).to_numpy().view(np.uint64)[place], rows.column(6).to_numpy().view(np.uint64)[place], rows.column(7).to_numpy()[place]
+        found = _met(near(deal, s, g, size), part, n)
+        bits = np.bitwise_count(s[:, :, None] ^ s[:, None, :]) + np.bitwise_count(g[:, :, None] ^ g[:, None, :])
+        bits[~(found & (node[:, None, :] < node[:, :, None]))] = 255
+        at = bits.argmin(axis=2)
+        least = np.take_along_axis(bits, at[:, :, None], axis=2)[:, :, 0]
+        some = found.any(axis=2)
+        kept, none = rows.take(pa.array(place[some])), least[some] == 255
+        columns = [pa.array(np.take_along_axis(node, at, axis=1)[some], pa.int64(), mask=none), pa.array(least[some].astype(np.int32), pa.int32(), mask=none)]
+        yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*rows.schema.names, "nearest", "bits"])
+
+
+def _met(found: np.ndarray, part: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Pairs of two parts, or within the part if there is but one; no row with itself."""
+    across = (part.min(axis=1) != part.max(axis=1))[:, None, None]
+    return found & (n[:, None] != n[None, :]) & (~across | (part[:, :, None] != part[:, None, :]))
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows deal, a, b, part, id, s, g, size, partner, root, keys, raw sorted by group: links of near rows of different roots.
+
+    A row and its partner have been compared before.
     """
-    longest = max(len(a), len(b))
-    if abs(len(a) - len(b)) > (1 - SIMILARITY) * longest + 1e-6:
-        return False
-    x, y = _trimmed(a.split(" "), b.split(" "))
-    costliest = 1 + max(map(len, x + y), default=0)
-    if _distance(x, y) * costliest <= (1 - SIMILARITY) * longest:
-        return True
-    if longest > 64 and _trigrams_apart(a, b) > 3 * (1 - SIMILARITY) * longest + 1e-6:
-        return False
-    return edit_similarity(a, b) >= SIMILARITY
-
-
-def _trigrams_apart(a: str, b: str) -> int:
-    """Trigrams that one line has more often than the other; an edit changes three of a line at most. Hashing only lowers it."""
-    counts = []
-    for t in (a, b):
-        c = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-        counts.append(np.bincount((c[:-2] * np.uint32(961) + c[1:-1] * np.uint32(31) + c[2:]) % np.uint32(4093), minlength=4093))
-    apart = counts[0] - counts[1]
-    return max(int(apart[apart > 0].sum()), -int(apart[apart < 0].sum()))
-
-
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs u, v whose lengths and letter counts allow the edit similarity: an edit changes a count up and one down at most."""
-    for batch in batches:
-        size = [batch.column(i).to_numpy() for i in (2, 3)]
-        a, b = (_unpacked(batch.column(i), np.uint8, SHAPE).astype(np.int32) for i in (4, 5))
-        most = np.maximum(np.maximum(a - b, 0).sum(axis=1), np.maximum(b - a, 0).sum(axis=1))
-        close = _like_sizes(*size) & (most <= (1 - SIMILARITY) * np.maximum(*size) + 1e-6)
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(close)) for i in (0, 1)], ["u", "v"])
+    first_key = 10
+    for rows, edges in meeting.whole_groups(batches, 3):
+        pairs = []
+        for n in (x for x in range(len(edges) - 1) if edges[x + 1] - edges[x] > 1):
+            own = slice(edges[n], edges[n + 1])
+            deal, part, node, s, g, size, root = (rows.column(i)[own].to_numpy() for i in (0, 3, 4, 5, 6, 7, 9))
+            partner = rows.column(8)[own].fill_null(-1).to_numpy()
+            found = _met(near(deal, s.view(np.uint64), g.view(np.uint64), size)[None], part[None], np.arange(len(deal)))[0] & (root[:, None] != root[None, :])
+            i, j = np.nonzero(np.triu(found))
+            new = (partner[i] != node[j]) & (partner[j] != node[i])
+            i, j = i[new], j[new]
+            keys = np.stack([rows.column(c)[own].to_numpy() for c in range(first_key, first_key + SKETCH)], axis=1) if deal[0] & 1 else None
+            if keys is not None and len(i):  # a pair that shares several hashes is compared in the least of them
+                shared = (keys[i][:, :, None] == keys[j][:, None, :]) & (keys[i] != 0)[:, :, None]
+                first = np.where(shared.any(axis=2), keys[i], np.iinfo(np.int64).max).min(axis=1) == deal[0]
+                i, j = i[first], j[first]
+            pairs.append(np.stack([i, j], axis=1) + edges[n])
+        met = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        wanted = np.unique(met)
+        text = dict(zip(wanted.tolist(), map(normal_line, rows.column(first_key + SKETCH).take(pa.array(wanted)).to_pylist()), strict=True))
+        node = rows.column(4).to_numpy()
+        for some in np.array_split(met, -(-len(met) // 4000) or 1):
+            alike = edits.alike([text[i] for i in some[:, 0].tolist()], [text[j] for j in some[:, 1].tolist()])
+            linked = node[some[alike]]
+            yield pa.RecordBatch.from_arrays([pa.array(linked.min(axis=1) if len(linked) else linked[:, 0]), pa.array(linked.max(axis=1) if len(linked) else linked[:, 0])], ["u", "v"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        u, v, a, b = (c.to_pylist() for c in batch.columns)
-        kept = [i for i in range(len(u)) if alike(a[i], b[i])]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in kept], pa.int64()) for x in (u, v)], ["u", "v"])
-
+        a, b = ([normal_line(t) for t in batch.column(i).to_pylist()] for i in (2, 3))
+        kept = pa.array(edits.alike(a, b))
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(kept) for i in (0, 1)], ["u", "v"])
 
-def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for wanted, texts in tokenizing.slices(batch.column(1), batch.column(0)):
-            out: dict[int, str] = {}
-            own = [normalise(t) for t in texts]
-            lines = [t.split(b"\n") for t in own]
-            text, number, h, _ = hash_lines(own)
-            want = set().union(*wanted)
-            for i, n, x in zip(text.tolist(), number.tolist(), h.view(np.int64).tolist(), strict=True):
-                if x in want:
-                    out[x] = b" ".join(lines[i][n].split()).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.string())], ["h", "t"])
 
+def _raw_lines(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, raw: the line as it stands in a document that holds it, for every wanted id."""
+    place = workspace.materialize(wanted.distinct().join(nodes.select("id", "doc_id", "copy", "line"), "id"), "wanted_lines")
+    held = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_copy"), "text")
+    by_doc = place.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("id", "line")).alias("lines"))
+    by_doc = workspace.materialize(by_doc, "wanted_by_document")
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_copy") == F.col("copy"))
+    cut = held.join(workspace.broadcast_if_small(by_doc), same).select(F.split("text", "\n", -1).alias("cut"), "lines")
+    found = cut.select("cut", F.explode("lines").alias("x")).select("x.id", F.get("cut", F.col("x.line")).alias("raw"))
+    return workspace.materialize(found.dropDuplicates(["id"]), "raw_lines")  # rows alike in id and text give a line twice
 
-def duplicate_lines(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The lines of docs (LINES), and the ones to drop: row, line.
 
-    docs needs doc_id and text. row: a column that numbers its rows; without it rows are numbered as
-    they are read. Null and empty texts have no lines with words. Equal lines of one document are
-    duplicates of each other too. Rows alike in all columns count as different documents: the later
-    one loses its lines. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(row).cast("long")] if row else []))
-    lines = workspace.materialize(read.mapInArrow(_digest, LINES), "lines")
-    nodes = lines.groupBy("h").agg(F.min("s").alias("s"), F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("sketch", "size", "shape")])
-    nodes = workspace.materialize(nodes, "line_nodes")
-    # Equal SimHashes: each node and two leaders drawn from among them.
-    drawn, node = F.xxhash64("h"), F.struct("h", "size", "shape")
-    values = workspace.materialize(nodes.groupBy("s").agg(F.min_by(node, drawn).alias("a"), F.max_by(node, drawn).alias("b"), F.count(F.lit(1)).alias("n")), "simhashes")
-    equal = nodes.select(node.alias("u"), "s").join(values.where("n > 1").select("s", "a", "b"), "s").select("u", F.explode(F.array("a", "b")).alias("v"))
-    m, agree = plan_blocks(values.count())
+def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Verified links u, v of node ids, enough to join all that links join."""
+    m, agree = plan_blocks(nodes.count())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = batch.column(0).to_numpy()
-            deals = _deal(s.view(np.uint64), m, agree).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(deals.ravel()), pa.array(np.repeat(s, deals.shape[1]))], ["deal", "s"])
+            deals = _deal(batch.column(1).to_numpy().view(np.uint64), m, agree).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(deals.ravel()), *(pa.array(np.repeat(batch.column(i).to_numpy(), deals.shape[1])) for i in (0, 1))], ["deal", "id", "s"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of pigeonhole deals with a near SimHash in theirs; those of a large deal are left to its groups."""
+        for rows, edges in meeting.whole_groups(batches, 1):
+            sizes, s, kept = np.diff(edges), rows.column(2).to_numpy().view(np.uint64), np.zeros(rows.num_rows, bool)
+            for n in np.unique(sizes[sizes > 1]).tolist():
+                places = edges[:-1][sizes == n][:, None] + np.arange(n)
+                if n > meeting.PART_ROWS:
+                    kept[places] = True
+                    continue
+                for some in np.array_split(places, -(-places.size * n // 1_000_000)):
+                    kept[some] = (np.bitwise_count(s[some][:, :, None] ^ s[some][:, None, :]) <= BLOCK_DISTANCE).sum(axis=2) > 1
+            yield rows.select(["deal", "id"]).filter(pa.array(kept))
+
+    by_block = nodes.select("id", "s").mapInArrow(deal, "deal long, id long, s long").repartition("deal").sortWithinPartitions("deal")
+    by_sketch = nodes.select(F.explode(F.array(*KEYS)).alias("deal"), "id").where("deal <> 0").repartition("deal").sortWithinPartitions("deal")
+    dealt = by_block.mapInArrow(close, "deal long, id long").unionByName(by_sketch.mapInArrow(_several, "deal long, id long"))
+    dealt = workspace.materialize(dealt, "dealt")
+    grouped = meeting.deal(dealt, "deal", "id").join(nodes.select("id", "s", "g", "size"), "id").select("deal", "a", "b", "part", "id", "s", "g", "size")
+    kind = "deal long, a int, b int, part int, id long, s long, g long, size int, nearest long, bits int"
+    close_by = workspace.materialize(grouped.repartition("deal", "a", "b").sortWithinPartitions("deal", "a", "b").mapInArrow(_nearest, kind), "near_lines")
+
+    best = close_by.where("nearest IS NOT NULL").groupBy("id").agg(F.min_by("nearest", "bits").alias("partner"))
+    pairs = workspace.materialize(best.select(F.col("id").alias("u"), F.col("partner").alias("v")), "line_pairs")
+    raw = _raw_lines(docs, nodes, close_by.select("id"))
+    a, b = raw.select(F.col("id").alias("u"), F.col("raw").alias("ra")), raw.select(F.col("id").alias("v"), F.col("raw").alias("rb"))
+    links = workspace.materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "ra", "rb").mapInArrow(_verify, "u long, v long"), "line_links", meeting.BATCH_BYTES)
 
-    def deal_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            deals = _deal_sketch(_unpacked(batch.column(1), np.uint32, SKETCH)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(deals.ravel()), *(pa.array(np.repeat(batch.column(i).to_numpy(), SKETCH)) for i in (0, 2))], ["deal", "s", "size"])
-
-    def near_pairs(dealt: DataFrame, distance: int) -> DataFrame:
-        return dealt.repartition("deal").sortWithinPartitions("deal", "s", "size").mapInArrow(lambda batches: _near_values(batches, distance), "s long, t long")
-
-    near = near_pairs(values.select("s").mapInArrow(deal, "deal long, s long").withColumn("size", F.lit(0)), BLOCK_DISTANCE)
-    near = near.unionByName(near_pairs(nodes.select("s", "sketch", "size").mapInArrow(deal_sketch, "deal long, s long, size int"), DISTANCE)).distinct()
-    leaders = values.select("s", "a", "b")
-    near = near.join(leaders, "s").join(leaders.select(F.col("s").alias("t"), F.col("a").alias("c"), F.col("b").alias("d")), "t")
-    near = near.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("c").alias("v")), F.struct(F.col("b").alias("u"), F.col("d").alias("v")))).alias("p")).select("p.u", "p.v")
-    met = equal.unionByName(near).where(F.col("u.h") != F.col("v.h")).select("u.h", F.col("v.h").alias("k"), "u.size", F.col("v.size").alias("l"), "u.shape", F.col("v.shape").alias("m"))
-    met = met.mapInArrow(_close, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = workspace.materialize(met.distinct(), "line_pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct().join(nodes.select("h", F.col("first.doc_id").alias("doc_id")), "h")
-    wanted = workspace.materialize(ends.groupBy("doc_id").agg(F.collect_list("h").alias("wanted")), "wanted_lines")
-    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(workspace.broadcast_if_small(wanted), "doc_id").select("text", "wanted")
-    texts = workspace.materialize(texts.mapInArrow(_line_texts, "h long, t string").dropDuplicates(["h"]), "line_texts")
-    a, b = texts.select(F.col("h").alias("u"), F.col("t").alias("ta")), texts.select(F.col("h").alias("v"), F.col("t").alias("tb"))
-    links = workspace.materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "ta", "tb").mapInArrow(_verify, "u long, v long"), "line_links")
     roots = graph.components(links)
-    grouped = nodes.select("h", "first", "n").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    # Groups with more than one occurrence, and the one that stays.
-    groups = grouped.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("stays")).where("n > 1")
-    crowded = workspace.materialize(grouped.join(groups.select("root", "stays"), "root").select("h", "stays"), "line_groups")
-    drop = lines.join(crowded, "h").where((F.col("row") != F.col("stays.row")) | (F.col("line") != F.col("stays.line"))).select("row", "line")
+    rooted = close_by.drop("nearest", "bits").join(pairs.select(F.col("u").alias("id"), F.col("v").alias("partner")), "id", "left")
+    rooted = rooted.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = workspace.materialize(rooted, "rooted_lines")
+    several = rooted.groupBy("deal").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("deal")
+    met = rooted.join(several, "deal").join(nodes.select("id", *KEYS), "id").join(raw, "id").select("deal", "a", "b", "part", "id", "s", "g", "size", "partner", "root", *KEYS, "raw")
+    more = met.repartition("deal", "a", "b").sortWithinPartitions("deal", "a", "b").mapInArrow(_join, "u long, v long")
+    return links.unionByName(workspace.materialize(more, "line_links", meeting.BATCH_BYTES))
+
+
+def duplicate_lines(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The lines of docs (LINES), and the ones to drop: row, line.
+
+    docs needs doc_id and text. row: a column that numbers its rows; without it rows are numbered as
+    they are read. Null and empty texts have no lines with words. Null ids come first, and ids may
+    repeat. Equal lines of one document are duplicates of each other too. Rows alike in all columns
+    count as different documents: the later one loses its lines. An empty table gives no rows.
+    """
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"), *([F.col(row).cast("long").alias("row")] if row else []))
+    lines = workspace.materialize(read.mapInArrow(_digest, LINES), "lines", meeting.BATCH_BYTES)
+    # All of fixed width, so that hashing and no sorting finds the nodes; first() takes one row's values.
+    nodes = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "copy", "line", "s", "g", "size", *KEYS)])
+    nodes = workspace.materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "line_nodes")
+    roots = workspace.materialize(graph.components(_links(docs, nodes)), "line_roots")
+    # Lines that occur once and are like no other stay out of all that follows.
+    ends = roots.select(F.col("node").alias("id"), "root").unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+    grouped = nodes.select("h", "id", "n").join(ends, "id", "left").where("n > 1 OR root IS NOT NULL").select("h", F.coalesce("root", "id").alias("root"))
+    grouped = workspace.materialize(grouped, "line_groups")
+    crowded = workspace.materialize(lines.select("row", "doc_id", "line", "h").join(workspace.broadcast_if_small(grouped), "h").select("row", "doc_id", "line", "root"), "crowded_lines")
+    stays = crowded.groupBy("root").agg(F.min(F.struct("doc_id", "row", "line")).alias("stays"))
+    stays = workspace.broadcast_if_small(workspace.materialize(stays, "first_lines"))
+    drop = crowded.join(stays, "root").where((F.col("row") != F.col("stays.row")) | (F.col("line") != F.col("stays.line"))).select("row", "line")
     return lines, drop
 
 
@@ -393,16 +364,18 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
     """docs with duplicate lines taken out of the texts; n_chars, if there, follows the text. Rows and other columns stay.
 
     A document all of whose lines occur earlier is left with its lines without words, or an empty text.
+    Columns of docs may have any names.
     """
-    numbered = workspace.materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    _, drop = duplicate_lines(numbered, "__row")
-    dropped = workspace.materialize(drop.groupBy(F.col("row").alias("__row")).agg(F.collect_set("line").alias("__drop")), "dropped_lines")
-    joined = numbered.join(workspace.broadcast_if_small(dropped), "__row", "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(left))
+    numbered = workspace.materialize(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    _, drop = duplicate_lines(numbered.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), "row"), "row")
+    dropped = workspace.materialize(drop.groupBy("row").agg(F.collect_set("line").alias("lost")), "dropped_lines")
+    joined = numbered.join(workspace.broadcast_if_small(dropped), "row", "left").withColumn("cut", F.when(F.col("lost").isNotNull(), F.split("doc.text", "\n", -1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("cut") - 1), "lost")  # by a hash set: linear in the lines
+    left = F.array_join(F.transform(kept, lambda i: F.get("cut", i)), "\n")
+    out = {"text": F.when(F.col("lost").isNull(), F.col("doc.text")).otherwise(left)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out["n_chars"] = F.when(F.col("lost").isNull(), F.col("doc.n_chars")).otherwise(F.length(left).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[out.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from shelfspark import workspace
 
 #: Members and bytes of one part; a group holds two parts at most.
-PART_ROWS, PART_BYTES = 2048, 16_000_000
+PART_ROWS, PART_BYTES = 1024, 16_000_000
 #: Bytes that a Python worker is handed at once.
 BATCH_BYTES = 8_000_000
 

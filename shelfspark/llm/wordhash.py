@@ -14,8 +14,8 @@ _M1, _M2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 _BASE = 0x5851F42D4C957F2D  # an odd multiplier
 
 _SPACES = bytes(range(9, 14)) + b" "
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(_SPACES)] = True
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[list(_SPACES)] = True
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 NO_PUNCTUATION = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
 
@@ -52,7 +52,7 @@ def join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of joined texts: each word's hash, each word's first byte, and where each text's words begin (one more: the end)."""
-    solid = ~_IS_SPACE[data]
+    solid = ~IS_SPACE[data]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).view(np.int8)))
     begin, end = edges[::2], edges[1::2]
     n = len(data)
