@@ -2,7 +2,7 @@
 
 Lines are normalised (lower case, ASCII punctuation left out, single spaces). Equal normalised lines
 are one node. A node has two 64-bit SimHashes, over its words and over its pairs of words, and a
-sketch: the least hashes of its word shingles (shorter ones in short lines).
+sketch: the least hashes of its word shingles (longer ones in longer lines).
 
 Nodes are dealt by two routes. SimHashes within BLOCK_DISTANCE bits are found by the pigeonhole rule:
 of m blocks at least m - BLOCK_DISTANCE agree, so values are dealt out by every choice of that many
@@ -39,8 +39,10 @@ from . import edits, meeting, tokenizing, wordhash
 BLOCK_DISTANCE, DISTANCE, PAIR_DISTANCE, SIMILARITY = 3, 18, 24, edits.SIMILARITY
 #: Lines shorter than this have too few pairs of words for the last bound.
 SHORT = 100
-#: Hashes of a sketch; shingles of three words, and half of them of two or of one word in lines of few words.
-SKETCH, FEW_WORDS, VERY_FEW_WORDS = 8, 12, 5
+#: Hashes of a sketch, and the words of its shingles (half of them of each length) in lines of at most so many words.
+SKETCH, SHINGLES = 8, ((9, 3, 3), (15, 3, 4), (24, 4, 5), (1 << 40, 5, 5))
+#: Lines of at most so many words are also sketched by all their words but one.
+VERY_FEW_WORDS = 5
 KEYS = [f"k{i}" for i in range(SKETCH)]
 LINES = "row long, doc_id long, copy long, line int, h long, s long, g long, size int, " + ", ".join(f"{k} long" for k in KEYS)
 LINE_COLUMNS = [c.split()[0] for c in LINES.split(", ")]
@@ -93,16 +95,38 @@ class Lines:
     def sketches(self) -> np.ndarray:
         """lines x SKETCH: the least different hashes of the line's shingles, 0 where there are fewer.
 
-        A line shorter than its shingles has one of all its words.
+        Longer lines have longer shingles, so that lines which only share common words seldom share
+        a hash. Lines of very few words have the hashes of all their words, and of all but each one.
         """
         out = np.zeros((len(self._first), SKETCH), np.uint64)
-        half = SKETCH // 2
-        few, very_few = self.counts <= FEW_WORDS, self.counts <= VERY_FEW_WORDS
-        for k, lines, columns in ((3, ~few, (0, SKETCH)), (3, few, (0, half)), (2, few & ~very_few, (half, SKETCH)), (1, very_few, (half, SKETCH))):
+        half, least = SKETCH // 2, 0
+        for most, k, longer in SHINGLES:
+            lines = (self.counts > least) & (self.counts <= most)
             if lines.any():
-                out[:, columns[0] : columns[1]] |= self._least(k, lines, columns[1] - columns[0])
+                if k == longer:
+                    out |= self._least(k, lines, SKETCH)
+                else:
+                    out[:, :half] |= self._least(k, lines, half)
+                    out[:, half:] |= self._least(longer, lines, half)
+            least = most
+        few = np.flatnonzero(self.counts <= VERY_FEW_WORDS)
+        if len(few):
+            out[few, SKETCH - VERY_FEW_WORDS - 1 :] = self._all_but_one(few)
         return out
 
+    def _all_but_one(self, lines: np.ndarray) -> np.ndarray:
+        """Of lines of very few words the hashes of all words, and of all but the first, the second, ... word."""
+        n = VERY_FEW_WORDS
+        held = np.arange(n) < self.counts[lines][:, None]
+        words = self._words[np.minimum(self._first[lines][:, None] + np.arange(n), len(self._words) - 1)]
+        at = lambda x, place: wordhash.mix(x ^ wordhash.mix(np.uint64(place + 1) * np.full(1, wordhash.GOLDEN)))
+        here, before = (np.where(held, np.stack([at(words[:, j], max(0, j - d)) for j in range(n)], axis=1), 0) for d in (0, 1))
+        out = np.zeros((len(lines), n + 1), np.uint64)
+        out[:, n] = here.sum(axis=1)
+        for i in range(n):
+            out[:, i] = np.where(held[:, i] & (self.counts[lines] > 1), here[:, :i].sum(axis=1) + before[:, i + 1 :].sum(axis=1), 0)
+        return np.where(out == 0, 0, wordhash.mix(out) | np.uint64(1))
+
     def _least(self, k: int, lines: np.ndarray, n: int) -> np.ndarray:
         """lines x n: the n least shingles of k words of the marked lines."""
         own = np.flatnonzero(lines[self._line])
