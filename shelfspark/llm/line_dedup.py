@@ -46,6 +46,8 @@ VERY_FEW_WORDS = 5
 KEYS = [f"k{i}" for i in range(SKETCH)]
 LINES = "row long, doc_id long, copy long, line int, h long, s long, g long, size int, " + ", ".join(f"{k} long" for k in KEYS)
 LINE_COLUMNS = [c.split()[0] for c in LINES.split(", ")]
+#: Rows without texts, and pairs of lines and their characters, that a worker takes together.
+MANY_ROWS, MANY_PAIRS, MANY_LETTERS = 100_000, 16_000, 24_000_000
 
 
 def normalise(text: str) -> bytes:
@@ -74,6 +76,8 @@ class Lines:
         self._words, self._first, self.counts = words, first, np.diff(np.append(first, len(words)))
         self._line = np.repeat(np.arange(len(first)), self.counts)
         self._place = np.arange(len(words)) - np.repeat(first, self.counts)
+        self._left = np.repeat(self.counts, self.counts) - self._place  # words from each to its line's end
+        self._grams = {1: words}
         if len(first):
             placed = wordhash.mix(words ^ (self._place + 1).astype(np.uint64) * wordhash.GOLDEN)
             self.h = wordhash.mix(np.add.reduceat(placed, first))
@@ -87,8 +91,8 @@ class Lines:
         """SimHashes over words, and over pairs of words (the word itself in lines of one)."""
         if not len(self._first):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        pairs = wordhash.ngrams(self._words, 2)
-        whole = (self._place + 1 < np.repeat(self.counts, self.counts)) | (np.repeat(self.counts, self.counts) == 1)
+        pairs = self._shingles(2)
+        whole = (self._left > 1) | (self._place == 0) & (self._left == 1)
         held = np.maximum(self.counts - 1, 1)
         return _simhash(self._words, self._first, self.counts), _simhash(pairs[whole], np.cumsum(held) - held, held)
 
@@ -127,25 +131,28 @@ class Lines:
             out[:, i] = np.where(held[:, i] & (self.counts[lines] > 1), here[:, :i].sum(axis=1) + before[:, i + 1 :].sum(axis=1), 0)
         return np.where(out == 0, 0, wordhash.mix(out) | np.uint64(1))
 
+    def _shingles(self, k: int) -> np.ndarray:
+        """Hash of the k words from each word on; means nothing where the line ends before."""
+        if k not in self._grams:
+            shorter = self._shingles(k - 1)
+            out = shorter.copy()
+            if len(out) >= k:
+                out[: 1 - k] = wordhash.mix(shorter[: 1 - k] * wordhash.GOLDEN + self._words[k - 1 :])
+            self._grams[k] = out
+        return self._grams[k]
+
     def _least(self, k: int, lines: np.ndarray, n: int) -> np.ndarray:
-        """lines x n: the n least shingles of k words of the marked lines."""
-        own = np.flatnonzero(lines[self._line])
-        count = self.counts[self._line[own]]
-        whole = self._place[own] + np.minimum(k, count) <= count
-        own, count = own[whole], count[whole]
-        grams = self._words.copy()
-        for j in range(1, k):  # a shingle ends with its line
-            longer = np.flatnonzero(self._place + j < self.counts[self._line])
-            step = wordhash.mix(grams[longer] * wordhash.GOLDEN + self._words[longer + j])
-            grams[longer] = step
-        h = wordhash.mix(grams[own] + np.uint64(k) * wordhash.GOLDEN)
+        """lines x n: the n least different shingles of k words of the marked lines."""
+        own = np.flatnonzero(lines[self._line] & (self._left >= k))
+        h = wordhash.mix(self._shingles(k)[own] + np.uint64(k) * wordhash.GOLDEN)
         key = np.sort(self._line[own].astype(np.uint64) << np.uint64(40) | h >> np.uint64(24))
-        key = key[np.append(True, key[1:] != key[:-1])]
+        key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
         line = (key >> np.uint64(40)).astype(np.int64)
-        nth = np.arange(len(key)) - np.searchsorted(line, line)
+        begin = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(lines)))])
+        nth = np.arange(len(key)) - begin[line]
         kept = nth < n
         out = np.zeros((len(lines), n), np.uint64)
-        out[line[kept], nth[kept]] = wordhash.mix((key[kept] & np.uint64((1 << 40) - 1)) * np.uint64(4) + np.uint64(k)) | np.uint64(1)
+        out[line[kept], nth[kept]] = wordhash.mix((key[kept] & np.uint64((1 << 40) - 1)) * np.uint64(8) + np.uint64(k)) | np.uint64(1)
         return out
 
 
@@ -232,7 +239,7 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Groups by size: rows, and the places of the rows of groups of one size, groups x members."""
-    for rows, edges in meeting.whole_groups(batches, keys):
+    for rows, edges in meeting.whole_groups(batches, keys, MANY_ROWS):
         sizes = np.diff(edges)
         for n in np.unique(sizes[sizes > 1]).tolist():
             places = edges[:-1][sizes == n][:, None] + np.arange(n)
@@ -262,8 +269,8 @@ def _met(found: np.ndarray, part: np.ndarray, n: np.ndarray) -> np.ndarray:
     return found & (n[:, None] != n[None, :]) & (~across | (part[:, :, None] != part[:, None, :]))
 
 
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows deal, a, b, part, id, s, g, size, partner, root, keys, raw sorted by group: links of near rows of different roots.
+def _unjoined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], list[str]]]:
+    """Rows deal, a, b, part, id, s, g, size, partner, root, keys, raw sorted by group: ids and lines of near rows of different roots.
 
     A row and its partner have been compared before.
     """
@@ -288,17 +295,35 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unique(met)
         text = dict(zip(wanted.tolist(), map(normal_line, rows.column(first_key + SKETCH).take(pa.array(wanted)).to_pylist()), strict=True))
         node = rows.column(4).to_numpy()
-        for some in np.array_split(met, -(-len(met) // 4000) or 1):
-            alike = edits.alike([text[i] for i in some[:, 0].tolist()], [text[j] for j in some[:, 1].tolist()])
-            linked = node[some[alike]]
-            yield pa.RecordBatch.from_arrays([pa.array(linked.min(axis=1) if len(linked) else linked[:, 0]), pa.array(linked.max(axis=1) if len(linked) else linked[:, 0])], ["u", "v"])
+        yield node[met[:, 0]], node[met[:, 1]], [text[i] for i in met[:, 0].tolist()], [text[i] for i in met[:, 1].tolist()]
+
+
+def _verified(pairs: Iterator[tuple[np.ndarray, np.ndarray, list[str], list[str]]]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of ids and lines those alike, many compared together."""
+    held: list = []
+
+    def flush() -> pa.RecordBatch:
+        u, v = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        same = edits.alike(*([t for h in held for t in h[i]] for i in (2, 3)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)[same]), pa.array(np.maximum(u, v)[same])], ["u", "v"])
+
+    for got in pairs:
+        for at in range(0, len(got[0]), MANY_PAIRS):
+            held.append(tuple(x[at : at + MANY_PAIRS] for x in got))
+            if sum(len(h[0]) for h in held) >= MANY_PAIRS or sum(len(t) for h in held for t in h[2]) >= MANY_LETTERS:
+                yield flush()
+    if held:
+        yield flush()
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _verified(_unjoined(batches))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = ([normal_line(t) for t in batch.column(i).to_pylist()] for i in (2, 3))
-        kept = pa.array(edits.alike(a, b))
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(kept) for i in (0, 1)], ["u", "v"])
+    """Rows u, v and their lines as they stand: links."""
+    return _verified((b.column(0).to_numpy(), b.column(1).to_numpy(), *([normal_line(t) for t in b.column(i).to_pylist()] for i in (2, 3))) for b in batches if b.num_rows)
 
 
 def _raw_lines(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -324,7 +349,7 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of pigeonhole deals with a near SimHash in theirs; those of a large deal are left to its groups."""
-        for rows, edges in meeting.whole_groups(batches, 1):
+        for rows, edges in meeting.whole_groups(batches, 1, MANY_ROWS):
             sizes, s, kept = np.diff(edges), rows.column(2).to_numpy().view(np.uint64), np.zeros(rows.num_rows, bool)
             for n in np.unique(sizes[sizes > 1]).tolist():
                 places = edges[:-1][sizes == n][:, None] + np.arange(n)

@@ -37,28 +37,28 @@ def deal(members: DataFrame, key: str, member: str, weight: str | None = None) -
     return dealt.withColumn("a", F.least("part", "other")).withColumn("b", F.greatest("part", "other")).drop("other", "parts")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Rows sorted by their first columns, cut so that no group is split: rows and where each group begins (one more: the end)."""
-    rest: list[pa.RecordBatch] = []
-    last: tuple | None = None
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by their first columns, cut so that no group is split: rows and where each group begins (one more: the end).
+
+    rows: as many are gathered at least, where there are so many.
+    """
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        edges = _edges(batch, keys)
-        if rest and tuple(batch.column(i)[0].as_py() for i in range(keys)) == last:
-            if len(edges) == 2:  # the whole batch goes on with the same group
-                rest.append(batch)
-                continue
-            rest.append(batch.slice(0, edges[1]))
-            batch, edges = batch.slice(edges[1]), edges[1:] - edges[1]
-        if rest:
-            yield _joined(rest)
-        if len(edges) > 2:
-            yield batch.slice(0, edges[-2]), edges[:-1]
-        rest = [batch.slice(edges[-2])]
-        last = tuple(rest[0].column(i)[0].as_py() for i in range(keys))
-    if rest:
-        yield _joined(rest)
+        if held and sum(b.num_rows for b in held) >= rows:
+            same = np.logical_and.reduce([batch.column(i).to_numpy(zero_copy_only=False) == held[-1].column(i)[-1].as_py() for i in range(keys)])
+            begin = len(same) if same.all() else int(same.argmin())
+            if begin < len(same):  # a group ends in this batch: all before it is whole
+                if begin:
+                    held.append(batch.slice(0, begin))
+                whole = _joined(held)
+                yield whole, _edges(whole, keys)
+                held, batch = [], batch.slice(begin)
+        held.append(batch)
+    if held:
+        whole = _joined(held)
+        yield whole, _edges(whole, keys)
 
 
 def _edges(batch: pa.RecordBatch, keys: int) -> np.ndarray:
@@ -66,6 +66,5 @@ def _edges(batch: pa.RecordBatch, keys: int) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1, [batch.num_rows]])
 
 
-def _joined(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
-    whole = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-    return whole, np.array([0, whole.num_rows])
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
