@@ -9,8 +9,8 @@ and shifted by a constant as in TFRecord files, so that a checksum of data that
 sound. The newline is the separator of Spark's text writer, which writes the files: committed output
 on any Hadoop file system, with no file handled outside Spark.
 
-Files hold keys in ascending order, and so do files by name. The index is a Parquet table of
-(file, key, offset, length, n_tokens): a reader that shuffles records seeks by it.
+Files hold keys in ascending order, and so do files by the number in their names. The index is a
+Parquet table of (file, key, offset, length, n_tokens): a reader that shuffles records seeks by it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfspark import workspace
@@ -79,7 +80,8 @@ def write_records(docs: DataFrame, folder: str, encode: Callable[[list[str]], tu
     encode: ids of some texts, one after another, and where each begins. Null texts count as empty:
     their record holds end_id alone. Rows with equal keys become records of their own; a null key is
     written as the least 64-bit number, comes first and is read as null. An empty table gives no records. Rows are dealt out by ranges of
-    the key, about file_bytes of text each, so that one file is one task's work at any input size.
+    the key and, where keys repeat, of their texts' hash, about file_bytes of text each, so that one
+    file is one task's work at any input size, whatever key a third of the rows has.
     """
     dtype = "<u4" if wide else "<u2"
 
@@ -94,8 +96,9 @@ def write_records(docs: DataFrame, folder: str, encode: Callable[[list[str]], tu
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 16)).first()[0] or 0
-    ranged = rows.repartitionByRange(max(1, -(-total // file_bytes)), "k").sortWithinPartitions("k")
-    ranged.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/records")
+    # Rows alike in key and text are told apart by their place, so that no range has to hold them all.
+    ranged = rows.repartitionByRange(max(1, -(-total // file_bytes)), "k", F.xxhash64("t"), F.xxhash64(F.monotonically_increasing_id()))
+    ranged.sortWithinPartitions("k").select("k", "t").mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/records")
     read_files(spark, folder).select("path", "content").mapInArrow(_index(2 if not wide else 4), INDEX).write.parquet(f"{folder}/index")
 
 
@@ -125,13 +128,9 @@ def read_digest(spark: SparkSession, folder: str, wide: bool) -> DataFrame:
     """Read the records back: doc_id, start, n_tokens, ids_crc32.
 
     Files are read where they lie, record by record, with both checksums verified; start adds the
-    tokens of the files before, which the index gives as one number a file.
+    tokens of the files before by number, which the index gives.
     """
     dtype = "<u4" if wide else "<u2"
-    before, starts = 0, []
-    for r in sorted(read_index(spark, folder).groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()):  # one row a file, as many as tasks that wrote
-        starts.append((r["file"], before))
-        before += r["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,8 +145,15 @@ def read_digest(spark: SparkSession, folder: str, wide: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["file", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     read = read_files(spark, folder).select("path", "content").mapInArrow(run, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
-    first = spark.createDataFrame(starts, "file string, before long")
-    return read.join(first, "file").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    # A row a file, which holds file_bytes of text: files are counted within ranges of a thousand and the ranges before are added.
+    sizes = read_index(spark, folder).groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("number", F.regexp_extract("file", "part-([0-9]+)", 1).cast("long"))
+    sizes = workspace.materialize(sizes.withColumn("block", F.floor(F.col("number") / 1000)), "file_sizes")
+    blocks = sizes.groupBy("block").agg(F.sum("n").alias("n"))
+    before = lambda order: F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    earlier = blocks.select("block", before(W.orderBy("block")).alias("earlier"))  # a thousandth of the files in one small task
+    first = sizes.withColumn("inside", before(W.partitionBy("block").orderBy("number"))).join(earlier, "block")
+    first = workspace.materialize(first.select("file", (F.col("earlier") + F.col("inside")).alias("before")), "file_starts")
+    return read.join(workspace.broadcast_if_small(first), "file").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_at(content: bytes, offset: int, wide: bool) -> tuple[int | None, np.ndarray]:
