@@ -8,8 +8,9 @@ bit slices of every row's score. The best k rows are selected from the most sign
 while the rows that have the bit are fewer than are still wanted they are all taken, else the others
 drop out. Rows that remain equal in all slices are a tie and are resolved by the smaller id.
 
-Rows are dealt into blocks of a fixed size by a hash of the id; a block's index is a few hundred KB.
-The query set meets every block: queries travel in blocks too, one copy for each index block.
+Rows are dealt into blocks of a fixed size by a hash of the id, and a block's slices are built once and
+stored. The query set meets every block: the queries, in parts of their own, stream past a block that
+stays where it is. What is shuffled is the index, once a lane, and the queries, once a block.
 """
 
 from __future__ import annotations
@@ -34,10 +35,10 @@ class BitSliced:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, values = ids[order], values[order]
+        self.ids, values = ids[order], values[order].astype(np.int64)
         self.rows = len(ids)
         self.low = values.min(axis=0) if self.rows else np.zeros(values.shape[1], np.int64)
-        shifted = (values - self.low).astype(np.uint64)
+        shifted = values.view(np.uint64) - self.low.view(np.uint64)
         self.words = -(-self.rows // 64)
         self.bits = int(shifted.max()).bit_length() if shifted.size else 0
         planes = [np.packbits((shifted >> np.uint64(b) & np.uint64(1)).astype(np.uint8), axis=0, bitorder="little") for b in range(self.bits)]
@@ -45,15 +46,33 @@ class BitSliced:
         for b, p in enumerate(planes):
             plain[b, :, : p.shape[0]] = p.T
         plain = plain.view(np.uint64)
-        self.slices = np.stack([plain, ~plain], axis=2).reshape(self.bits, 2 * values.shape[1], self.words)  # each slice and its complement
+        self._arrange(plain)
+
+    def _arrange(self, plain: np.ndarray) -> None:
+        self.slices = np.stack([plain, ~plain], axis=2).reshape(self.bits, 2 * plain.shape[1], self.words)  # each slice and its complement
         self.valid = np.zeros(self.words * 8, np.uint8)
         packed = np.packbits(np.ones(self.rows, np.uint8), bitorder="little")
         self.valid[: len(packed)] = packed
         self.valid = self.valid.view(np.uint64)
 
+    def stored(self) -> tuple[bytes, bytes, bytes]:
+        """ids, least values and slices as bytes."""
+        return self.ids.tobytes(), self.low.tobytes(), np.ascontiguousarray(self.slices[:, ::2]).tobytes()
+
+    @classmethod
+    def read(cls, ids: bytes, low: bytes, slices: bytes) -> BitSliced:
+        """An index from what stored() gave."""
+        out = cls.__new__(cls)
+        out.ids, out.low = np.frombuffer(ids, np.int64), np.frombuffer(low, np.int64)
+        out.rows, out.words = len(out.ids), -(-len(out.ids) // 64)
+        plain = np.frombuffer(slices, np.uint64)
+        out.bits = len(plain) // max(1, len(out.low) * out.words)
+        out._arrange(plain.reshape(out.bits, len(out.low), out.words))
+        return out
+
     def score_slices(self, weights: np.ndarray) -> tuple[np.ndarray, int]:
         """Bit slices of every row's score, least significant first, and the constant to add to it."""
-        constant, left, q = int((weights * self.low).sum()), weights.astype(np.int64), 0
+        constant, left, q = sum(w * v for w, v in zip(weights.tolist(), self.low.tolist(), strict=True)), weights.astype(np.int64), 0
         piles: list[list[np.ndarray]] = []
         while left.any():
             digit = (left & 1) * (2 - (left & 3))  # 1, 0 or -1: no two neighbours of a weight's digits are both set
@@ -111,8 +130,8 @@ class BitSliced:
         rows = self._rows(taken)
         if wanted:
             rows = np.concatenate([rows, self._rows(candidates)[:wanted]])  # equal in all slices; rows are in order of id
-        scores = np.full(len(rows), constant, np.int64)
-        for b, s in enumerate(slices):
+        scores = np.full(len(rows), constant % (1 << 64), np.uint64).view(np.int64)
+        for b, s in enumerate(slices[:64]):
             scores += ((s[rows >> 6] >> (rows & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)) << b
         return sorted(zip(scores.tolist(), self.ids[rows].tolist(), strict=True), key=lambda x: (-x[0], x[1]))
 
@@ -124,17 +143,18 @@ class BitSliced:
 
 
 def quantised(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key as id and q: floor(SCALE * x) of each component. Vectors that are null or empty, or hold null or non-finite components, are left out, and so are null keys."""
+    """key as id and q: floor(SCALE * x) of each component. Vectors that are null or empty, or hold null or non-finite components, are left out, and so are null keys. Beyond the range of a long q is its end."""
     x = F.transform(vector, lambda v: v.cast("double"))
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) != float("inf")))
-    return df.where((F.size(vector) > 0) & F.col(key).isNotNull() & fine).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * SCALE).cast("int")).alias("q"))
+    return df.where((F.size(vector) > 0) & F.col(key).isNotNull() & fine).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * SCALE)).alias("q"))
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of index for every row of queries, the query's own id left out.
 
     Both have id and q (an integer array). Only vectors as long as the query can meet it. An id that
-    index repeats counts once a row. Empty inputs give no rows; fewer rows than k give them all.
+    index repeats counts once a row. Empty inputs give no rows; fewer rows than k give them all. Rows
+    are chosen by exact scores of any size; the score given out is exact as far as a long holds it.
     """
     spark = index.sparkSession
     index = workspace.materialize(index.withColumn("dims", F.size("q")), "vectors")
@@ -144,30 +164,43 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BL
     place = F.pmod(F.xxhash64("id", "q", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.array(pdf["q"].tolist(), np.int32)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "dims": pdf["dims"].iloc[:1], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "q": [values.tobytes()]})
+        ids, low, slices = BitSliced(pdf["id"].to_numpy(np.int64), np.array(pdf["q"].tolist(), np.int64)).stored()
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "dims": pdf["dims"].iloc[:1], "ids": [ids], "low": [low], "slices": [slices]})
 
-    packed = index.withColumn("block", place).groupBy("block", "dims").applyInPandas(build, "block int, dims int, ids binary, q binary")
+    packed = index.withColumn("block", place).groupBy("block", "dims").applyInPandas(build, "block int, dims int, ids binary, low binary, slices binary")
     packed = workspace.materialize(packed, "bit_sliced")
 
-    asked = workspace.materialize(queries.withColumn("dims", F.size("q")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // query_rows)))).cast("int")), "queries")
+    asked = workspace.materialize(queries.withColumn("dims", F.size("q")), "queries")
+    parts = max(1, -(-asked.count() // query_rows))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     grouped = asked.groupBy("part", "dims").applyInPandas(
-        lambda pdf: pd.DataFrame({"dims": pdf["dims"].iloc[:1], "qids": [pdf["id"].to_numpy(np.int64).tobytes()], "w": [np.array(pdf["q"].tolist(), np.int32).tobytes()]}),
-        "dims int, qids binary, w binary",
+        lambda pdf: pd.DataFrame({"part": pdf["part"].iloc[:1], "dims": pdf["dims"].iloc[:1], "qids": [pdf["id"].to_numpy(np.int64).tobytes()], "w": [np.array(pdf["q"].tolist(), np.int64).tobytes()]}),
+        "part int, dims int, qids binary, w binary",
     )
-    everywhere = grouped.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = packed.join(everywhere, ["block", "dims"]).select("block", "dims", "ids", "q", "qids", "w").repartition(max(blocks, 12), "block", F.xxhash64("qids"))
+    grouped = workspace.materialize(grouped, "query_parts")
+    # Few blocks are copied to lanes, each for a share of the queries, to occupy all cores.
+    lanes = min(parts, max(1, spark.sparkContext.defaultParallelism // blocks))
+    each = lambda top: F.explode(F.sequence(F.lit(0), F.lit(top - 1)))
+    none = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
+    rows = packed.select("block", "dims", each(lanes).alias("lane"), F.lit(-1).alias("part"), "ids", "low", "slices", *none("qids", "w"))
+    sent = grouped.select(each(blocks).alias("block"), "dims", (F.col("part") % lanes).cast("int").alias("lane"), "part", *none("ids", "low", "slices"), "qids", "w")
+    pairs = rows.unionByName(sent).repartition(max(blocks * lanes, 12), "block", "lane").sortWithinPartitions("block", "lane", "dims", "part")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, block = None, None
+        held, index = None, None
         for batch in batches:
-            for number, dims, ids, q, qids, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last != (number, dims):
-                    block, last = BitSliced(np.frombuffer(ids, np.int64), np.frombuffer(q, np.int32).reshape(-1, dims).astype(np.int64)), (number, dims)
-                rows = []
-                for qid, weights in zip(np.frombuffer(qids, np.int64).tolist(), np.frombuffer(w, np.int32).reshape(-1, dims).astype(np.int64), strict=True):
-                    rows += [(qid, i, s) for s, i in block.top(weights, k, but=qid)]
-                cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            for i in range(batch.num_rows):
+                number, dims, lane, part = (batch.column(c)[i].as_py() for c in range(4))
+                if part < 0:
+                    held, index = (number, dims, lane), BitSliced.read(*(batch.column(c)[i].as_py() for c in (4, 5, 6)))
+                    continue
+                if held != (number, dims, lane):  # no row of the block has so many components
+                    continue
+                out = []
+                ids, w = np.frombuffer(batch.column(7)[i].as_py(), np.int64).tolist(), np.frombuffer(batch.column(8)[i].as_py(), np.int64).reshape(-1, dims)
+                for qid, weights in zip(ids, w, strict=True):
+                    out += [(qid, i, s) for s, i in index.top(weights, k, but=qid)]
+                cols = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
