@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import wordhash
 
@@ -84,8 +85,12 @@ def fit(texts: list[str], labels: list[int]) -> np.ndarray:
 def score_texts(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """Scores from 0 to 1; a text without words has the bias's score."""
     at, x, starts = features(texts)
-    sums = np.concatenate([[0.0], np.cumsum(weights[at] * x)])
-    return 1 / (1 + np.exp(-np.clip(sums[starts[1:]] - sums[starts[:-1]] + weights[-1], -35, 35)))
+    # Each text's own sum, so that a score does not depend on the texts beside it.
+    some = np.flatnonzero(np.diff(starts))
+    sums = np.zeros(len(texts))
+    if len(some):
+        sums[some] = np.add.reduceat(weights[at] * x, starts[some])
+    return 1 / (1 + np.exp(-np.clip(sums + weights[-1], -35, 35)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -115,8 +120,8 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.frombuffer(bytes(got[0]), np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Adds score to docs, which needs a column text; null texts score as empty ones. Extra columns stay."""
+def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """Adds a column name to docs, which needs a column text; null texts score as empty ones. Extra columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2^BITS numbers, whatever the data
     kept = docs.schema.fieldNames()
 
@@ -132,21 +137,17 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     j += 1
                 out.append(score_texts(texts[i:j], w))
                 i = j
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*kept, name])
 
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of docs that score THRESHOLD or more, with the columns of docs."""
-    weights = train(docs, labels)
-    if "score" not in docs.columns:
-        return score(docs, weights).where(F.col("score") >= THRESHOLD).drop("score")
-    renamed = docs.withColumnRenamed("score", "__own_score")
-    good = score(renamed, weights).where(F.col("score") >= THRESHOLD).drop("score").withColumnRenamed("__own_score", "score")
-    return good.select(*docs.columns)
+    name = "score"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return score(docs, train(docs, labels), name).where(F.col(name) >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,8 @@ def tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     h = mix((sums[end] - sums[begin]) * _power_table("down", n + 1)[begin] + (end - begin).astype(np.uint64) * GOLDEN)
     count = lambda flags: (c := np.concatenate([[0], np.cumsum(flags[data])]))[end] - c[begin]
     upper, lower, digit = count(_UPPER), count(_LOWER), count(_DIGIT)
+    first = np.searchsorted(begin, starts)
     again = np.concatenate([np.zeros(1, bool), h[1:] == h[:-1]])[: len(h)]
+    again[first[first < len(h)]] = False  # a text's first token has none before it
     shape = (upper > 0) * 1 + (upper > 1) * 2 + (lower > 0) * 4 + (digit > 0) * 8 + again * 16 + 32
-    return h, np.where(kind[begin] == 1, h, mix(shape.astype(np.uint64) * GOLDEN)), np.searchsorted(begin, starts)
+    return h, np.where(kind[begin] == 1, h, mix(shape.astype(np.uint64) * GOLDEN)), first
