@@ -100,15 +100,20 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs without rejected rows, frequent lines removed from the texts of the rest; n_chars, if there, follows the text."""
-    verdict = judge(docs).where("kept").select(F.col("doc_id").alias("__k1"), F.col("host").alias("__k2"), F.col("text_hash").alias("__k3"), "removed").dropDuplicates(["__k1", "__k2", "__k3"]).withColumnRenamed("removed", "__removed")
-    same = docs["doc_id"].eqNullSafe(F.col("__k1")) & (F.coalesce(docs["source"], F.lit("")) == F.col("__k2")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__k3"))
-    kept = docs.join(verdict, same)
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("__removed", line_hash(x))), "\n")
-    out = kept.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left))
+    """docs without rejected rows, frequent lines removed from the texts of the rest; n_chars, if there, follows the text.
+
+    Columns of docs may have any names.
+    """
+    verdict = judge(docs).where("kept").select("doc_id", "host", "text_hash", "removed").dropDuplicates(["doc_id", "host", "text_hash"])
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.coalesce(F.col("doc.source"), F.lit("")) == F.col("host")) & (F.xxhash64(text) == F.col("text_hash"))
+    kept = docs.select(F.struct(*docs.columns).alias("doc")).join(verdict, same)
+    left = F.array_join(F.filter(F.split("doc.text", "\n", -1), lambda x: ~F.array_contains("removed", line_hash(x))), "\n")
+    kept = kept.withColumn("left", F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(left))
+    out = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out["n_chars"] = F.when(F.col("removed").isNull(), F.col("doc.n_chars")).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*[out.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,7 +147,7 @@ def shard_records(records: DataFrame, key: str, size: str, n_shards: int, n_slot
         places.append((s, shard, before[shard]))
         before[shard] += rows.get(s, 0)
     where = spark.createDataFrame(places, "virtual_slot int, shard int, __before long")
-    rank = F.row_number().over(W.partitionBy("virtual_slot").orderBy(F.col(key)))
+    rank = F.row_number().over(W.partitionBy("virtual_slot").orderBy(F.col(key), F.xxhash64(*records.columns)))  # rows alike in all may change places
     return (
         slotted.withColumn("__rank", rank.cast("long"))
         .join(F.broadcast(where), "virtual_slot")  # n_slots rows, a fixed number

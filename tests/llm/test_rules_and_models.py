@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter
@@ -54,6 +55,42 @@ def test_line_frequency_equals_sql_and_spares_copies(spark):
     assert set(cleaned) == kept | {300} and "footer" in cleaned[0] and "footer" not in cleaned[101].lower() and quality_rules.clean(df).columns == df.columns
 
 
+def test_scores_do_not_depend_on_the_texts_beside_them():
+    texts = ["", "one", *(" ".join(rnd.choice(["alpha", "Beta,", "gamma!", "9"]) for _ in range(rnd.randint(1, 200))) for _ in range(200))]
+    w = np.random.default_rng(3).standard_normal((1 << classifier.BITS) + 1).astype(np.float32)
+    together = classifier.score_texts(texts, w)
+    assert [classifier.score_texts([t], w)[0] for t in texts] == together.tolist() and len(classifier.score_texts([], w)) == 0
+
+
+def test_training_equals_a_plain_follow_the_regularised_leader(monkeypatch):
+    """One coordinate at a time, in plain Python, from the published update."""
+    texts = [" ".join(rnd.choice(["a", "b", "c", "D!"]) for _ in range(8)) for _ in range(30)]
+    labels = [int("a" in t.split()[:3]) for t in texts]
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= classifier.L1:
+            return 0.0
+        return (math.copysign(classifier.L1, z[i]) - z[i]) / ((classifier.BETA + math.sqrt(n[i])) / classifier.ALPHA + classifier.L2)
+
+    for _ in range(classifier.EPOCHS):
+        for t, y in zip(texts, labels):
+            at, x, _ = classifier.features([t])
+            row = {1 << classifier.BITS: 1.0}
+            for i, v in zip(at.tolist(), x.tolist()):
+                row[i] = row.get(i, 0.0) + v
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(weight(i) * v for i, v in row.items())))))
+            for i, v in row.items():
+                w, g = weight(i), (p - y) * v
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / classifier.ALPHA * w
+                n[i] = n.get(i, 0.0) + g * g
+    got = classifier.fit(texts, labels)
+    want = np.zeros_like(got)
+    for i in z:
+        want[i] = weight(i)
+    assert np.allclose(got, want, atol=1e-5) and np.abs(want).max() > 0.05
+
+
 def test_classifier_learns_from_rows_that_are_not_held_out(spark):
     good = lambda: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) for _ in range(60))
     rows = [(i, good() if i % 4 else good().replace(" ", "*** ").upper(), int(bool(i % 4))) for i in range(600)]
@@ -186,7 +223,7 @@ def test_bit_sliced_top_equals_brute_force(n, low, high, dims):
 
 def test_top_k_over_odd_vectors(spark):
     rows = [(i, [float(rnd.uniform(-0.5, 0.5)) for _ in range(4)], 1) for i in range(200)]
-    rows += [(300, None, 1), (301, [], 1), (302, [1.0, None, 0.0, 0.0], 1), (303, [float("nan")] * 4, 1), (304, [float("inf")] * 4, 1), (None, [0.1] * 4, 1), (350, [0.5] * 4, 1), (350, [0.5] * 4, 1)]
+    rows += [(300, None, 1), (301, [], 1), (302, [1.0, None, 0.0, 0.0], 1), (303, [float("nan")] * 4, 1), (304, [float("inf")] * 4, 1), (None, [0.1] * 4, 1), (350, [0.5] * 4, 1), (350, [0.5] * 4, 1), (400, [1e8, -1e8, 0.0, 3.0], 1), (401, [-3e9, 1.0, 0.25, 0.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, v array<float>, rank int")
     q = bitsliced.quantised(df, "vec_id", "v")
     got = sorted(tuple(r) for r in bitsliced.top_k(q, q.where("id % 50 = 0"), block_rows=64, query_rows=3).select("query_id", "rank", "vec_id", "score").collect())
