@@ -12,12 +12,12 @@ def _quoted(s: str) -> str:
 
 
 def register(spark: SparkSession) -> None:
-    """Create the functions in the session. Letters that fold to several, such as ligatures, are spelled out too."""
+    """Create the functions in the session, from the tables that the Column forms use."""
     source, target, several = text._fold_tables()
-    spelled = "s"
-    for c in ("ﬁ", "ﬂ", "ﬀ", "ﬃ", "ﬄ", "ĳ", "Ĳ", "½", "¼", "¾"):
-        spelled = f"replace({spelled}, {_quoted(c)}, {_quoted(several[c])})"
-    fold = f"coalesce(trim(regexp_replace(lower(translate({spelled}, {_quoted(source)}, {_quoted(target)})), '[^a-z0-9]+', ' ')), '')"
+    pairs = _quoted("\x1e".join(f"{k}\x1f{v}" for k, v in several.items()))
+    spelled = f"array_join(transform(split(s, ''), x -> coalesce(element_at(str_to_map({pairs}, '\x1e', '\x1f'), x), x)), '')"
+    wide = f"CASE WHEN s RLIKE {_quoted(text.several_class())} THEN {spelled} ELSE s END"
+    fold = f"coalesce(trim(regexp_replace(lower(translate({wide}, {_quoted(source)}, {_quoted(target)})), '[^a-z0-9]+', ' ')), '')"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION fold(s STRING) RETURNS STRING RETURN {fold}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION slug(s STRING) RETURNS STRING RETURN replace({fold}, ' ', '-')")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION publisher_key(s STRING) RETURNS STRING RETURN coalesce(trim(BOTH ' .,' FROM regexp_replace(translate(lower(s), '[]', ''), '\\\\s+', ' ')), '')")

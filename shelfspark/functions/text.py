@@ -66,15 +66,26 @@ def literal_map(pairs: dict[str, str]) -> Column:
     return F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in pairs.items())), F.lit("\x1e"), F.lit("\x1f"))
 
 
+def several_class() -> str:
+    """A pattern for the characters that fold to more than one, as ranges of neighbours."""
+    points = sorted(map(ord, _fold_tables()[2]))
+    starts = [p for p in points if p - 1 not in points]
+    ends = [p for p in points if p + 1 not in points]
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 def fold(c: Column | str) -> Column:
-    """Lower case without diacritics, runs of anything but a-z and 0-9 as single spaces; '' for null."""
+    """Lower case without diacritics, runs of anything but a-z and 0-9 as single spaces; '' for null.
+
+    Rows of ASCII alone (as many bytes as characters) need no translation.
+    """
     c = F.col(c) if isinstance(c, str) else c
     source, target, several = _fold_tables()
     spelled = literal_map(several)
     wide = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(spelled, x), x)), "")
-    compatible = "[" + "".join(several) + "]"
-    plain = F.when(c.rlike(compatible), wide).otherwise(c)
-    return F.coalesce(F.trim(F.regexp_replace(F.lower(F.translate(plain, source, target)), "[^a-z0-9]+", " ")), F.lit(""))
+    ascii_only = F.octet_length(c) == F.length(c)
+    plain = F.when(ascii_only, c).when(c.rlike(several_class()), F.translate(wide, source, target)).otherwise(F.translate(c, source, target))
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " ")), F.lit(""))
 
 
 def slugify(c: Column | str) -> Column:

@@ -1,13 +1,15 @@
 """Full-text search: postings, prefix match, BM25 with field weights, suggestions.
 
-A query word matches every token that begins with it. Postings are (doc, token, weight), weight being
-the field weights times occurrences. Only the query's prefixes are ever read, so the shuffle carries
-a row for each matching document, summed before it moves, and not the postings of frequent words.
+A query word matches every token that begins with it. `postings` makes the index: a row for each token
+of a document with its weight (the field weights times occurrences), in order of the token, and
+`lengths` the documents' lengths. `match_index` reads only the rows of the query's prefixes, which
+Parquet finds by the tokens' ranges; `match` answers without an index, in one pass over the texts.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,6 +43,43 @@ def _fields(docs: DataFrame, weights: dict[str, float]) -> list[tuple[str, float
     return [(f, w) for f, w in weights.items() if f in docs.columns]
 
 
+def postings(docs: DataFrame, weights: dict[str, float] = FIELD_WEIGHTS, key: str = "work_id") -> DataFrame:
+    """token, key, weight, sorted by token within ranges: write it as it is, and prefixes are read by row group."""
+    weighted = lambda w: lambda t: F.struct(t.alias("token"), F.lit(w).alias("weight"))
+    parts = [F.transform(tokens(f), weighted(w)) for f, w in _fields(docs, weights)]
+    rows = docs.select(key, F.explode(F.concat(*parts)).alias("x")).select(key, "x.token", "x.weight")
+    return rows.groupBy("token", key).agg(F.sum("weight").alias("weight")).repartitionByRange("token", key).sortWithinPartitions("token", key)
+
+
+def lengths(docs: DataFrame, weights: dict[str, float] = FIELD_WEIGHTS, key: str = "work_id") -> DataFrame:
+    """key, dl: tokens of every document."""
+    return docs.select(key, sum((F.size(tokens(f)) for f, _ in _fields(docs, weights)), F.lit(0)).alias("dl"))
+
+
+def match_index(index: DataFrame, sizes: DataFrame, q: str, key: str = "work_id") -> DataFrame:
+    """match() from stored postings and lengths: rows of the prefixes alone are read, and summed before they move."""
+    words = params.terms(q)
+    if not words:
+        return index.sparkSession.createDataFrame([], f"{key} {dict(index.dtypes)[key]}, score double")
+    frequency = [F.sum(F.when(F.col("token").startswith(t), F.col("weight")).otherwise(0.0)).alias(f"f{i}") for i, t in enumerate(words)]
+    hits = index.where(reduce(lambda a, b: a | b, [F.col("token").startswith(t) for t in words])).groupBy(key).agg(*frequency)
+    seen = hits.agg(*[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(words))])
+    stats = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avg")).crossJoin(seen)  # one row each
+    for i in range(len(words)):
+        hits = hits.where(F.col(f"f{i}") > 0)
+    return _scored(hits.join(sizes, key).crossJoin(F.broadcast(stats)), len(words), key)  # one row of statistics
+
+
+def _scored(hits: DataFrame, words: int, key: str) -> DataFrame:
+    score = F.lit(0.0)
+    for i in range(words):
+        n, f = F.col(f"n{i}"), F.col(f"f{i}")
+        idf = F.log((F.col("docs") - n + 0.5) / (n + 0.5))
+        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
+        score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
+    return hits.select(key, score.alias("score"))
+
+
 def match(docs: DataFrame, q: str, weights: dict[str, float] = FIELD_WEIGHTS, key: str = "work_id") -> DataFrame:
     """key, score of the documents that have all query words as prefixes; a lower score is better.
 
@@ -60,14 +99,7 @@ def match(docs: DataFrame, q: str, weights: dict[str, float] = FIELD_WEIGHTS, ke
     hits = counted
     for i in range(len(words)):
         hits = hits.where(F.col(f"f{i}") > 0)
-    joined = hits.crossJoin(F.broadcast(stats))  # one row of statistics
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        n, f = F.col(f"n{i}"), F.col(f"f{i}")
-        idf = F.log((F.col("docs") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
-    return joined.select(key, score.alias("score"))
+    return _scored(hits.crossJoin(F.broadcast(stats)), len(words), key)  # one row of statistics
 
 
 def count_matches(docs: DataFrame, q: str, weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfspark import workspace
 from shelfspark.functions import text
 from shelfspark.plans import grouping
 
@@ -227,16 +228,67 @@ def build(records: DataFrame, merges: DataFrame | None = None, splits: DataFrame
     return out
 
 
-def publish(tables: dict[str, DataFrame], folder: str, version: str) -> str:
-    """Write all tables as one version, then move the pointer to it in a single overwrite."""
+KEPT_VERSIONS = 2
+
+
+def _subfolders(spark, folder: str) -> list[str]:
+    """Names of the folders in a folder, none if it is not there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
+
+
+def _complete(spark, path: str) -> bool:
+    """Whether a write to path was committed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def pointers(spark, folder: str) -> list[int]:
+    """Numbers of the complete pointers of a folder, the newest first."""
+    numbers = [int(n.removeprefix("n=")) for n in _subfolders(spark, f"{folder}/CURRENT") if n.startswith("n=")]
+    return sorted((n for n in numbers if _complete(spark, f"{folder}/CURRENT/n={n}")), reverse=True)
+
+
+def publish(tables: dict[str, DataFrame], folder: str, version: str, keep: int = KEPT_VERSIONS) -> str:
+    """Write all tables as one version, then a pointer to it; the last `keep` versions stay.
+
+    A pointer is a folder with a number of its own, and the newest complete one counts, so nothing is
+    overwritten: a run that ends at any step leaves the last version as it was, and its own leftovers
+    go with the next clean-up. A version that is written again is written beside its old files.
+    """
     spark = next(iter(tables.values())).sparkSession
+    if not _subfolders(spark, folder):  # says that there is no version yet, so that a lost pointer is told from a first run that ended early
+        spark.createDataFrame([("",)], "version string").coalesce(1).write.json(f"{folder}/CURRENT/n=0")
+    known = pointers(spark, folder)
+    number = max([0, *(int(n.removeprefix("n=")) for n in _subfolders(spark, f"{folder}/CURRENT") if n.startswith("n="))]) + 1
+    place = f"{version}-{number}" if version in _subfolders(spark, folder) else version
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{folder}/CURRENT")
-    return f"{folder}/{version}"
+        df.write.mode("overwrite").parquet(f"{folder}/{place}/{name}")
+    spark.createDataFrame([(place,)], "version string").coalesce(1).write.json(f"{folder}/CURRENT/n={number}")
+    stay = [number, *known[: max(0, keep - 1)]]
+    places = {_place(spark, folder, n) for n in stay}
+    for n in (int(x.removeprefix("n=")) for x in _subfolders(spark, f"{folder}/CURRENT") if x.startswith("n=")):
+        if n not in stay:
+            workspace.remove(spark, f"{folder}/CURRENT/n={n}")
+    for old in _subfolders(spark, folder):
+        if old != "CURRENT" and old not in places:
+            workspace.remove(spark, f"{folder}/{old}")
+    return f"{folder}/{place}"
+
+
+def _place(spark, folder: str, number: int) -> str:
+    return spark.read.schema("version string").json(f"{folder}/CURRENT/n={number}").first()[0] or ""
 
 
 def read_published(spark, folder: str, name: str) -> DataFrame:
-    """A table of the current version."""
-    version = spark.read.schema("version string").json(f"{folder}/CURRENT").first()[0]
-    return spark.read.parquet(f"{folder}/{version}/{name}")
+    """A table of the current version. LookupError if nothing has been published, OSError if versions are there but no pointer."""
+    known = pointers(spark, folder)
+    if not known:
+        if _subfolders(spark, folder):
+            raise OSError(f"{folder} holds versions but no complete pointer")
+        raise LookupError(f"nothing published in {folder}")
+    place = _place(spark, folder, known[0])
+    if not place:
+        raise LookupError(f"nothing published in {folder}")
+    return spark.read.parquet(f"{folder}/{place}/{name}")

@@ -73,7 +73,7 @@ def _detail(s, d):
 
 
 def _spelled(s, d):
-    return _build(s, d)["works_fts"].select("work_id", F.md5(F.concat_ws("|", "title", "author", "subjects")).alias("digest"))
+    return _build(s, d)["works_fts"].select("work_id", F.md5(F.concat_ws("|", "title", "author", "subjects", "summary")).alias("digest"))
 
 
 def _tagged(s, d):
@@ -135,7 +135,7 @@ ALL = {
     "publisher_table": (lambda s, d: _build(s, d)["publishers"], sql.with_catalog("SELECT * FROM publishers")),
     "language_table": (lambda s, d: _build(s, d)["languages"], sql.with_catalog("SELECT * FROM languages")),
     "series_table": (lambda s, d: _build(s, d)["series"], sql.with_catalog(f"SELECT slug, arg_min(series, (-n, series)) AS name, sum(n)::BIGINT AS titles FROM (SELECT {sql.slug('series')} AS slug, series, count(*) AS n FROM works WHERE series <> '' GROUP BY ALL) GROUP BY slug")),
-    "search_text": (_spelled, sql.with_catalog("SELECT work_id, md5(concat_ws('|', t, a, coalesce(g, '') || ' ' || k)) AS digest FROM (SELECT work_id, string_agg(DISTINCT title, ',' ORDER BY title) AS t, coalesce(string_agg(DISTINCT author, ',' ORDER BY author), '') AS a, coalesce(string_agg(DISTINCT keywords, ',' ORDER BY keywords), '') AS k FROM enriched GROUP BY work_id) LEFT JOIN (SELECT work_id, string_agg(genre, ' ' ORDER BY genre) AS g FROM work_genres GROUP BY work_id) USING (work_id)")),
+    "search_text": (_spelled, sql.with_catalog("SELECT work_id, md5(concat_ws('|', t, a, coalesce(g, '') || ' ' || k, sm)) AS digest FROM (SELECT work_id, coalesce(string_agg(DISTINCT summary, ',' ORDER BY summary), '') AS sm, string_agg(DISTINCT title, ',' ORDER BY title) AS t, coalesce(string_agg(DISTINCT author, ',' ORDER BY author), '') AS a, coalesce(string_agg(DISTINCT keywords, ',' ORDER BY keywords), '') AS k FROM enriched GROUP BY work_id) LEFT JOIN (SELECT work_id, string_agg(genre, ' ' ORDER BY genre) AS g FROM work_genres GROUP BY work_id) USING (work_id)")),
     "facet_panel": (_facets, sql.with_catalog(" UNION ALL ".join(["SELECT 'formats' AS kind, unnest(['audiobook', 'ebook']) AS value", _LIMITED("languages", "language", "(SELECT language, count(*) AS n FROM works WHERE language IS NOT NULL AND length(language) <= 24 GROUP BY ALL ORDER BY n DESC, language)", 25), _LIMITED("genres", "name", "(SELECT * FROM genres ORDER BY n_works DESC, name)", 40), _LIMITED("publishers", "name", "(SELECT * FROM publishers ORDER BY n DESC, name)", 80), _LIMITED("authors", "name", "(SELECT * FROM authors ORDER BY n_works DESC, name)", 120)]))),
     "filtered_page": (_filtered, sql.with_catalog("SELECT work_id, title, year FROM works WHERE has_ebook = 1 AND language IN ('Engels', 'Frans') AND year BETWEEN 1995 AND 2020 AND work_id IN (SELECT work_id FROM work_authors WHERE author_key IN ('bob de wit', 'anna vrij')) AND work_id IN (SELECT work_id FROM work_genres WHERE genre IN ('Genre 1', 'Genre 2')) ORDER BY year DESC, work_id LIMIT 48")),
     "browse_summary": (lambda s, d: browse.slice_summary(_build(s, d)["works"].where("language = 'Duits'")), sql.with_catalog("SELECT sum(has_ebook)::BIGINT AS ebooks, sum(has_audiobook)::BIGINT AS audiobooks, coalesce(sum(ereader), 0)::BIGINT AS ereader, min(nullif(year, 0)) AS year_min, max(year) AS year_max FROM works WHERE language = 'Duits'")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfspark import workspace
 from shelfspark.functions import params
 from shelfspark.operators import search, similar
 from shelfspark.plans.testdata import editions, snapshot
@@ -28,9 +29,23 @@ def prefix_and(s, d):
 
 
 def suggest(s, d):
+    """A word that all six kinds of things hold."""
     t = snapshot(s, d)
-    lists = s.createDataFrame([("bobs", "Bobs lijst")], "slug string, name string")
-    return search.suggest("bob", 7, t["works"], t["works_fts"], t["authors"], t["publishers"], t["genres"], t["languages"], lists)
+    lists = s.createDataFrame([("engels", "Engelse lijst")], "slug string, name string")
+    return search.suggest("en", 7, t["works"], t["works_fts"], t["authors"], t["publishers"], t["genres"], t["languages"], lists)
+
+
+def index_search(s, d):
+    """The postings are written, and the query reads those of its prefixes."""
+    t = snapshot(s, d)["works_fts"]
+    index, sizes = workspace.materialize(search.postings(t), "postings"), workspace.materialize(search.lengths(t), "lengths")
+    return search.match_index(index, sizes, "ouhe th").withColumn("score", F.round("score", 6))
+
+
+def search_page(s, d):
+    t = snapshot(s, d)
+    f = params.SearchFilters(q="en", languages=("Engels",), format="ebook")
+    return search.search(t["works"], t["works_fts"], f, 2, 12).select("work_id", F.round("score", 6).alias("score"))
 
 
 def near(s, d):
@@ -63,8 +78,33 @@ _TEXTS = sql.EDITIONS_SQL + f""", tok AS (
 ), st AS (
   SELECT count(*) AS n, avg(dl) AS av, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM freq
 )"""
+#: BM25 over the pooled texts of works, for prefixes that a query names: f0, f1.
+_FTS = f""", fts AS (
+  SELECT work_id, t, a, coalesce(g, '') || ' ' || k AS s, sm FROM (
+    SELECT work_id, string_agg(DISTINCT title, ',' ORDER BY title) AS t, coalesce(string_agg(DISTINCT author, ',' ORDER BY author), '') AS a,
+      coalesce(string_agg(DISTINCT keywords, ',' ORDER BY keywords), '') AS k, coalesce(string_agg(DISTINCT summary, ',' ORDER BY summary), '') AS sm FROM enriched GROUP BY work_id
+  ) LEFT JOIN (SELECT work_id, string_agg(genre, ' ' ORDER BY genre) AS g FROM work_genres GROUP BY work_id) USING (work_id)
+), cut AS (
+  SELECT work_id, {_TOK('t')} AS a, {_TOK('a')} AS b, {_TOK('s')} AS c, {_TOK('sm')} AS d FROM fts
+), many AS (
+  SELECT work_id, len(a) + len(b) + len(c) + len(d) AS dl, {{f0}} AS f0, {{f1}} AS f1 FROM cut
+), st AS (
+  SELECT count(*) AS n, avg(dl) AS av, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM many
+)"""
+_COUNT = lambda p: " + ".join(f"{w} * len(list_filter({c}, lambda x: starts_with(x, '{p}')))" for c, w in (("a", "10.0"), ("b", "6.0"), ("c", "2.0"), ("d", "1.0")))
+_fts = lambda p, q, body: f"WITH RECURSIVE {sql.CATALOG_SQL}{_FTS.replace("{f0}", _COUNT(p)).replace("{f1}", _COUNT(q))} {body}"
+_RANKED = lambda kind, frm, order, n: f"SELECT kind, label, rank FROM (SELECT '{kind}' AS kind, label, (row_number() OVER (ORDER BY {order}))::INTEGER AS rank FROM ({frm})) WHERE rank <= {n}"
 _IDF = lambda n: f"CASE WHEN ln((n - {n} + 0.5) / ({n} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - {n} + 0.5) / ({n} + 0.5)) END"
 _PART = lambda f, n: f"({_IDF(n)}) * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * dl / av))"
+_SUGGEST = " UNION ALL ".join([
+    _RANKED("title", f"SELECT title AS label, work_id, -({_PART('f0', 'n0')}) AS score FROM many JOIN works USING (work_id), st WHERE f0 > 0", "score, work_id", 7),
+    _RANKED("author", "SELECT name AS label, n_works AS n FROM authors WHERE contains(name_fold, 'en')", "n DESC, label", 5),
+    _RANKED("publisher", "SELECT arg_min(name, (-n, -length(name), name)) AS label, sum(n) AS n FROM publishers WHERE contains(name_fold, 'en') GROUP BY name_fold", "n DESC, label", 4),
+    _RANKED("genre", f"SELECT arg_min(name, (-n_works, name)) AS label, sum(n_works) AS n FROM genres WHERE contains({sql.fold('name')}, 'en') GROUP BY {sql.fold('name')}", "n DESC, label", 4),
+    "SELECT 'list', 'Engelse lijst', 1",
+    _RANKED("language", "SELECT name AS label, n FROM languages WHERE contains(name_fold, 'en')", "n DESC, label", 3),
+])
+_NEAR = f"SELECT kind, label FROM ({_SUGGEST}) WHERE kind <> 'language' ORDER BY list_position(['author', 'list', 'publisher', 'genre', 'title'], kind), rank LIMIT 6"
 _WORD = "list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-zà-ÿ0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains([{stop}], w))"
 _STOP = ", ".join(f"'{w}'" for w in similar.STOP_WORDS)
 
@@ -72,14 +112,17 @@ ALL = {
     "bm25_search": (bm25_search, f"WITH {_TEXTS} SELECT ppn AS work_id, round(-({_PART('f0', 'n0')} + {_PART('f1', 'n1')}), 6) AS score, title FROM freq, st WHERE f0 > 0 AND f1 > 0 AND language = 'Engels' ORDER BY score, work_id LIMIT 24"),
     "prefix_and": (prefix_and, sql.with_editions(f"SELECT ppn AS work_id FROM editions WHERE len(list_filter({_TOK('summary')}, lambda x: starts_with(x, 'de'))) > 0 AND len(list_filter({_TOK('summary')}, lambda x: starts_with(x, 'la'))) > 0")),
     "count_matches": (lambda s, d: search.count_matches(_texts(s, d), "ouhe"), f"WITH {_TEXTS} SELECT count(*) AS total FROM freq WHERE f1 > 0"),
-    "suggest": (suggest, sql.with_catalog("SELECT * FROM (SELECT 'author' AS kind, name AS label, (row_number() OVER (ORDER BY n_works DESC, name))::INTEGER AS rank FROM authors WHERE contains(name_fold, 'bob')) WHERE rank <= 5 UNION ALL SELECT 'list', 'Bobs lijst', 1")),
-    "near_matches": (near, sql.with_catalog("SELECT * FROM (SELECT 'author' AS kind, name AS label FROM authors WHERE contains(name_fold, 'bob') ORDER BY n_works DESC, name LIMIT 5) UNION ALL SELECT 'list', 'Bobs lijst'")),
+    "suggest": (suggest, _fts("en", "en", _SUGGEST)),
+    "near_matches": (near, _fts("en", "en", _NEAR)),
+    "index_search": (index_search, _fts("ouhe", "th", f"SELECT work_id, round(-({_PART('f0', 'n0')} + {_PART('f1', 'n1')}), 6) AS score FROM many, st WHERE f0 > 0 AND f1 > 0")),
+    "search_page": (search_page, _fts("en", "en", f"SELECT work_id, round(-({_PART('f0', 'n0')}), 6) AS score FROM many JOIN works USING (work_id), st WHERE f0 > 0 AND language = 'Engels' AND has_ebook = 1 ORDER BY -({_PART('f0', 'n0')}), work_id LIMIT 12 OFFSET 12")),
     "knn_cosine": (knn, """SELECT vec_id, (r - 1)::INTEGER AS rank, other, round(round(s, 4), 3) AS score FROM (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE r <= 5 AND s >= 0.1"""),
     "tf_idf": (tf_idf, sql.with_editions(f"""SELECT work_id, count(*) AS terms, round(sum(w / norm), 6) AS total FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY work_id)) AS norm FROM (
       SELECT work_id, token, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM editions)) / (1.0 + df)) + 1) AS w FROM (SELECT *, count(*) OVER (PARTITION BY token) AS df FROM (
         SELECT ppn AS work_id, token, count(*) AS tf FROM (
           SELECT ppn, 'g·' || regexp_replace(lower(trim(g)), '\\s+', '_', 'g') AS token FROM (SELECT ppn, unnest(subjects) AS g FROM editions), generate_series(1, 3)
           UNION ALL SELECT ppn, 'k·' || w FROM (SELECT ppn, unnest({_WORD.format(c='keywords', stop=_STOP)}) AS w FROM editions), generate_series(1, 2)
-          UNION ALL SELECT ppn, w FROM (SELECT ppn, unnest({_WORD.format(c='title', stop=_STOP)}) AS w FROM editions), generate_series(1, 2)) GROUP BY ALL)) WHERE df >= 2)) GROUP BY work_id""")),
+          UNION ALL SELECT ppn, w FROM (SELECT ppn, unnest({_WORD.format(c='title', stop=_STOP)}) AS w FROM editions), generate_series(1, 2)
+          UNION ALL SELECT ppn, unnest({_WORD.format(c='summary', stop=_STOP)}) FROM editions) GROUP BY ALL)) WHERE df >= 2)) GROUP BY work_id""")),
     "lsa_neighbours": (lsa, None),
 }

@@ -1,13 +1,12 @@
 """Structured Streaming forms of the ingest: a versioned store kept by foreachBatch, and windowed counts.
 
-The store lives in a folder of versions with a pointer, as every published table does. A batch reads
-the current version, applies the upsert, writes the next version and moves the pointer; a batch that
+The store lives in a folder of versions with pointers, as every published table does. A batch reads
+the current version, applies the upsert, writes the next version and a pointer to it; a batch that
 is replayed after a failure finds equal bodies and changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,10 +16,10 @@ from shelfspark.sources import raw_store
 
 
 def current_store(spark: SparkSession, folder: str) -> DataFrame:
-    """The store's current version, empty before the first batch."""
+    """The store's current version, empty before the first batch only: a lost pointer is an error, no empty store."""
     try:
         return catalog.read_published(spark, folder, "store")
-    except (AnalysisException, TypeError):
+    except LookupError:
         return raw_store.empty(spark)
 
 

@@ -83,3 +83,29 @@ def test_publish_moves_the_pointer(spark, tables, tmp_path):
     catalog.publish({"works": tables["works"].limit(2)}, folder, "v2")
     assert catalog.read_published(spark, folder, "works").count() == 2
     assert spark.read.parquet(f"{folder}/v1/works").count() == 5
+
+
+def test_a_run_that_ends_early_leaves_the_last_version(spark, tmp_path):
+    """Leftovers of every step: a version without a pointer, a pointer that was not committed, a lost pointer."""
+    import os
+    import shutil
+
+    from shelfspark.streaming import ingest
+
+    folder = f"file://{tmp_path}/store"
+    with pytest.raises(LookupError):
+        catalog.read_published(spark, folder, "store")
+    assert ingest.current_store(spark, folder).count() == 0
+    rows = lambda n: spark.range(n).selectExpr("cast(id as string) AS ppn", "'r' AS record", "NULL AS detail_html", "'T' AS first_seen", "NULL AS updated_at", "NULL AS detail_at", "NULL AS removed_at")
+    for n in (1, 2, 3):
+        catalog.publish({"store": rows(n)}, folder, f"v{n}")
+    assert ingest.current_store(spark, folder).count() == 3
+    assert sorted(os.listdir(tmp_path / "store")) == ["CURRENT", "v2", "v3"] and len(os.listdir(tmp_path / "store/CURRENT")) == 2
+    rows(9).write.parquet(f"{folder}/v4/store")  # written, not pointed to
+    os.makedirs(tmp_path / "store/CURRENT/n=4")  # begun, not committed
+    assert ingest.current_store(spark, folder).count() == 3
+    catalog.publish({"store": rows(5)}, folder, "v4")
+    assert ingest.current_store(spark, folder).count() == 5 and sorted(os.listdir(tmp_path / "store")) == ["CURRENT", "v3", "v4-5"]
+    shutil.rmtree(tmp_path / "store/CURRENT")
+    with pytest.raises(OSError):
+        ingest.current_store(spark, folder)
