@@ -14,7 +14,7 @@ from . import wordhash
 
 SIMILARITY = 0.8
 #: Sequences longer than this are compared one pair at a time; so many pairs go together; steps between looks at the limit.
-LONG, TOGETHER, LOOK = 4096, 4096, 48
+LONG, TOGETHER, LOOK = 4096, 2048, 48
 _ONE, _ALL = np.uint64(1), ~np.uint64(0)
 
 

@@ -47,7 +47,7 @@ KEYS = [f"k{i}" for i in range(SKETCH)]
 LINES = "row long, doc_id long, copy long, line int, h long, s long, g long, size int, " + ", ".join(f"{k} long" for k in KEYS)
 LINE_COLUMNS = [c.split()[0] for c in LINES.split(", ")]
 #: Rows without texts, and pairs of lines and their characters, that a worker takes together.
-MANY_ROWS, MANY_PAIRS, MANY_LETTERS = 100_000, 16_000, 24_000_000
+MANY_ROWS, MANY_PAIRS, MANY_LETTERS = 50_000, 4_000, 3_000_000
 
 
 def normalise(text: str) -> bytes:
