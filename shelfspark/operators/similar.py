@@ -93,7 +93,7 @@ def cosine_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, min_score: float
     """key, rank (from 0), other, score: each row's k most similar others with min_score or more, ties to the least key.
 
     Rows are packed into blocks; blocks meet in pairs by an equi-join on block numbers, and each
-    meeting keeps k a row, so what is shuffled grows with blocks and k, never with all pairs.
+    meeting keeps k a row. Pairs of rows are never shuffled, but each block is, once for each other.
     """
     kind = dict(vectors.dtypes)[key]
     clean = workspace.materialize(vectors.where(F.size(vector) > 0).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")), "vectors")
