@@ -26,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,11 @@ LINES = "row long, doc_id long, copy long, line int, h long, s long, g long, siz
 LINE_COLUMNS = [c.split()[0] for c in LINES.split(", ")]
 #: Rows without texts, and pairs of lines and their characters, that a worker takes together.
 MANY_ROWS, MANY_PAIRS, MANY_LETTERS = 50_000, 4_000, 3_000_000
+#: Rows of a group held against all of it at once, pairs whose hashes are compared and pairs gathered together, and those
+#: compared before components are looked up again.
+STRIP, MANY_SHARED, MANY_NEAR, MANY_CHECKED = 128, 50_000, 200_000, 1_000
+#: Where the sketch begins among the columns that _join takes.
+KEYS_AT = 10
 
 
 def normalise(text: str) -> bytes:
@@ -209,14 +215,21 @@ def _deal(s: np.ndarray, m: int, agree: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def near(deal: np.ndarray, s: np.ndarray, g: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which of the second-last axis are near which of the last, for arrays that broadcast so; odd deals are sketches."""
-    facing = lambda x: (x[..., :, None], x[..., None, :])
-    (sa, sb), (ga, gb), (la, lb) = facing(s), facing(g), facing(size)
-    most = np.maximum(la, lb)
-    words = np.bitwise_count(sa ^ sb) <= np.where(deal & 1, DISTANCE, BLOCK_DISTANCE)[..., :, None]
-    pairs = (np.bitwise_count(ga ^ gb) <= PAIR_DISTANCE) | (most < SHORT) | (deal & 1 == 0)[..., :, None]
-    return (most - np.minimum(la, lb) <= (1 - SIMILARITY) * most + 1e-6) & words & pairs
+def near(deal: np.ndarray, s: np.ndarray, g: np.ndarray, size: np.ndarray, some: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a group are near which, and the bits that they are apart; of groups in the first axis if there are more.
+
+    Odd deals are sketches. some: only these against all.
+    """
+    facing = lambda x: (x[..., some, None], x[..., None, :])
+    least = np.ceil(SIMILARITY * size - 1e-6).astype(size.dtype)  # the least size alike
+    (la, lb), (ka, kb), (ta, tb) = facing(size), facing(least), facing(size < SHORT)
+    sketch = (deal[..., some] & 1).astype(bool)[..., :, None]
+    words, pairs = (np.bitwise_count(np.bitwise_xor(*facing(x))) for x in (s, g))
+    found = words <= np.where(sketch, np.uint8(DISTANCE), np.uint8(BLOCK_DISTANCE))
+    found &= (pairs <= np.uint8(PAIR_DISTANCE)) | ~sketch | (ta & tb)
+    found &= la >= kb
+    found &= lb >= ka
+    return found, words + pairs
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,8 +265,8 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, place, n in _groups(batches, 3):
         deal, part, node = (rows.column(i).to_numpy()[place] for i in (0, 3, 4))
         s, g, size = rows.column(5).to_numpy().view(np.uint64)[place], rows.column(6).to_numpy().view(np.uint64)[place], rows.column(7).to_numpy()[place]
-        found = _met(near(deal, s, g, size), part, n)
-        bits = np.bitwise_count(s[:, :, None] ^ s[:, None, :]) + np.bitwise_count(g[:, :, None] ^ g[:, None, :])
+        close, bits = near(deal, s, g, size)
+        found = _met(close, part, n)
         bits[~(found & (node[:, None, :] < node[:, :, None]))] = 255
         at = bits.argmin(axis=2)
         least = np.take_along_axis(bits, at[:, :, None], axis=2)[:, :, 0]
@@ -269,61 +282,139 @@ def _met(found: np.ndarray, part: np.ndarray, n: np.ndarray) -> np.ndarray:
     return found & (n[:, None] != n[None, :]) & (~across | (part[:, :, None] != part[:, None, :]))
 
 
-def _unjoined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], list[str]]]:
-    """Rows deal, a, b, part, id, s, g, size, partner, root, keys, raw sorted by group: ids and lines of near rows of different roots.
+class Forest:
+    """Roots of components, joined by the links found so far."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+
+
+def _near_pairs(rows: pa.RecordBatch, own: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i and j of the near rows of a group that are of different roots and not partners, and the bits they are apart.
 
-    A row and its partner have been compared before.
+    Taken a strip of rows at a time; pairs that share several hashes are left to the least of them.
     """
-    first_key = 10
-    for rows, edges in meeting.whole_groups(batches, 3):
-        pairs = []
-        for n in (x for x in range(len(edges) - 1) if edges[x + 1] - edges[x] > 1):
-            own = slice(edges[n], edges[n + 1])
-            deal, part, node, s, g, size, root = (rows.column(i)[own].to_numpy() for i in (0, 3, 4, 5, 6, 7, 9))
-            partner = rows.column(8)[own].fill_null(-1).to_numpy()
-            found = _met(near(deal, s.view(np.uint64), g.view(np.uint64), size)[None], part[None], np.arange(len(deal)))[0] & (root[:, None] != root[None, :])
-            i, j = np.nonzero(np.triu(found))
-            new = (partner[i] != node[j]) & (partner[j] != node[i])
-            i, j = i[new], j[new]
-            keys = np.stack([rows.column(c)[own].to_numpy() for c in range(first_key, first_key + SKETCH)], axis=1) if deal[0] & 1 else None
-            if keys is not None and len(i):  # a pair that shares several hashes is compared in the least of them
-                shared = (keys[i][:, :, None] == keys[j][:, None, :]) & (keys[i] != 0)[:, :, None]
-                first = np.where(shared.any(axis=2), keys[i], np.iinfo(np.int64).max).min(axis=1) == deal[0]
-                i, j = i[first], j[first]
-            pairs.append(np.stack([i, j], axis=1) + edges[n])
-        met = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        wanted = np.unique(met)
-        text = dict(zip(wanted.tolist(), map(normal_line, rows.column(first_key + SKETCH).take(pa.array(wanted)).to_pylist()), strict=True))
-        node = rows.column(4).to_numpy()
-        yield node[met[:, 0]], node[met[:, 1]], [text[i] for i in met[:, 0].tolist()], [text[i] for i in met[:, 1].tolist()]
-
-
-def _verified(pairs: Iterator[tuple[np.ndarray, np.ndarray, list[str], list[str]]]) -> Iterator[pa.RecordBatch]:
-    """Of pairs of ids and lines those alike, many compared together."""
-    held: list = []
-
-    def flush() -> pa.RecordBatch:
-        u, v = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        same = edits.alike(*([t for h in held for t in h[i]] for i in (2, 3)))
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)[same]), pa.array(np.maximum(u, v)[same])], ["u", "v"])
-
-    for got in pairs:
-        for at in range(0, len(got[0]), MANY_PAIRS):
-            held.append(tuple(x[at : at + MANY_PAIRS] for x in got))
-            if sum(len(h[0]) for h in held) >= MANY_PAIRS or sum(len(t) for h in held for t in h[2]) >= MANY_LETTERS:
-                yield flush()
-    if held:
-        yield flush()
+    column = lambda c: rows.column(c)[own].to_numpy(zero_copy_only=False)
+    deal, part, node, s, g, size, root = (column(c) for c in (0, 3, 4, 5, 6, 7, 9))
+    partner = rows.column(8)[own].fill_null(-1).to_numpy()
+    keys = np.stack([column(KEYS_AT + k) for k in range(SKETCH)], axis=1) if deal[0] & 1 else None
+    across, n = part.min() != part.max(), len(deal)
+    found = []
+    for begin in range(0, n, STRIP):
+        strip = slice(begin, min(n, begin + STRIP))
+        close, bits = near(deal, s.view(np.uint64), g.view(np.uint64), size, strip)
+        close &= root[strip, None] != root
+        close &= np.arange(n) > np.arange(strip.start, strip.stop)[:, None]
+        if across:
+            close &= part[strip, None] != part
+        i, j = np.nonzero(close)
+        bits, i = bits[i, j], i + begin
+        new = (partner[i] != node[j]) & (partner[j] != node[i])
+        i, j, bits = i[new], j[new], bits[new]
+        for at in range(0, len(i), MANY_SHARED if keys is not None else len(i) or 1):
+            x, y, z = (v[at : at + MANY_SHARED] if keys is not None else v for v in (i, j, bits))
+            if keys is not None:
+                shared = (keys[x][:, :, None] == keys[y][:, None, :]).any(axis=2) & (keys[x] != 0)
+                first = np.where(shared, keys[x], np.iinfo(np.int64).max).min(axis=1) == deal[0]
+                x, y, z = x[first], y[first], z[first]
+            found.append((x.astype(np.int32) + own.start, y.astype(np.int32) + own.start, z))
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint8)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of at most so many entries, and of MANY_LETTERS in sum but for single ones."""
+    sums, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        upto = int(np.searchsorted(sums, (sums[at - 1] if at else 0) + MANY_LETTERS, "right"))
+        end = min(max(upto, at + 1), at + most)
+        yield slice(at, end)
+        at = end
+
+
+def _settled(rows: pa.RecordBatch, pairs: list, forest: Forest) -> Iterator[pa.RecordBatch]:
+    """Links among pairs of places of rows, enough to join all that they join.
+
+    Of every two components the nearest pair is compared first, then twice as many, and so on; pairs
+    whose components a link has joined meanwhile are left out.
+    """
+    i, j, bits = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.argsort(bits, kind="stable")
+    i, j = i[order], j[order]
+    node, size = rows.column(4).to_numpy(), rows.column(7).to_numpy().astype(np.int64)
+    roots, own = np.unique(rows.column(9).to_numpy(), return_inverse=True)
+    lines: dict[int, str] = {}
+    raw, take = rows.column(KEYS_AT + SKETCH), 1
+
+    def now() -> np.ndarray:
+        """The component of every row as it stands, numbered from 0."""
+        return np.unique(np.fromiter(map(forest.find, roots.tolist()), np.int64, len(roots)), return_inverse=True)[1][own]
+
+    while len(i):
+        held = now()
+        apart = held[i] != held[j]
+        i, j = i[apart], j[apart]
+        both = np.minimum(held[i], held[j]) * len(roots) + np.maximum(held[i], held[j])
+        order = np.argsort(both, kind="stable")
+        begins = np.flatnonzero(np.diff(both[order], prepend=-1))
+        nth = np.empty(len(both), np.int64)
+        nth[order] = np.arange(len(both)) - np.repeat(begins, np.diff(np.append(begins, len(both))))
+        chosen = nth < take
+        x, y = i[chosen], j[chosen]
+        i, j, take = i[~chosen], j[~chosen], 2 * take
+        for run in _parts(size[x] + size[y], MANY_CHECKED):
+            held = now()
+            apart = held[x[run]] != held[y[run]]
+            u, v = x[run][apart], y[run][apart]
+            new = [k for k in np.unique(np.concatenate([u, v])).tolist() if k not in lines]
+            lines.update(zip(new, map(normal_line, raw.take(pa.array(new, pa.int64())).to_pylist()), strict=True))
+            same = edits.alike([lines[k] for k in u.tolist()], [lines[k] for k in v.tolist()])
+            u, v = u[same], v[same]
+            for one, other in zip(roots[own[u]].tolist(), roots[own[v]].tolist(), strict=True):
+                forest.join(one, other)
+            yield pa.RecordBatch.from_arrays([pa.array(f(node[u], node[v])) for f in (np.minimum, np.maximum)], ["u", "v"])
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _verified(_unjoined(batches))
+    """Rows deal, a, b, part, id, s, g, size, partner, root, keys, raw sorted by group: links between near rows of different roots.
+
+    A row and its partner have been compared before. The links join all that any near pair of a group joins.
+    """
+    forest = Forest()
+    for rows, edges in meeting.whole_groups(batches, 3):
+        pairs: list = []
+        for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if end - begin > 1:
+                pairs.append(_near_pairs(rows, slice(begin, end)))
+            if sum(len(p[0]) for p in pairs) >= MANY_NEAR:
+                yield from _settled(rows, pairs, forest)
+                pairs = []
+        if pairs:
+            yield from _settled(rows, pairs, forest)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows u, v and their lines as they stand: links."""
-    return _verified((b.column(0).to_numpy(), b.column(1).to_numpy(), *([normal_line(t) for t in b.column(i).to_pylist()] for i in (2, 3))) for b in batches if b.num_rows)
+    for batch in batches:
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+        for run in _parts(sizes, MANY_PAIRS):
+            some = batch.slice(run.start, run.stop - run.start)
+            same = edits.alike(*([normal_line(t) for t in some.column(c).to_pylist()] for c in (2, 3)))
+            u, v = (some.column(c).to_numpy()[same] for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(f(u, v)) for f in (np.minimum, np.maximum)], ["u", "v"])
 
 
 def _raw_lines(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
