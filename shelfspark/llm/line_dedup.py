@@ -21,7 +21,8 @@ occurrences go. Lines without words always stay.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -52,6 +53,8 @@ MANY_ROWS, MANY_PAIRS, MANY_LETTERS = 50_000, 4_000, 3_000_000
 #: Rows of a group held against all of it at once, pairs whose hashes are compared and pairs gathered together, and those
 #: compared before components are looked up again.
 STRIP, MANY_SHARED, MANY_NEAR, MANY_CHECKED = 128, 50_000, 200_000, 1_000
+#: Bytes of lines that are hashed at once; a longer line goes alone.
+PIECE = 250_000
 #: Where the sketch begins among the columns that _join takes.
 KEYS_AT = 10
 
@@ -179,7 +182,16 @@ def _simhash(h: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray
     return np.packbits(2 * sums.astype(np.int32) > counts[:, None], axis=1).reshape(-1).view(np.uint64)
 
 
+def _hand_back() -> None:
+    """Return memory that a worker's earlier stages have freed and kept."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _hand_back()
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         numbered = batch.num_columns > 3
@@ -188,11 +200,32 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = slice(done, done + len(keys))
             rows = batch.column(3)[at].to_numpy() if numbered else np.arange(row, row + len(keys))
             row, done = row + len(keys), done + len(keys)
-            lines = Lines([normalise(t) for t in texts])
-            text, (s, g) = pa.array(lines.text), lines.simhashes()
-            columns = [pa.array(rows, pa.int64()).take(text), pa.array(keys, pa.int64()).take(text), batch.column(2)[at].take(text), pa.array(lines.number.astype(np.int32))]
-            columns += [pa.array(x.view(np.int64)) for x in (lines.h, s, g)] + [pa.array(lines.size.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(x) for x in lines.sketches().view(np.int64).T.copy()], LINE_COLUMNS)
+            own, copies = (pa.array(rows, pa.int64()), pa.array(keys, pa.int64())), batch.column(2)[at]
+            for index, before, pieces in _pieces(map(normalise, texts)):
+                lines = Lines(pieces)
+                text, (s, g) = pa.array(index[lines.text]), lines.simhashes()
+                columns = [*(x.take(text) for x in (*own, copies)), pa.array((lines.number + before[lines.text]).astype(np.int32))]
+                columns += [pa.array(x.view(np.int64)) for x in (lines.h, s, g)] + [pa.array(lines.size.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(x) for x in lines.sketches().view(np.int64).T.copy()], LINE_COLUMNS)
+
+
+def _pieces(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Whole lines of some texts, about PIECE bytes at a time: each piece's text by number, the lines before it there, and the pieces."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for n, text in enumerate(texts):
+        at = lines = 0
+        while at >= 0:
+            cut = text.find(b"\n", at + PIECE)
+            piece = text[at : cut if cut >= 0 else None]
+            held.append((n, lines, piece))
+            size += len(piece)
+            lines, at = lines + piece.count(b"\n") + 1, cut + 1 if cut >= 0 else -1
+            if size >= PIECE:
+                yield np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held]
+                held, size = [], 0
+    if held:
+        yield np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held]
 
 
 def plan_blocks(values: int) -> tuple[int, int]:
@@ -262,24 +295,38 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.R
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows deal, a, b, part, id, s, g, size sorted by group: those with a near one, and the nearest of less id with its bits apart."""
+    _hand_back()
     for rows, place, n in _groups(batches, 3):
         deal, part, node = (rows.column(i).to_numpy()[place] for i in (0, 3, 4))
         s, g, size = rows.column(5).to_numpy().view(np.uint64)[place], rows.column(6).to_numpy().view(np.uint64)[place], rows.column(7).to_numpy()[place]
-        close, bits = near(deal, s, g, size)
-        found = _met(close, part, n)
-        bits[~(found & (node[:, None, :] < node[:, :, None]))] = 255
-        at = bits.argmin(axis=2)
-        least = np.take_along_axis(bits, at[:, :, None], axis=2)[:, :, 0]
-        some = found.any(axis=2)
+        some, at, least = _least_apart(deal, part, node, s, g, size, n)
         kept, none = rows.take(pa.array(place[some])), least[some] == 255
         columns = [pa.array(np.take_along_axis(node, at, axis=1)[some], pa.int64(), mask=none), pa.array(least[some].astype(np.int32), pa.int32(), mask=none)]
         yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*rows.schema.names, "nearest", "bits"])
 
 
-def _met(found: np.ndarray, part: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _least_apart(deal: np.ndarray, part: np.ndarray, node: np.ndarray, s: np.ndarray, g: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of groups x members: which have a near one, the place of the nearest of less id, and the bits to it (255 if there is none).
+
+    Large groups are taken a strip of members at a time.
+    """
+    step = len(n) if len(n) <= 4 * STRIP else STRIP
+    out: tuple[list, list, list] = ([], [], [])
+    for begin in range(0, len(n), step):
+        strip = slice(begin, begin + step)
+        close, bits = near(deal, s, g, size, strip)
+        found = _met(close, part, n, strip)
+        bits[~(found & (node[:, None, :] < node[:, strip, None]))] = 255
+        at = bits.argmin(axis=2)
+        for x, y in zip(out, (found.any(axis=2), at, np.take_along_axis(bits, at[:, :, None], axis=2)[:, :, 0]), strict=True):
+            x.append(y)
+    return tuple(np.concatenate(x, axis=1) for x in out)
+
+
+def _met(found: np.ndarray, part: np.ndarray, n: np.ndarray, some: slice) -> np.ndarray:
     """Pairs of two parts, or within the part if there is but one; no row with itself."""
     across = (part.min(axis=1) != part.max(axis=1))[:, None, None]
-    return found & (n[:, None] != n[None, :]) & (~across | (part[:, :, None] != part[:, None, :]))
+    return found & (n[some, None] != n[None, :]) & (~across | (part[:, some, None] != part[:, None, :]))
 
 
 class Forest:
@@ -393,6 +440,7 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A row and its partner have been compared before. The links join all that any near pair of a group joins.
     """
+    _hand_back()
     forest = Forest()
     for rows, edges in meeting.whole_groups(batches, 3):
         pairs: list = []
