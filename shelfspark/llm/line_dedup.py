@@ -21,7 +21,6 @@ occurrences go. Lines without words always stay.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -182,16 +181,8 @@ def _simhash(h: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray
     return np.packbits(2 * sums.astype(np.int32) > counts[:, None], axis=1).reshape(-1).view(np.uint64)
 
 
-def _hand_back() -> None:
-    """Return memory that a worker's earlier stages have freed and kept."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    _hand_back()
+    tokenizing.hand_back()
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         numbered = batch.num_columns > 3
@@ -295,7 +286,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.R
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows deal, a, b, part, id, s, g, size sorted by group: those with a near one, and the nearest of less id with its bits apart."""
-    _hand_back()
+    tokenizing.hand_back()
     for rows, place, n in _groups(batches, 3):
         deal, part, node = (rows.column(i).to_numpy()[place] for i in (0, 3, 4))
         s, g, size = rows.column(5).to_numpy().view(np.uint64)[place], rows.column(6).to_numpy().view(np.uint64)[place], rows.column(7).to_numpy()[place]
@@ -440,7 +431,7 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A row and its partner have been compared before. The links join all that any near pair of a group joins.
     """
-    _hand_back()
+    tokenizing.hand_back()
     forest = Forest()
     for rows, edges in meeting.whole_groups(batches, 3):
         pairs: list = []

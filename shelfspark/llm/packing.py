@@ -112,6 +112,7 @@ def cut_documents(docs: DataFrame, encode: Callable[[list[str]], tuple[np.ndarra
     """A row for each piece, with the task that made it and its rank in that task among pieces of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizing.hand_back()
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4")
         for batch in batches:
@@ -148,6 +149,7 @@ def pack_documents(docs: DataFrame, encode: Callable[[list[str]], tuple[np.ndarr
     ranked = pieces.join(ranks, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizing.hand_back()
         for batch in batches:
             bins, offsets = places(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bins), pa.array(offsets)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])

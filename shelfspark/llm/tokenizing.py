@@ -9,6 +9,7 @@ text encoded in one call; tests compare both, also on odd white space.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import unicodedata
@@ -263,3 +264,11 @@ def slices(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[str]]]:
         end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + SLICE_CHARS)))
         yield keys[begin:end].to_pylist(), [t or "" for t in texts[begin:end].to_pylist()]
         begin = end
+
+
+def hand_back() -> None:
+    """Return memory that a worker's earlier stages have freed and kept."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
