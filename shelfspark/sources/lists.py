@@ -14,6 +14,7 @@ from shelfspark.functions import display
 
 ITEM = "position int, title string, author string, isbn string, cover_url string"
 OVERVIEW = "struct<results:struct<lists:array<struct<list_id:string,list_name:string,list_name_encoded:string,display_name:string,books:array<struct<rank:int,title:string,author:string,primary_isbn13:string,primary_isbn10:string,book_image:string>>>>>>"
+ITALIC, LINK = r"''+([^']{2,140}?)''+", r"\[\[([^\]|]+?)(?:\|[^\]]+)?\]\]"
 NOMINEES, PROSE = "(?i)genomineerd|nominat|shortlist|longlist|voordracht", "(?i)trivia|externe|zie ook|referenti|bronnen|voetnot"
 
 
@@ -86,25 +87,30 @@ def api_overview(documents: DataFrame, column: str = "json") -> DataFrame:
 def prize_pages(pages: DataFrame, key: str = "list", markup: str = "wikitext") -> DataFrame:
     """list, position, year, title, author, won: entries of a prize page, newest year first.
 
-    A line's year and section are the last ones named before it in the page; the first entry of a
-    year outside a section of nominees has won. Windows run within a page.
+    A line's year and section are the last ones named before it in the page; a number in a title or
+    an author's name is no year. The first entry of a year outside a section of nominees has won; a
+    heading that names the year again begins another such round. Windows run within a page.
     """
     stripped = F.trim(F.regexp_replace(F.col("raw"), r"[\t\r]", " "))
     lines = pages.select(F.col(key).alias("list"), F.posexplode(F.split(markup, r"\r?\n")).alias("nr", "raw")).withColumn("line", stripped)
     order = W.partitionBy("list").orderBy("nr")
     heading, marked = F.col("line").startswith("="), F.col("line").rlike("^[=*|]")
-    year = F.nullif(F.regexp_extract("line", r"\b(19\d{2}|20\d{2})\b", 1), F.lit("")).try_cast("int")
-    lines = lines.withColumn("nominees", F.last(F.when(heading, F.col("line").rlike(NOMINEES)), True).over(order))
-    lines = lines.withColumn("prose", F.coalesce(F.last(F.when(heading, F.col("line").rlike(PROSE)), True).over(order), F.lit(False)))
-    lines = lines.where(~F.col("prose")).withColumn("year", F.last(F.when(marked, year), True).over(order))
-    lines = lines.withColumn("block", F.sum(F.coalesce((~F.col("year").eqNullSafe(F.lag("year").over(order))).cast("int"), F.lit(0))).over(order))
-    italic = F.regexp_extract("line", r"''+([^']{2,140}?)''+", 1)
+    italic = F.regexp_extract("line", ITALIC, 1)
     linked = lambda c: F.regexp_replace(c, r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1")
     clean = lambda c: F.btrim(F.regexp_replace(linked(c), r"\([^)]*\)$", ""), F.lit(" '\""))
-    entries = lines.where(F.col("line").rlike(r"^[*|]") & (italic != "")).withColumn("title", clean(italic)).withColumn("whole", F.trim(linked(italic)))
-    names = F.transform(F.regexp_extract_all("line", F.lit(r"\[\[([^\]|]+?)(?:\|[^\]]+)?\]\]")), lambda a: F.trim(a))
-    people = F.filter(names, lambda a: ~a.rlike(r"^\d{3,4}$") & (clean(a) != F.col("title")) & (a != F.col("whole")))
-    entries = entries.withColumn("author", F.try_element_at(people, F.lit(1)))
+    lines = lines.withColumn("title", clean(italic)).withColumn("whole", F.trim(linked(italic)))
+    name = lambda link: F.trim(F.regexp_extract(link, LINK, 1))
+    person = lambda a: ~a.rlike(r"^\d{3,4}$") & (clean(a) != F.col("title")) & (a != F.col("whole"))
+    lines = lines.withColumn("link", F.try_element_at(F.filter(F.regexp_extract_all("line", F.lit(LINK), F.lit(0)), lambda x: person(name(x))), F.lit(1)))
+    beside = F.replace(F.replace(F.col("line"), F.regexp_extract("line", ITALIC, 0), F.lit(" ")), F.coalesce("link", F.lit("")), F.lit(" "))
+    dated = F.when((italic != "") & F.col("line").rlike(r"^[*|]"), beside).otherwise(F.col("line"))
+    year = F.nullif(F.regexp_extract(dated, r"\b(19\d{2}|20\d{2})\b", 1), F.lit("")).try_cast("int")
+    lines = lines.withColumn("nominees", F.last(F.when(heading, F.col("line").rlike(NOMINEES)), True).over(order))
+    lines = lines.withColumn("prose", F.coalesce(F.last(F.when(heading, F.col("line").rlike(PROSE)), True).over(order), F.lit(False)))
+    lines = lines.where(~F.col("prose")).withColumn("named", F.when(marked, year)).withColumn("year", F.last("named", True).over(order))
+    again = heading & F.col("named").isNotNull() & ~F.col("line").rlike(NOMINEES)
+    lines = lines.withColumn("block", F.sum((~F.col("year").eqNullSafe(F.lag("year").over(order)) | again).cast("int")).over(order))
+    entries = lines.where(F.col("line").rlike(r"^[*|]") & (italic != "")).withColumn("author", name(F.col("link")))
     entries = entries.where((F.col("title") != "") & F.col("author").isNotNull() & (F.lower("title") != F.lower("author")))
     seen = F.row_number().over(W.partitionBy("list", F.lower("title"), F.lower("author")).orderBy("nr"))
     entries = entries.withColumn("seen", seen).where("seen = 1")

@@ -58,6 +58,18 @@ def test_lists(spark):
     assert out["a"].count() == 3 and out["b"].count() == 9 and kept == ["b", "c"]
 
 
+def test_prize_years_are_not_read_from_names(spark):
+    wiki = "== 1930 ==\n* ''Boek 1950'' by [[Naam 1950]]\n=== Genomineerd ===\n* ''Ook 2001'' by [[Twee 2001|2001]]\n== Winnaars ==\n* [[2014]]: ''1984'' – [[George]]\n| ''Zes'' || [[Bob]] || [[2016 in boeken]]"
+    got = lists.prize_pages(spark.createDataFrame([("p", wiki)], "list string, wikitext string"))
+    assert rows(got, "year", "title", "author", "won") == [(1930, "Boek 1950", "Naam 1950", 1), (1930, "Ook 2001", "Twee 2001", 0), (2014, "1984", "George", 1), (2016, "Zes", "Bob", 1)]
+
+
+def test_headings_of_one_prize_year_have_a_winner_each(spark):
+    wiki = "== 2014 ==\n* ''Een'' by [[A]]\n* ''Twee'' by [[B]]\n=== Genomineerd ===\n* ''Drie'' by [[C]]\n== 2014 ==\n* ''Vier'' by [[D]]\n=== Shortlist 2014 ===\n* ''Vijf'' by [[E]]\n=== Slot ===\n* ''Zes'' by [[F]]"
+    got = lists.prize_pages(spark.createDataFrame([("p", wiki)], "list string, wikitext string"))
+    assert rows(got, "position", "title", "won") == [(1, "Een", 1), (2, "Twee", 0), (3, "Drie", 0), (4, "Vier", 1), (5, "Vijf", 0), (6, "Zes", 0)]
+
+
 def test_pair_files(spark):
     texts = spark.createDataFrame([("https://x/catalogus/1x/a?b\n\n2, b-slug\nbad,c",), ('[{"ppn":"3","slug":"c"},{"url":"/catalogus/4/d"},{"x":1}]',), ('{"ppn":"5","slug":"e"}',)], "value string")
     assert rows(files.pairs(texts)) == [("1x", "a"), ("2", "b-slug"), ("3", "c"), ("4", "d"), ("5", "e")]
