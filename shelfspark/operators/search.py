@@ -3,7 +3,8 @@
 A query word matches every token that begins with it. `postings` makes the index: a row for each token
 of a document with its weight (the field weights times occurrences), in order of the token, and
 `lengths` the documents' lengths. `match_index` reads only the rows of the query's prefixes, which
-Parquet finds by the tokens' ranges; `match` answers without an index, in one pass over the texts.
+Parquet finds by the tokens' ranges; `match` answers without an index, in one pass over the texts. A
+document may come in pieces, several rows with its key (catalog.text_pieces): what they hold is summed.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ def postings(docs: DataFrame, weights: dict[str, float] = FIELD_WEIGHTS, key: st
 
 def lengths(docs: DataFrame, weights: dict[str, float] = FIELD_WEIGHTS, key: str = "work_id") -> DataFrame:
     """key, dl: tokens of every document."""
-    return docs.select(key, sum((F.size(tokens(f)) for f, _ in _fields(docs, weights)), F.lit(0)).alias("dl"))
+    per_row = docs.select(key, sum((F.size(tokens(f)) for f, _ in _fields(docs, weights)), F.lit(0)).alias("dl"))
+    return per_row.groupBy(key).agg(F.sum("dl").alias("dl"))
 
 
 def match_index(index: DataFrame, sizes: DataFrame, q: str, key: str = "work_id") -> DataFrame:
@@ -83,8 +85,9 @@ def _scored(hits: DataFrame, words: int, key: str) -> DataFrame:
 def match(docs: DataFrame, q: str, weights: dict[str, float] = FIELD_WEIGHTS, key: str = "work_id") -> DataFrame:
     """key, score of the documents that have all query words as prefixes; a lower score is better.
 
-    No words in q: no rows. One pass over the documents computes each document's length and weighted
-    frequency of every word inside its row, with no explode; the corpus statistics are one aggregate.
+    No words in q: no rows. One pass over the documents computes each row's length and weighted
+    frequency of every word inside the row, with no explode; only these numbers are summed by key, and
+    the corpus statistics are one aggregate.
     """
     words = params.terms(q)
     spark = docs.sparkSession
@@ -94,7 +97,7 @@ def match(docs: DataFrame, q: str, weights: dict[str, float] = FIELD_WEIGHTS, ke
     count = lambda f, t: F.size(F.filter(F.col(f), lambda x: x.startswith(t)))
     frequency = [sum((count(f, t) * F.lit(w) for f, w in _fields(docs, weights)), F.lit(0.0)).alias(f"f{i}") for i, t in enumerate(words)]
     length = sum((F.size(f) for f, _ in _fields(docs, weights)), F.lit(0)).alias("dl")
-    counted = tokenised.select(key, length, *frequency)
+    counted = tokenised.select(key, length, *frequency).groupBy(key).agg(F.sum("dl").alias("dl"), *[F.sum(f"f{i}").alias(f"f{i}") for i in range(len(words))])
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avg"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(words))])
     hits = counted
     for i in range(len(words)):
@@ -103,7 +106,7 @@ def match(docs: DataFrame, q: str, weights: dict[str, float] = FIELD_WEIGHTS, ke
 
 
 def count_matches(docs: DataFrame, q: str, weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """How many documents match: no join, no scores."""
+    """How many documents match, of one row each: no join, no scores."""
     every = F.flatten(F.array(*[tokens(f) for f, _ in _fields(docs, weights)]))
     has = lambda t: F.exists(every, lambda x: x.startswith(t))
     out = docs

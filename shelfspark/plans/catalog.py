@@ -145,6 +145,20 @@ def pooled_text(editions: DataFrame, genre_links: DataFrame) -> DataFrame:
     return out.select("work_id", "title", "author", F.concat(F.coalesce("genres", F.lit("")), F.lit(" "), F.coalesce("keywords", F.lit(""))).alias("subjects"), "summary")
 
 
+def text_pieces(editions: DataFrame, genre_links: DataFrame) -> DataFrame:
+    """The searchable text of each work in pieces: columns as in pooled_text, but a row for each different value of a field.
+
+    A row holds one value and null elsewhere, so a work of very many editions is never one text. A
+    work without any text has a row too.
+    """
+    kinds = {"title": "title", "author": "author", "keywords": "subjects", "summary": "summary"}
+    piece = lambda kind, value: F.struct(F.lit(kind).alias("kind"), F.col(value).alias("value"))
+    held = editions.select("work_id", F.inline(F.array(*[piece(c, c) for c in kinds]))).where("value IS NOT NULL OR kind = 'title'")
+    rows = held.distinct().unionByName(genre_links.select("work_id", F.lit("genre").alias("kind"), F.col("genre").alias("value")).distinct())
+    field = lambda c: F.when(F.col("kind").isin(*[k for k, f in (kinds | {"genre": "subjects"}).items() if f == c]), F.col("value"))
+    return rows.select("work_id", *[field(c).alias(c) for c in ("title", "author", "subjects", "summary")])
+
+
 def work_slugs(all_works: DataFrame, links: DataFrame, people: DataFrame) -> DataFrame:
     """work_id, slug, from the title and the first author's display name."""
     first = links.groupBy("work_id").agg(F.min_by("author_key", F.struct("position", "author_key")).alias("author_key")).join(people.select("author_key", "name"), "author_key")

@@ -73,7 +73,8 @@ def _detail(s, d):
 
 
 def _spelled(s, d):
-    return _build(s, d)["works_fts"].select("work_id", F.md5(F.concat_ws("|", "title", "author", "subjects", "summary")).alias("digest"))
+    t = _build(s, d)
+    return catalog.pooled_text(t["editions"], t["work_genres"]).select("work_id", F.md5(F.concat_ws("|", "title", "author", "subjects", "summary")).alias("digest"))
 
 
 def _tagged(s, d):

@@ -1,6 +1,6 @@
 from shelfspark.functions import params
 from shelfspark.operators import browse, search, similar
-from shelfspark.plans import catalog
+from shelfspark.plans import catalog, testdata
 from shelfspark.queries import search_queries
 from tests.sample import F, editions, rows
 
@@ -81,3 +81,26 @@ def test_registered_tf_idf_weighs_the_words_of_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(search_queries, "editions", lambda s, d: e)
     got = {r["work_id"]: r["terms"] for r in search_queries.tf_idf(spark, "").collect()}
     assert got == {"003": 2, "005": 2}  # the titles, genres and keywords of the two differ
+
+
+def test_texts_in_pieces_match_as_pooled_ones(spark):
+    """A work of many editions, whose pooled text is one long row, has no row beyond its longest text."""
+    t = catalog.build(editions(spark))
+    more = t["editions"].where("ppn = '001'").crossJoin(spark.range(200)).withColumn("summary", F.concat("summary", F.lit(" walvis "), (F.col("id") % 150).cast("string"))).drop("id")
+    every = t["editions"].unionByName(more)
+    pooled, pieces = catalog.pooled_text(every, t["work_genres"]), catalog.text_pieces(every, t["work_genres"])
+    longest = lambda df: df.agg(F.max(F.length("summary"))).first()[0]
+    assert longest(pieces) < 60 < 3000 < longest(pooled)
+    plain = lambda df: sorted((r["work_id"], round(r["score"], 9)) for r in df.collect())
+    for q in ("walvis", "de", "bob", "pasta", "an ont"):
+        want = plain(search.match(pooled, q))
+        assert want and plain(search.match(pieces, q)) == want
+        assert plain(search.match_index(search.postings(pieces), search.lengths(pieces), q)) == want
+    assert rows(search.lengths(pieces), "work_id", "dl") == rows(search.lengths(pooled), "work_id", "dl")
+
+
+def test_the_snapshot_holds_texts_in_pieces(spark, tmp_path):
+    docs = [(i, f"Een titel\n{'woord ' * 50}{i}", "en", "src", 1) for i in range(1, 40, 3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    t = testdata.snapshot(spark, str(tmp_path))
+    assert t["works"].count() < len(docs) and t["works_fts"].agg(F.max(F.length("summary"))).first()[0] < 400
