@@ -41,6 +41,9 @@ DARTS = K * (math.log(K) + 2)
 #: Chances that a Poisson variable with mean 1 is at most 0, 1, 2, ..., as 64-bit fractions.
 _POISSON = np.array([min(2**64 - 1, int(sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) * 2**64)) for i in range(12)], np.uint64)
 _RANK_BITS = 20
+#: Bytes of a table of nodes or rows that is broadcast. Hashed by its keys it takes more than that of the driver, which
+#: may hold several of them at once; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 4_000_000
 #: Unit regions that are looked at together.
 _AT_ONCE = 1 << 20
 
@@ -191,6 +194,11 @@ def _links(members: DataFrame, regions: DataFrame) -> DataFrame:
     return workspace.materialize(met, "links", meeting.BATCH_BYTES)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcasting if it is small enough for the driver to hold several such."""
+    return workspace.broadcast_if_small(df, BROADCAST_BYTES)
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, digest, class_id, kept and twins for every row of docs.
 
@@ -213,7 +221,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     meet = workspace.materialize(in_bands.join(crowds, "bucket"), "in_buckets")
     wanted = workspace.materialize(meet.select("node").distinct().join(nodes.select("node", "digest", F.col("first.doc_id").alias("first")), "node"), "wanted")
     same = read["doc_id"].eqNullSafe(F.col("first")) & (F.unhex(F.md5(read["text"].cast("binary"))) == F.col("digest"))
-    texts = read.join(workspace.broadcast_if_small(wanted), same).select("node", "text")
+    texts = read.join(_small(wanted), same).select("node", "text")
     regions = workspace.materialize(texts.mapInArrow(_cells_of, "node long, cells binary").dropDuplicates(["node"]), "regions", meeting.BATCH_BYTES)
 
     dealt = workspace.materialize(meeting.deal(meet, "bucket", "node", "bytes"), "dealt")
@@ -229,9 +237,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     grouped = nodes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("first").alias("least"))
     classed = workspace.materialize(grouped.join(least, "root").select("digest", F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("kept_row")), "classes")
-    found = signed.select("doc_id", "digest", "row").join(workspace.broadcast_if_small(classed), "digest")
+    found = signed.select("doc_id", "digest", "row").join(_small(classed), "digest")
     repeated = signed.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), F.col("digest").alias("text_digest"), F.lit(True).alias("twins"))
-    repeated = workspace.broadcast_if_small(workspace.materialize(repeated, "twins"))
+    repeated = _small(workspace.materialize(repeated, "twins"))
     found = found.join(repeated, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("text_digest")), "left")
     out = found.select("doc_id", "digest", "class_id", (F.col("row") == F.col("kept_row")).alias("kept"), F.coalesce("twins", F.lit(False)).alias("twins"))
     alone = read.where(F.col("text").isNull())
@@ -246,10 +254,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     kept = workspace.materialize(classes(docs).where(F.col("kept") & F.col("digest").isNotNull()).select("doc_id", "digest", "twins"), "kept")
     packed = docs.select(F.struct(*docs.columns).alias("doc"))
     same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.unhex(F.md5(F.col("doc.text").cast("binary"))) == F.col("digest"))
-    one = packed.join(workspace.broadcast_if_small(kept.where("NOT twins")), same).select("doc")
+    one = packed.join(_small(kept.where("NOT twins")), same).select("doc")
     some = kept.where("twins")
     if not some.isEmpty():
-        one = one.unionByName(packed.join(workspace.broadcast_if_small(some), same).dropDuplicates(["digest"]).select("doc"))
+        one = one.unionByName(packed.join(_small(some), same).dropDuplicates(["digest"]).select("doc"))
     return one.unionByName(packed.where(F.col("doc.text").isNull())).select("doc.*")
 
 

@@ -327,3 +327,16 @@ def test_few_or_no_lines(spark, n):
     df = spark.createDataFrame([(1, "just one line")], "doc_id long, text string").limit(n)
     _, drop = line_dedup.duplicate_lines(df)
     assert drop.count() == 0 and line_dedup.dedup_texts(df).count() == n
+
+
+def test_classes_are_the_same_without_broadcasts(spark, monkeypatch):
+    """From a size that the driver can hold several times on, tables of nodes are joined by a shuffle."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [base, base, [*base[:-1], "x"], [f"v{i}" for i in range(60)], "", None]
+    docs = spark.createDataFrame([(i, " ".join(t) if t else t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = lambda: sorted(tuple(r) for r in dartminhash.classes(docs).select("doc_id", "class_id", "kept").collect())
+    want = found()
+    monkeypatch.setattr(dartminhash, "BROADCAST_BYTES", -1)
+    got = dartminhash.classes(docs)
+    assert "ResolvedHint" not in got._jdf.queryExecution().analyzed().toString() and sorted(tuple(r) for r in got.select("doc_id", "class_id", "kept").collect()) == want
+    assert sorted(r["doc_id"] for r in dartminhash.keep_first(docs).collect()) == sorted(x[0] for x in want if x[2])
