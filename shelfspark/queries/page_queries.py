@@ -58,12 +58,21 @@ def cards(s, d):
     return lists.bestseller_cards(html).select("list", "position", "title", "author", "isbn")
 
 
-def overview(s, d):
+#: Document numbers that an overview spans.
+OVERVIEW_SPAN = 1000
+
+
+def _overviews(s, d):
+    """API overviews of the books of a source, of OVERVIEW_SPAN document numbers each: a source's books are no single text."""
     book = F.struct(_id().cast("int").alias("rank"), _text("THE BOOK ", _id()).alias("title"), F.col("lang").alias("author"), F.when(_id() % 2 == 0, _text("978", F.lpad(_id().cast("string"), 10, "0"))).otherwise("").alias("primary_isbn13"), F.lpad(_id().cast("string"), 10, "0").alias("primary_isbn10"), F.lit("img").alias("book_image"))
     one = F.struct(F.lit("1").alias("list_id"), F.lit("N").alias("list_name"), F.col("source").alias("list_name_encoded"), F.lit("").alias("display_name"), F.col("books"))
-    by = table(s, d, "documents").groupBy("source").agg(F.collect_list(book).alias("books"))
+    by = table(s, d, "documents").groupBy("source", F.floor(_id() / OVERVIEW_SPAN)).agg(F.collect_list(book).alias("books"))
     json = F.to_json(F.struct(F.struct(F.array(one).alias("lists")).alias("results")))
-    return lists.api_overview(by.select(json.alias("json"))).select("list", "name", "position", "title", "author", "isbn")
+    return by.select(json.alias("json"))
+
+
+def overview(s, d):
+    return lists.api_overview(_overviews(s, d)).select("list", "name", "position", "title", "author", "isbn")
 
 
 def key_pairs(s, d):

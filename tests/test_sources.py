@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark.queries import page_queries
 from shelfspark.sources import files, lists, pages, raw_store
 from shelfspark.streaming import ingest
 from tests.sample import rows
@@ -70,6 +71,13 @@ def test_headings_of_one_prize_year_have_a_winner_each(spark):
     assert rows(got, "position", "title", "won") == [(1, "Een", 1), (2, "Twee", 0), (3, "Drie", 0), (4, "Vier", 1), (5, "Vijf", 0), (6, "Zes", 0)]
 
 
+def test_overviews_of_a_large_source_are_many_texts(spark, tmp_path):
+    docs = spark.range(0, 5000, 2).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'src' AS source")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert page_queries._overviews(spark, str(tmp_path)).agg(F.max(F.length("json"))).first()[0] < 120_000
+    assert sorted(r["position"] for r in page_queries.overview(spark, str(tmp_path)).collect()) == list(range(0, 5000, 2))
+
+
 def test_pair_files(spark):
     texts = spark.createDataFrame([("https://x/catalogus/1x/a?b\n\n2, b-slug\nbad,c",), ('[{"ppn":"3","slug":"c"},{"url":"/catalogus/4/d"},{"x":1}]',), ('{"ppn":"5","slug":"e"}',)], "value string")
     assert rows(files.pairs(texts)) == [("1x", "a"), ("2", "b-slug"), ("3", "c"), ("4", "d"), ("5", "e")]
