@@ -278,7 +278,7 @@ def publish(tables: dict[str, DataFrame], folder: str, version: str, keep: int =
     number = max([0, *(int(n.removeprefix("n=")) for n in _subfolders(spark, f"{folder}/CURRENT") if n.startswith("n="))]) + 1
     place = f"{version}-{number}" if version in _subfolders(spark, folder) else version
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{place}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{place}/{name}")
     spark.createDataFrame([(place,)], "version string").coalesce(1).write.json(f"{folder}/CURRENT/n={number}")
     stay = [number, *known[: max(0, keep - 1)]]
     places = {_place(spark, folder, n) for n in stay}
