@@ -2,8 +2,9 @@
 
 Distances follow the bit-parallel method with blocks of 64 rows: a column of the table is held as the
 bits of its upward and downward steps. Pairs of like lengths go through it together, a numpy
-operation each for all of them, and only blocks within reach of the diagonal are touched. Pairs that
-must exceed their limit are left behind on the way.
+operation each for all of them and for all blocks: each block is a column behind the one above it,
+whose carry it takes. Only blocks within reach of the diagonal are touched. Pairs that must exceed
+their limit are left behind on the way.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from . import wordhash
 
 SIMILARITY = 0.8
 #: Sequences longer than this are compared one pair at a time; so many pairs go together; steps between looks at the limit.
-LONG, TOGETHER, LOOK = 4096, 2048, 48
+LONG, TOGETHER, LOOK = 4096, 2048, 16
+#: Bytes of the table of letters' places of pairs that go together, and letters from which each pair has numbers of its own.
+PLACES_BYTES, MANY_KINDS = 12_000_000, 128
 _ONE, _ALL = np.uint64(1), ~np.uint64(0)
 
 
@@ -56,79 +59,131 @@ def capped_distances(a: list, b: list, limit: np.ndarray) -> np.ndarray:
     for i in todo[longest > LONG].tolist():
         out[i] = distance(a[i].tolist(), b[i].tolist())
     todo, longest = todo[longest <= LONG], longest[longest <= LONG]
+    kinds = 1 + int(max(np.concatenate([x[i] for i in todo]).max() for x in (a, b))) if len(todo) else 0
     # Pairs of like lengths together: 1, 2, 3 to 4, 5 to 8, ... blocks.
     kind = np.ceil(np.log2(np.maximum(longest, 64) / 64)).astype(np.int64)
     for k in np.unique(kind).tolist():
         own = todo[kind == k]
-        for some in np.array_split(own, -(-len(own) // TOGETHER)):
+        most = max(64, min(TOGETHER, PLACES_BYTES // (8 * min(kinds, 64 << k) << k)))
+        for some in np.array_split(own, -(-len(own) // most)):
             some = some[np.argsort(-lb[some], kind="stable")]
-            out[some] = _together([a[i] for i in some], [b[i] for i in some], la[some], lb[some], limit[some])
+            out[some] = _together([a[i] for i in some], [b[i] for i in some], la[some], lb[some], limit[some], kinds)
     return out
 
 
-def _padded(x: list, sizes: np.ndarray, width: int, filler: int, kind: type) -> np.ndarray:
-    out = np.full((len(x), width), filler, kind)
-    out[np.arange(width) < sizes[:, None]] = np.concatenate(x)
+def _padded(x: np.ndarray, sizes: np.ndarray, width: int, filler: int) -> np.ndarray:
+    out = np.full((len(sizes), width), filler, np.int64)
+    out[np.arange(width) < sizes[:, None]] = x
     return out
 
 
-def _together(a: list, b: list, la: np.ndarray, lb: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """capped_distances of pairs whose second sequences get no longer down the lists; none is empty."""
-    n, blocks = len(a), -(-int(la.max()) // 64)
-    kind = np.uint8 if max(max(x.max() for x in a), max(x.max() for x in b)) < 254 else np.int32
-    rows, columns = _padded(a, la, 64 * blocks, 254, kind), _padded(b, lb, int(lb.max()), 255, kind)
-    if kind is np.int32:
-        rows[np.arange(64 * blocks) >= la[:, None]] = -1
+def _own_numbers(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The same pairs with numbers that each pair counts from 1; 0 in b for what its a has not. And one more than the largest."""
+    pair = np.arange(len(la))
+    ka, kb = a + np.repeat(pair, la) * kinds, b + np.repeat(pair, lb) * kinds
+    there = np.unique(ka)
+    before = np.searchsorted(there, pair * kinds)
+    at = np.minimum(np.searchsorted(there, kb), len(there) - 1)
+    na = np.searchsorted(there, ka) - np.repeat(before, la) + 1
+    return na, np.where(there[at] == kb, at - np.repeat(before, lb) + 1, 0), int(na.max()) + 1
+
+
+def _places(rows: np.ndarray, kinds: int) -> np.ndarray:
+    """blocks x (kinds x pairs): the bits of the places in a block of 64 that hold a number, of each pair."""
+    n, width = rows.shape
+    out, at = np.zeros((width // 64, kinds * n), np.uint64), rows.T * np.int64(n) + np.arange(n)
+    for i in range(width):
+        block = out[i // 64]
+        block[at[i]] |= _ONE << np.uint64(i % 64)
+    return out
+
+
+def _in_reach(up: np.ndarray, down: np.ndarray, more: np.ndarray, less: np.ndarray, la: np.ndarray, lb: np.ndarray, above: np.ndarray, limit: np.ndarray, low: int, step: int) -> np.ndarray:
+    """Which pairs may end within their limits, as the blocks from low on stand before a step. above: the rise of the blocks left behind.
+
+    From a place of the table to its end it takes as many edits at least as it is off the end's diagonal.
+    Every eighth row is looked at: rows between are at most 4 away, and a diagonal step from one
+    block into the next misses the places looked at by one, so that 10 less are certain.
+    """
+    count = lambda x: np.bitwise_count(x.copy().view(np.uint8)).astype(np.int32).reshape(*x.shape, 8)
+    rises = np.cumsum(count(up) - count(down), axis=2, dtype=np.int32)
+    carries = np.cumsum(more.astype(np.int32) - less.astype(np.int32), axis=0, dtype=np.int32)
+    tops = (above + step - low + 1).astype(np.int32) - carries
+    tops[1:] += np.cumsum(rises[:-1, :, 7], axis=0, dtype=np.int32)
+    off = (la - lb + step).astype(np.int32) - 65 * np.arange(low, low + len(up), dtype=np.int32)[:, None]
+    least = (tops + np.abs(off)).min(axis=0)
+    rises += tops[:, :, None]
+    rises += np.abs(off[:, :, None] - np.arange(8, 65, 8, dtype=np.int32))
+    return (np.minimum(least, rises.min(axis=(0, 2))) <= limit + 10) | (lb + low <= step)
+
+
+def _together(a: list, b: list, la: np.ndarray, lb: np.ndarray, limit: np.ndarray, kinds: int) -> np.ndarray:
+    """capped_distances of pairs whose second sequences get no longer down the lists; none is empty, all numbers are below kinds."""
+    n, blocks, reach = len(a), -(-int(la.max()) // 64), int(limit.max())
+    flat = [np.concatenate(x).astype(np.int64) for x in (a, b)]
+    if kinds > MANY_KINDS:
+        *flat, kinds = _own_numbers(*flat, la, lb, kinds)
+    width = kinds * n + n  # a number more stands for the places after a line's end
+    places = _places(_padded(flat[0], la, 64 * blocks, kinds), kinds + 1).ravel()
+    columns = _padded(flat[1], lb, int(lb[0]) + blocks, 0).T * n + np.arange(n)  # where to look in a block's places
+    base = width * np.arange(blocks)[:, None]
     up, down = np.full((blocks, n), _ALL), np.zeros((blocks, n), np.uint64)
+    more, less = np.ones((blocks + 1, n), np.uint64), np.zeros((blocks + 1, n), np.uint64)  # carries into each block
     bits = np.clip(la - 64 * np.arange(blocks)[:, None], 0, 64).astype(np.uint64)
     within = np.where(bits == 64, _ALL, (_ONE << np.minimum(bits, np.uint64(63))) - _ONE)
-    out, pair = limit + 1, np.arange(n)
-    top, low, reach = np.zeros(n, np.int64), 0, int(limit.max())  # top: the table above the lowest block held
-    for j in range(columns.shape[1] + 1):
-        if lb[len(pair) - 1] <= j:  # the last ones have come to their end
-            left = int(np.searchsorted(-lb[: len(pair)], -j, "left"))
-            some = slice(left, len(pair))
-            count = lambda x: np.bitwise_count(x[low:, some] & within[low:, some]).sum(axis=0, dtype=np.int64)  # noqa: B023, E731
-            out[pair[some]] = top[some] + count(up) - count(down)
-            pair, rows, columns, up, down, top, within = pair[:left], rows[:left], columns[:left], up[:, :left], down[:, :left], top[:left], within[:, :left]
-            if not left:
-                break
-        if j and j % LOOK == 0:
-            high = min(blocks - 1, (j - 1 + reach) // 64)
-            steps = [np.unpackbits(x[low : high + 1].T.copy().view(np.uint8), axis=1, bitorder="little").view(np.int8) for x in (up, down)]
-            least = np.minimum(np.cumsum(steps[0] - steps[1], axis=1, dtype=np.int16).min(axis=1), 0) + top
-            keep = np.flatnonzero(least <= limit[pair])
-            if not len(keep):
-                break
-            if len(keep) < len(pair):
-                pair, rows, columns, up, down, top, within = pair[keep], rows[keep], columns[keep], up[:, keep], down[:, keep], top[keep], within[:, keep]
-                lb = lb[keep]
-        while low < (j - reach) // 64:
-            top = top + np.bitwise_count(up[low]).astype(np.int64) - np.bitwise_count(down[low])
+    # out: what of a pair's distance is known; pairs left behind stay above their limit.
+    out, pair, sums, low, last = limit + 1, np.arange(n), lb.copy(), 0, blocks - 1
+    rise_of = lambda w, some: np.bitwise_count(up[w, some] & within[w, some]).astype(np.int64) - np.bitwise_count(down[w, some] & within[w, some])
+    ends = set(lb.tolist())
+    for step in range(int(lb[0]) + blocks):  # block w is at column step - w
+        high = min(last, step, (step + reach) // 65)
+        dropped = low if step >= 65 * low + 64 + reach else -1
+        if dropped >= 0:  # out of reach from its column on
+            some = slice(0, int(np.searchsorted(-lb, low - step, "right")))
+            sums[some] += rise_of(low, some)
             low += 1
-        high = min(blocks - 1, (j + reach) // 64)
-        equal = np.packbits(rows[:, 64 * low : 64 * (high + 1)] == columns[:, j : j + 1], axis=1, bitorder="little").view(np.uint64)
-        more, less = _ONE, None
         for w in range(low, high + 1):
-            match, plus, minus = equal[:, w - low], up[w], down[w]
-            either = match | minus
-            if less is not None:
-                match = match | less
-            diagonal = (match & plus) + plus
-            diagonal ^= plus
-            diagonal |= match
-            rise = minus | ~(diagonal | plus)
-            fall = plus & diagonal
-            next_more, next_less = rise >> np.uint64(63), fall >> np.uint64(63)
-            rise = rise << _ONE
-            rise |= more
-            fall = fall << _ONE
-            if less is not None:
-                fall |= less
-            up[w] = fall | ~(either | rise)
-            down[w] = rise & either
-            more, less = next_more, next_less
-        top = top + 1
+            if step - w in ends:
+                some = slice(*(int(np.searchsorted(-lb, w - step, side)) for side in ("left", "right")))
+                sums[some] += rise_of(w, some)
+        if step and step % LOOK == 0 and low <= high:
+            keep = _in_reach(*(x[low : high + 1] for x in (up, down, more, less)), la, lb, sums - lb, limit[pair], low, step)
+            done = lb + blocks <= step
+            out[pair[done]] = sums[done]
+            keep = np.flatnonzero(keep & ~done)
+            if not len(keep):
+                return out
+            if len(keep) < 0.9 * len(pair):
+                pair, la, lb, sums, columns = pair[keep], la[keep], lb[keep], sums[keep], columns[:, keep]
+                up, down, more, less, within = (x[:, keep] for x in (up, down, more, less, within))
+                ends = set(lb.tolist())
+        own = slice(low, high + 1)
+        match = places.take(columns[step - high : step - low + 1][::-1] + base[own])
+        plus, minus, carried, lost = up[own], down[own], more[own], less[own]
+        either = match | minus
+        match |= lost
+        diagonal = match & plus
+        diagonal += plus
+        diagonal ^= plus
+        diagonal |= match
+        fall = plus & diagonal
+        diagonal |= plus
+        rise = ~diagonal
+        rise |= minus
+        next_more, next_less = rise >> np.uint64(63), fall >> np.uint64(63)
+        rise <<= _ONE
+        rise |= carried
+        fall <<= _ONE
+        fall |= lost
+        down[own] = rise & either
+        either |= rise
+        np.invert(either, out=either)
+        either |= fall
+        up[own] = either
+        more[low + 1 : high + 2], less[low + 1 : high + 2] = next_more, next_less
+        if dropped >= 0:
+            more[low], less[low] = _ONE, 0
+    out[pair] = sums
     return out
 
 

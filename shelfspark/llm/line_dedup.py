@@ -426,6 +426,18 @@ def _settled(rows: pa.RecordBatch, pairs: list, forest: Forest) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(f(node[u], node[v])) for f in (np.minimum, np.maximum)], ["u", "v"])
 
 
+def _facing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows deal, a, b, part, id, s, g, size, partner, root, keys sorted by group: those that _join compares with some other."""
+    tokenizing.hand_back()
+    for rows, edges in meeting.whole_groups(batches, 3, MANY_ROWS):
+        kept = np.zeros(rows.num_rows, bool)
+        for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if end - begin > 1:
+                i, j, _ = _near_pairs(rows, slice(begin, end))
+                kept[i] = kept[j] = True
+        yield rows.filter(pa.array(kept))
+
+
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows deal, a, b, part, id, s, g, size, partner, root, keys, raw sorted by group: links between near rows of different roots.
 
@@ -435,12 +447,14 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forest = Forest()
     for rows, edges in meeting.whole_groups(batches, 3):
         pairs: list = []
+        held = 0
         for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if end - begin > 1:
                 pairs.append(_near_pairs(rows, slice(begin, end)))
-            if sum(len(p[0]) for p in pairs) >= MANY_NEAR:
+                held += len(pairs[-1][0])
+            if held >= MANY_NEAR:
                 yield from _settled(rows, pairs, forest)
-                pairs = []
+                pairs, held = [], 0
         if pairs:
             yield from _settled(rows, pairs, forest)
 
@@ -465,7 +479,9 @@ def _raw_lines(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFram
     same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_copy") == F.col("copy"))
     cut = held.join(workspace.broadcast_if_small(by_doc), same).select(F.split("text", "\n", -1).alias("cut"), "lines")
     found = cut.select("cut", F.explode("lines").alias("x")).select("x.id", F.get("cut", F.col("x.line")).alias("raw"))
-    return workspace.materialize(found.dropDuplicates(["id"]), "raw_lines")  # rows alike in id and text give a line twice
+    found = workspace.materialize(found.dropDuplicates(["id"]), "raw_lines")  # rows alike in id and text give a line twice
+    workspace.discard(place, by_doc)
+    return found
 
 
 def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -497,6 +513,7 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     grouped = meeting.deal(dealt, "deal", "id").join(nodes.select("id", "s", "g", "size"), "id").select("deal", "a", "b", "part", "id", "s", "g", "size")
     kind = "deal long, a int, b int, part int, id long, s long, g long, size int, nearest long, bits int"
     close_by = workspace.materialize(grouped.repartition("deal", "a", "b").sortWithinPartitions("deal", "a", "b").mapInArrow(_nearest, kind), "near_lines")
+    workspace.discard(dealt)
 
     best = close_by.where("nearest IS NOT NULL").groupBy("id").agg(F.min_by("nearest", "bits").alias("partner"))
     pairs = workspace.materialize(best.select(F.col("id").alias("u"), F.col("partner").alias("v")), "line_pairs")
@@ -508,14 +525,21 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     rooted = close_by.drop("nearest", "bits").join(pairs.select(F.col("u").alias("id"), F.col("v").alias("partner")), "id", "left")
     rooted = rooted.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = workspace.materialize(rooted, "rooted_lines")
+    workspace.discard(close_by)
     several = rooted.groupBy("deal").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("deal")
-    met = rooted.join(several, "deal").join(nodes.select("id", *KEYS), "id").join(raw, "id").select("deal", "a", "b", "part", "id", "s", "g", "size", "partner", "root", *KEYS, "raw")
-    more = met.repartition("deal", "a", "b").sortWithinPartitions("deal", "a", "b").mapInArrow(_join, "u long, v long")
-    return links.unionByName(workspace.materialize(more, "line_links", meeting.BATCH_BYTES))
+    met = rooted.join(several, "deal").join(nodes.select("id", *KEYS), "id").select("deal", "a", "b", "part", "id", "s", "g", "size", "partner", "root", *KEYS)
+    kind = ", ".join(f"{c} {t}" for c, t in met.dtypes)
+    by_group = lambda rows: rows.repartition("deal", "a", "b").sortWithinPartitions("deal", "a", "b")
+    facing = workspace.materialize(by_group(met).mapInArrow(_facing, kind), "facing_lines")  # few of them: only these move with their texts
+    workspace.discard(rooted)
+    more = by_group(facing.join(raw, "id").select(*facing.columns, "raw")).mapInArrow(_join, "u long, v long")
+    more = workspace.materialize(more, "line_links", meeting.BATCH_BYTES)
+    workspace.discard(facing, raw)
+    return links.unionByName(more)
 
 
 def duplicate_lines(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The lines of docs (LINES), and the ones to drop: row, line.
+    """The lines of docs: row, doc_id, line, h; and the ones to drop: row, line.
 
     docs needs doc_id and text. row: a column that numbers its rows; without it rows are numbered as
     they are read. Null and empty texts have no lines with words. Null ids come first, and ids may
@@ -523,15 +547,18 @@ def duplicate_lines(docs: DataFrame, row: str | None = None) -> tuple[DataFrame,
     count as different documents: the later one loses its lines. An empty table gives no rows.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"), *([F.col(row).cast("long").alias("row")] if row else []))
-    lines = workspace.materialize(read.mapInArrow(_digest, LINES), "lines", meeting.BATCH_BYTES)
+    digests = workspace.materialize(read.mapInArrow(_digest, LINES), "lines", meeting.BATCH_BYTES)
     # All of fixed width, so that hashing and no sorting finds the nodes; first() takes one row's values.
-    nodes = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "copy", "line", "s", "g", "size", *KEYS)])
+    nodes = digests.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "copy", "line", "s", "g", "size", *KEYS)])
     nodes = workspace.materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "line_nodes")
+    lines = workspace.materialize(digests.select("row", "doc_id", "line", "h"), "line_places")
+    workspace.discard(digests)
     roots = workspace.materialize(graph.components(_links(docs, nodes)), "line_roots")
     # Lines that occur once and are like no other stay out of all that follows.
     ends = roots.select(F.col("node").alias("id"), "root").unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
     grouped = nodes.select("h", "id", "n").join(ends, "id", "left").where("n > 1 OR root IS NOT NULL").select("h", F.coalesce("root", "id").alias("root"))
     grouped = workspace.materialize(grouped, "line_groups")
+    workspace.discard(nodes)
     crowded = workspace.materialize(lines.select("row", "doc_id", "line", "h").join(workspace.broadcast_if_small(grouped), "h").select("row", "doc_id", "line", "root"), "crowded_lines")
     stays = crowded.groupBy("root").agg(F.min(F.struct("doc_id", "row", "line")).alias("stays"))
     stays = workspace.broadcast_if_small(workspace.materialize(stays, "first_lines"))
@@ -546,8 +573,10 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
     Columns of docs may have any names.
     """
     numbered = workspace.materialize(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
-    _, drop = duplicate_lines(numbered.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), "row"), "row")
-    dropped = workspace.materialize(drop.groupBy("row").agg(F.collect_set("line").alias("lost")), "dropped_lines")
+    with workspace.scope(docs.sparkSession):  # what the dropped lines are found from goes
+        _, drop = duplicate_lines(numbered.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), "row"), "row")
+        dropped = workspace.keep(workspace.materialize(drop.groupBy("row").agg(F.collect_set("line").alias("lost")), "dropped_lines"))
+    workspace.discard()
     joined = numbered.join(workspace.broadcast_if_small(dropped), "row", "left").withColumn("cut", F.when(F.col("lost").isNotNull(), F.split("doc.text", "\n", -1)))
     kept = F.array_except(F.sequence(F.lit(0), F.size("cut") - 1), "lost")  # by a hash set: linear in the lines
     left = F.array_join(F.transform(kept, lambda i: F.get("cut", i)), "\n")

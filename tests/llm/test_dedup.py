@@ -1,3 +1,4 @@
+import pathlib
 import random
 from collections import Counter, defaultdict
 
@@ -6,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark import workspace
 from shelfspark.llm import dartminhash, edits, line_dedup, meeting
 from shelfspark.operators import graph
 
@@ -223,6 +225,36 @@ def test_distances_together_are_on_the_right_side_of_their_limits():
     assert edits.capped_distances(long, [long[0][3:]], np.array([2]))[0] > 2 and edits.capped_distances(long, [long[0][3:]], np.array([3]))[0] <= 3
 
 
+@pytest.mark.parametrize("kinds", [3, 60, 5000])
+def test_pairs_that_exceed_their_limit_are_left_behind_and_no_others(monkeypatch, kinds):
+    """Lines of several blocks, whatever their letters, the places looked at on the way and the pairs together."""
+    a, b = [], []
+    for _ in range(60):
+        x = [rnd.randrange(kinds) for _ in range(rnd.choice([63, 64, 65, 200, 400]))]
+        share = rnd.choice([0.02, 0.1, 0.3])
+        y = [z for c in x for z in ([c] if rnd.random() > share else rnd.choice([[], [kinds - 1], [c, 1]]))]
+        a.append(np.array(x, np.int32)), b.append(np.array(rnd.choice([y, y[40:] + y[:40]]), np.int32))
+    exact = np.array([edits.distance(x.tolist(), y.tolist()) for x, y in zip(a, b)])
+    steps: list = []
+    monkeypatch.setattr(edits, "_in_reach", lambda *args, f=edits._in_reach: steps.append(args[-1]) or f(*args))
+    for look, most in ((1, 2048), (16, 7)):
+        monkeypatch.setattr(edits, "LOOK", look), monkeypatch.setattr(edits, "TOGETHER", most)
+        for limit in (exact, np.maximum(exact - 1, 0), exact // 4, np.full(60, 70)):
+            assert ((edits.capped_distances(a, b, limit) <= limit) == (exact <= limit)).all()
+    assert steps
+
+
+def test_line_dedup_leaves_no_tables_that_nothing_reads(spark):
+    folder = pathlib.Path(workspace.shared_dir(spark).removeprefix("file:")) / "shelfspark"
+    names = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
+    base = passage(20)
+    rows = [(i, " ".join([*base[:-1], f"w{i}"]) + "\n" + " ".join(passage(12))) for i in range(6)]
+    before = names()
+    out = line_dedup.dedup_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {n.split("-")[0] for n in names() - before} == {"numbered", "dropped_lines"}
+    assert sum(r["text"].startswith(" ".join(base[:-1])) for r in out.collect()) == 1
+
+
 def test_pigeonhole_deals_find_all_near_values():
     base = np.array([rnd.getrandbits(64) for _ in range(50)], np.uint64)
     flipped = base.copy()
