@@ -251,11 +251,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Of rows with the same doc_id and text any one stays. Columns of docs may have any names.
     """
-    kept = workspace.materialize(classes(docs).where(F.col("kept") & F.col("digest").isNotNull()).select("doc_id", "digest", "twins"), "kept")
+    named = workspace.materialize(classes(docs).where(F.col("digest").isNotNull()).select("doc_id", "digest", "kept", "twins"), "kept")
     packed = docs.select(F.struct(*docs.columns).alias("doc"))
     same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.unhex(F.md5(F.col("doc.text").cast("binary"))) == F.col("digest"))
-    one = packed.join(_small(kept.where("NOT twins")), same).select("doc")
-    some = kept.where("twins")
+    # Rows that go are far fewer than those that stay: while they are small no text moves.
+    gone = workspace.materialize(named.where("twins OR NOT kept").select("doc_id", "digest").distinct(), "gone")
+    one = packed.where(F.col("doc.text").isNotNull()).join(_small(gone), same, "left_anti")
+    some = named.where("twins AND kept").select("doc_id", "digest")
     if not some.isEmpty():
         one = one.unionByName(packed.join(_small(some), same).dropDuplicates(["digest"]).select("doc"))
     return one.unionByName(packed.where(F.col("doc.text").isNull())).select("doc.*")

@@ -372,3 +372,14 @@ def test_classes_are_the_same_without_broadcasts(spark, monkeypatch):
     got = dartminhash.classes(docs)
     assert "ResolvedHint" not in got._jdf.queryExecution().analyzed().toString() and sorted(tuple(r) for r in got.select("doc_id", "class_id", "kept").collect()) == want
     assert sorted(r["doc_id"] for r in dartminhash.keep_first(docs).collect()) == sorted(x[0] for x in want if x[2])
+
+
+def test_near_dedup_moves_no_texts_while_few_rows_go(spark, monkeypatch):
+    """Room for the rows that go, and none for those that stay."""
+    monkeypatch.setattr(dartminhash, "BROADCAST_BYTES", 2000)
+    rows = [(i, " ".join(passage(20))) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (300, rows[0][1]), (301, rows[1][1]), (302, None), (0, rows[0][1])], "doc_id long, text string")
+    kept = dartminhash.keep_first(workspace.materialize(docs, "docs"))
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [*range(300), 302]
+    plan = kept.where("doc_id > 0")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
