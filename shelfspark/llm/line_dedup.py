@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark import workspace
@@ -526,8 +526,12 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     rooted = rooted.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = workspace.materialize(rooted, "rooted_lines")
     workspace.discard(close_by)
-    several = rooted.groupBy("deal").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("deal")
-    met = rooted.join(several, "deal").join(nodes.select("id", *KEYS), "id").select("deal", "a", "b", "part", "id", "s", "g", "size", "partner", "root", *KEYS)
+    by_deal = Window.partitionBy("deal")
+    several = rooted.withColumn("least", F.min("root").over(by_deal)).withColumn("most", F.max("root").over(by_deal)).where("least < most").drop("least", "most")
+    # A pair is compared in the least deal of its two rows here, so each has its own along and no node moves for it.
+    own = F.array_distinct(F.collect_list(F.when(F.col("deal") % 2 != 0, F.col("deal"))).over(Window.partitionBy("id")))
+    keys = [F.coalesce(F.get("own", F.lit(i)), F.lit(0)).alias(k) for i, k in enumerate(KEYS)]
+    met = several.withColumn("own", own).select("deal", "a", "b", "part", "id", "s", "g", "size", "partner", "root", *keys)
     kind = ", ".join(f"{c} {t}" for c, t in met.dtypes)
     by_group = lambda rows: rows.repartition("deal", "a", "b").sortWithinPartitions("deal", "a", "b")
     facing = workspace.materialize(by_group(met).mapInArrow(_facing, kind), "facing_lines")  # few of them: only these move with their texts

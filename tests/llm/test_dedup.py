@@ -383,3 +383,12 @@ def test_near_dedup_moves_no_texts_while_few_rows_go(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [*range(300), 302]
     plan = kept.where("doc_id > 0")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_near_lines_carry_their_deals_and_nodes_stay(spark, monkeypatch):
+    """What is compared last is found from the near lines alone; each has its sketch's deals there, and no others."""
+    facing, write = [], workspace.materialize
+    monkeypatch.setattr(workspace, "materialize", lambda df, name, *a: (facing.append(df.inputFiles()) if name == "facing_lines" else None, write(df, name, *a))[1])
+    base = passage(40)
+    line_dedup.duplicate_lines(spark.createDataFrame([(i, " ".join(rnd.choice(VOCABULARY) if rnd.random() < 0.1 else w for w in base)) for i in range(20)], "doc_id long, text string"))
+    assert facing and not any("line_nodes" in f for f in facing[0])
