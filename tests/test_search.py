@@ -1,3 +1,5 @@
+import numpy as np
+
 from shelfspark.functions import params
 from shelfspark.operators import browse, search, similar
 from shelfspark.plans import catalog, testdata
@@ -65,6 +67,49 @@ def test_lsa_invariants(spark):
     assert similar.neighbours_of(None, t["works"], "001").count() == 0
 
 
+def test_neighbours_in_chunks_are_those_of_brute_force(spark):
+    """Copies of a vector lie in several chunks and blocks: ties go to the least key wherever they lie."""
+    some = np.random.default_rng(3).standard_normal((40, 7))
+    every = np.concatenate([some, some[:20], some[:20], some[:5]])
+    v = spark.createDataFrame([(f"{i:03}", x.tolist()) for i, x in enumerate(every)], "work_id string, vector array<double>").repartition(3)
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    score = (unit[:, None, :] * unit[None, :, :]).sum(axis=2)
+    want = {i: sorted((-score[i, j], f"{j:03}") for j in range(len(every)) if i != j and score[i, j] >= 0.1)[:6] for i in range(len(every))}
+    for queries, asked in ((None, range(len(every))), (F.col("work_id").cast("long") % 10 == 0, range(0, len(every), 10))):
+        got = rows(similar.cosine_neighbours(v, 6, 0.1, block=4, queries=queries, chunk_bytes=700), "work_id", "rank", "other", "score")
+        assert sorted(got) == [(f"{i:03}", r, o, round(-s, 4)) for i in asked for r, (s, o) in enumerate(want[i])]
+
+
+def test_lsa_rows_are_hashed_tf_idf_however_few_tokens_are_common(spark):
+    e = editions(spark).withColumnRenamed("ppn", "work_id").withColumn("summary", F.concat("summary", F.lit(" walvis boot walvis"))).select("work_id", "title", "summary", "keywords")
+    e = e.unionByName(e.where("work_id < '003'").withColumn("summary", F.lit("walvis haven")))  # works that occur twice
+    g = e.select("work_id", F.lit("Roman").alias("genre")).where("work_id > '003'").unionByName(spark.createDataFrame([("004", "Zee"), ("zzz", "Zee"), ("005", None)], "work_id string, genre string"))
+    weights, want = similar.tf_idf(similar.bags(e, g)).withColumn("t", F.xxhash64("token")).collect(), {}
+    for r in weights:
+        x = want.setdefault(r["work_id"], np.zeros(64))
+        x[r["t"] % 64] += r["weight"] * (1 - 2 * (r["t"] >> 32 & 1))
+    for common in (1 << 20, 2, 0):
+        got = {r["work_id"]: r for r in similar.lsa_rows(similar.counted(e), g, features=64, common=common).collect()}
+        assert len(want) > 3 and got.keys() == want.keys()
+        for i, r in got.items():
+            x = np.zeros(64)
+            x[np.frombuffer(r["f"], np.int16)] = np.frombuffer(r["x"], np.float32)
+            assert np.allclose(x, want[i], atol=1e-6)
+
+
+def test_registered_neighbours_move_no_tokens_and_no_vectors_for_meetings(spark, tmp_path, monkeypatch):
+    docs = [(i, f"Een titel\n{'walvis ' * (i % 3 + 1)}{'boot ' * (i % 5)}", "en", "src", 1) for i in range(1, 402)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(similar.cosine_neighbours, "__defaults__", (*similar.cosine_neighbours.__defaults__[:-1], 20_000))
+    plans, written = [], similar.workspace.materialize
+    monkeypatch.setattr(similar.workspace, "materialize", lambda df, name, *a, **k: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), written(df, name, *a, **k))[1])
+    got = search_queries.lsa(spark, str(tmp_path)).collect()
+    assert {r["work_id"] for r in got} == {f"{i:09}" for i in (100, 200, 300, 400)} and len(got) == 4 * similar.NEIGHBOURS
+    meetings = [p for name, p in plans if name == "asking"][1:]
+    assert len(meetings) > 1 and all("CartesianProduct" in p and "Exchange" not in p for p in meetings)
+    assert all("hashpartitioning(token" not in p for name, p in plans if name in ("counted_tokens", "lsa_rows"))
+
+
 def test_registered_suggestions_hold_titles_by_score(spark, monkeypatch):
     t = catalog.build(editions(spark))
     monkeypatch.setattr(search_queries, "snapshot", lambda s, d: t)
