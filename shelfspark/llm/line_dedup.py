@@ -508,12 +508,16 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     by_block = nodes.select("id", "s").mapInArrow(deal, "deal long, id long, s long").repartition("deal").sortWithinPartitions("deal")
     by_sketch = nodes.select(F.explode(F.array(*KEYS)).alias("deal"), "id").where("deal <> 0").repartition("deal").sortWithinPartitions("deal")
-    dealt = by_block.mapInArrow(close, "deal long, id long").unionByName(by_sketch.mapInArrow(_several, "deal long, id long"))
-    dealt = workspace.materialize(dealt, "dealt")
+    # One after the other, so that the shuffle of the first is gone when the second's is written.
+    by_block = workspace.materialize(by_block.mapInArrow(close, "deal long, id long"), "dealt_by_block")
+    workspace.discard()
+    by_sketch = workspace.materialize(by_sketch.mapInArrow(_several, "deal long, id long"), "dealt_by_sketch")
+    workspace.discard()
+    dealt = by_block.unionByName(by_sketch)
     grouped = meeting.deal(dealt, "deal", "id").join(nodes.select("id", "s", "g", "size"), "id").select("deal", "a", "b", "part", "id", "s", "g", "size")
     kind = "deal long, a int, b int, part int, id long, s long, g long, size int, nearest long, bits int"
     close_by = workspace.materialize(grouped.repartition("deal", "a", "b").sortWithinPartitions("deal", "a", "b").mapInArrow(_nearest, kind), "near_lines")
-    workspace.discard(dealt)
+    workspace.discard(by_block, by_sketch)
 
     best = close_by.where("nearest IS NOT NULL").groupBy("id").agg(F.min_by("nearest", "bits").alias("partner"))
     pairs = workspace.materialize(best.select(F.col("id").alias("u"), F.col("partner").alias("v")), "line_pairs")
@@ -555,6 +559,7 @@ def duplicate_lines(docs: DataFrame, row: str | None = None) -> tuple[DataFrame,
     # All of fixed width, so that hashing and no sorting finds the nodes; first() takes one row's values.
     nodes = digests.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "copy", "line", "s", "g", "size", *KEYS)])
     nodes = workspace.materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "line_nodes")
+    workspace.discard()  # the shuffle, before more is written
     lines = workspace.materialize(digests.select("row", "doc_id", "line", "h"), "line_places")
     workspace.discard(digests)
     roots = workspace.materialize(graph.components(_links(docs, nodes)), "line_roots")

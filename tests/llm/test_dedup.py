@@ -392,3 +392,16 @@ def test_near_lines_carry_their_deals_and_nodes_stay(spark, monkeypatch):
     base = passage(40)
     line_dedup.duplicate_lines(spark.createDataFrame([(i, " ".join(rnd.choice(VOCABULARY) if rnd.random() < 0.1 else w for w in base)) for i in range(20)], "doc_id long, text string"))
     assert facing and not any("line_nodes" in f for f in facing[0])
+
+
+def test_line_dedup_drops_each_large_shuffle_before_the_next(spark, monkeypatch):
+    """Digests and deals by either route are the largest shuffles; no two of them lie on disk at once."""
+    seen, written, discard = [], workspace.materialize, workspace.discard
+    monkeypatch.setattr(workspace, "materialize", lambda df, name, *a, **k: (written(df, name, *a, **k), seen.append(name))[0])
+    monkeypatch.setattr(workspace, "discard", lambda *t: (discard(*t), seen.append("discard"))[0])
+    line = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, line), (2, line + " eleven"), (3, "something else entirely")], "doc_id long, text string")
+    _, drop = line_dedup.duplicate_lines(docs)
+    assert drop.count() == 1
+    for large in ("line_nodes", "dealt_by_block", "dealt_by_sketch"):
+        assert seen[seen.index(large) + 1] == "discard"
