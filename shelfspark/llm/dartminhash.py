@@ -189,7 +189,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(members: DataFrame, regions: DataFrame) -> DataFrame:
     """Links of the groups of members (bucket, a, b, part, node, root)."""
-    held = members.join(regions, "node").select("bucket", "a", "b", "part", "node", "root", "cells")
+    held = members.join(workspace.shuffled(regions), "node").select("bucket", "a", "b", "part", "node", "root", "cells")
     met = held.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(_meet, "u long, v long")
     return workspace.materialize(met, "links", meeting.BATCH_BYTES)
 
@@ -218,8 +218,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     nodes = workspace.materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     in_bands = nodes.where("bytes > 0").select("node", "bytes", F.posexplode("bands").alias("band", "bucket"))
     crowds = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    meet = workspace.materialize(in_bands.join(crowds, "bucket"), "in_buckets")
-    wanted = workspace.materialize(meet.select("node").distinct().join(nodes.select("node", "digest", F.col("first.doc_id").alias("first")), "node"), "wanted")
+    meet = workspace.materialize(in_bands.join(workspace.shuffled(crowds), "bucket"), "in_buckets")
+    named = workspace.shuffled(nodes.select("node", "digest", F.col("first.doc_id").alias("first")))
+    wanted = workspace.materialize(meet.select("node").distinct().join(named, "node"), "wanted")
     same = read["doc_id"].eqNullSafe(F.col("first")) & (F.unhex(F.md5(read["text"].cast("binary"))) == F.col("digest"))
     texts = read.join(_small(wanted), same).select("node", "text")
     regions = workspace.materialize(texts.mapInArrow(_cells_of, "node long, cells binary").dropDuplicates(["node"]), "regions", meeting.BATCH_BYTES)
@@ -228,22 +229,23 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     early = (F.col("band") < FIRST_BANDS) & (F.col("a") == F.col("b"))
     links = _links(dealt.where(early).withColumn("root", F.col("node")), regions)
     roots = graph.components(links)
-    rooted = dealt.where(~early).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = dealt.where(~early).join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = workspace.materialize(rooted, "rooted")
     several = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
-    links = links.unionByName(_links(rooted.join(several, "bucket"), regions))
+    links = links.unionByName(_links(rooted.join(workspace.shuffled(several), "bucket"), regions))
     roots = graph.components(links)
 
-    grouped = nodes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = nodes.select("node", "digest", "first").join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("first").alias("least"))
-    classed = workspace.materialize(grouped.join(least, "root").select("digest", F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("kept_row")), "classes")
+    classed = workspace.materialize(grouped.join(workspace.shuffled(least), "root").select("digest", F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("kept_row")), "classes")
     found = signed.select("doc_id", "digest", "row").join(_small(classed), "digest")
     repeated = signed.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), F.col("digest").alias("text_digest"), F.lit(True).alias("twins"))
     repeated = _small(workspace.materialize(repeated, "twins"))
     found = found.join(repeated, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("text_digest")), "left")
     out = found.select("doc_id", "digest", "class_id", (F.col("row") == F.col("kept_row")).alias("kept"), F.coalesce("twins", F.lit(False)).alias("twins"))
     alone = read.where(F.col("text").isNull())
-    return out.unionByName(alone.select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), F.lit(False).alias("twins")))
+    out = out.unionByName(alone.select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), F.lit(False).alias("twins")))
+    return workspace.materialize(out, "classed")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -251,7 +253,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Of rows with the same doc_id and text any one stays. Columns of docs may have any names.
     """
-    named = workspace.materialize(classes(docs).where(F.col("digest").isNotNull()).select("doc_id", "digest", "kept", "twins"), "kept")
+    named = classes(docs).where(F.col("digest").isNotNull())
     packed = docs.select(F.struct(*docs.columns).alias("doc"))
     same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.unhex(F.md5(F.col("doc.text").cast("binary"))) == F.col("digest"))
     # Rows that go are far fewer than those that stay: while they are small no text moves.

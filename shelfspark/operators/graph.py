@@ -14,14 +14,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
+    return both.where(F.col("v") > F.col("u")).join(workspace.shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the least of these. Edges lead from larger to smaller nodes."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(workspace.shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
 
 
@@ -30,7 +30,7 @@ def _settled(edges: DataFrame) -> bool:
     counts = edges.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("d"), F.coalesce(F.every(F.col("v") < F.col("u")), F.lit(True)).alias("down")).first()
     if counts["n"] != counts["d"] or not counts["down"]:
         return False
-    return edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").limit(1).count() == 0
+    return edges.select(F.col("v").alias("u")).join(workspace.shuffled(edges.select("u")), "u", "left_semi").limit(1).count() == 0
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -405,3 +405,23 @@ def test_line_dedup_drops_each_large_shuffle_before_the_next(spark, monkeypatch)
     assert drop.count() == 1
     for large in ("line_nodes", "dealt_by_block", "dealt_by_sketch"):
         assert seen[seen.index(large) + 1] == "discard"
+
+
+def unmarked_broadcasts(monkeypatch):
+    """A list that gets each written table's name and how many broadcasts its plan has beyond those marked after counting."""
+    write, seen = workspace.materialize, []
+
+    def note(df, name, *a, **k):
+        plan = df._jdf.queryExecution()
+        seen.append((name, plan.executedPlan().toString().count("BroadcastHashJoin") - plan.analyzed().toString().count("strategy=broadcast")))
+        return write(df, name, *a, **k)
+
+    monkeypatch.setattr(workspace, "materialize", note)
+    return seen
+
+
+def test_near_dedup_broadcasts_no_exploded_bands(spark, monkeypatch):
+    """Spark takes all bands of a text for one, and so for small enough to send to the driver. Only tables counted before go there."""
+    seen, base = unmarked_broadcasts(monkeypatch), passage(40)
+    dartminhash.classes(spark.createDataFrame([(i, " ".join([*base, f"w{i % 7}"])) for i in range(30)], "doc_id long, text string"))
+    assert {"in_buckets", "wanted", "rooted", "components"} <= {name for name, _ in seen} and not [x for x in seen if x[1] > 0]
