@@ -472,7 +472,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _raw_lines(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, raw: the line as it stands in a document that holds it, for every wanted id."""
-    place = workspace.materialize(wanted.distinct().join(nodes.select("id", "doc_id", "copy", "line"), "id"), "wanted_lines")
+    place = workspace.materialize(wanted.distinct().join(workspace.shuffled(nodes.select("id", "doc_id", "copy", "line")), "id"), "wanted_lines")
     held = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_copy"), "text")
     by_doc = place.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("id", "line")).alias("lines"))
     by_doc = workspace.materialize(by_doc, "wanted_by_document")
@@ -514,7 +514,7 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     by_sketch = workspace.materialize(by_sketch.mapInArrow(_several, "deal long, id long"), "dealt_by_sketch")
     workspace.discard()
     dealt = by_block.unionByName(by_sketch)
-    grouped = meeting.deal(dealt, "deal", "id").join(nodes.select("id", "s", "g", "size"), "id").select("deal", "a", "b", "part", "id", "s", "g", "size")
+    grouped = meeting.deal(dealt, "deal", "id").join(workspace.shuffled(nodes.select("id", "s", "g", "size")), "id").select("deal", "a", "b", "part", "id", "s", "g", "size")
     kind = "deal long, a int, b int, part int, id long, s long, g long, size int, nearest long, bits int"
     close_by = workspace.materialize(grouped.repartition("deal", "a", "b").sortWithinPartitions("deal", "a", "b").mapInArrow(_nearest, kind), "near_lines")
     workspace.discard(by_block, by_sketch)
@@ -523,11 +523,11 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = workspace.materialize(best.select(F.col("id").alias("u"), F.col("partner").alias("v")), "line_pairs")
     raw = _raw_lines(docs, nodes, close_by.select("id"))
     a, b = raw.select(F.col("id").alias("u"), F.col("raw").alias("ra")), raw.select(F.col("id").alias("v"), F.col("raw").alias("rb"))
-    links = workspace.materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "ra", "rb").mapInArrow(_verify, "u long, v long"), "line_links", meeting.BATCH_BYTES)
+    links = workspace.materialize(pairs.join(workspace.shuffled(a), "u").join(workspace.shuffled(b), "v").select("u", "v", "ra", "rb").mapInArrow(_verify, "u long, v long"), "line_links", meeting.BATCH_BYTES)
 
     roots = graph.components(links)
-    rooted = close_by.drop("nearest", "bits").join(pairs.select(F.col("u").alias("id"), F.col("v").alias("partner")), "id", "left")
-    rooted = rooted.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = close_by.drop("nearest", "bits").join(workspace.shuffled(pairs.select(F.col("u").alias("id"), F.col("v").alias("partner"))), "id", "left")
+    rooted = rooted.join(workspace.shuffled(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = workspace.materialize(rooted, "rooted_lines")
     workspace.discard(close_by)
     by_deal = Window.partitionBy("deal")
@@ -540,7 +540,7 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     by_group = lambda rows: rows.repartition("deal", "a", "b").sortWithinPartitions("deal", "a", "b")
     facing = workspace.materialize(by_group(met).mapInArrow(_facing, kind), "facing_lines")  # few of them: only these move with their texts
     workspace.discard(rooted)
-    more = by_group(facing.join(raw, "id").select(*facing.columns, "raw")).mapInArrow(_join, "u long, v long")
+    more = by_group(facing.join(workspace.shuffled(raw), "id").select(*facing.columns, "raw")).mapInArrow(_join, "u long, v long")
     more = workspace.materialize(more, "line_links", meeting.BATCH_BYTES)
     workspace.discard(facing, raw)
     return links.unionByName(more)
@@ -565,7 +565,7 @@ def duplicate_lines(docs: DataFrame, row: str | None = None) -> tuple[DataFrame,
     roots = workspace.materialize(graph.components(_links(docs, nodes)), "line_roots")
     # Lines that occur once and are like no other stay out of all that follows.
     ends = roots.select(F.col("node").alias("id"), "root").unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
-    grouped = nodes.select("h", "id", "n").join(ends, "id", "left").where("n > 1 OR root IS NOT NULL").select("h", F.coalesce("root", "id").alias("root"))
+    grouped = nodes.select("h", "id", "n").join(workspace.shuffled(ends), "id", "left").where("n > 1 OR root IS NOT NULL").select("h", F.coalesce("root", "id").alias("root"))
     grouped = workspace.materialize(grouped, "line_groups")
     workspace.discard(nodes)
     crowded = workspace.materialize(lines.select("row", "doc_id", "line", "h").join(workspace.broadcast_if_small(grouped), "h").select("row", "doc_id", "line", "root"), "crowded_lines")
@@ -600,5 +600,5 @@ def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, drop = duplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     lost = drop.groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("dropped"))
     per_row = lines.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_lines"))
-    out = per_row.join(lost, "row", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    out = per_row.join(workspace.shuffled(lost), "row", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark import workspace
-from shelfspark.llm import dartminhash, edits, line_dedup, meeting
+from shelfspark.llm import dartminhash, edits, line_dedup, meeting, quality_rules
 from shelfspark.operators import graph
 
 rnd = random.Random(11)
@@ -425,3 +425,13 @@ def test_near_dedup_broadcasts_no_exploded_bands(spark, monkeypatch):
     seen, base = unmarked_broadcasts(monkeypatch), passage(40)
     dartminhash.classes(spark.createDataFrame([(i, " ".join([*base, f"w{i % 7}"])) for i in range(30)], "doc_id long, text string"))
     assert {"in_buckets", "wanted", "rooted", "components"} <= {name for name, _ in seen} and not [x for x in seen if x[1] > 0]
+
+
+def test_line_stages_broadcast_only_what_was_counted(spark, monkeypatch):
+    """Lines exploded from their documents, and nodes in small files, are not sent to the driver by Spark's own estimate."""
+    seen, base = unmarked_broadcasts(monkeypatch), passage(40)
+    docs = spark.createDataFrame([(i, " ".join([*base, f"w{i % 7}"]) + "\nx y", "a") for i in range(30)], "doc_id long, text string, source string")
+    line_dedup.duplicate_lines(docs)
+    workspace.materialize(quality_rules.clean(docs), "cleaned")
+    seen = [x for x in seen if x[0] != "frequent_lines"]  # its hosts are few, and grouped before
+    assert {"raw_lines", "rooted_lines", "line_groups", "cleaned"} <= {name for name, _ in seen} and not [x for x in seen if x[1] > 0]
