@@ -52,6 +52,8 @@ MANY_ROWS, MANY_PAIRS, MANY_LETTERS = 50_000, 4_000, 3_000_000
 #: Rows of a group held against all of it at once, pairs whose hashes are compared and pairs gathered together, and those
 #: compared before components are looked up again.
 STRIP, MANY_SHARED, MANY_NEAR, MANY_CHECKED = 128, 50_000, 200_000, 1_000
+#: Members of a pigeonhole deal that are held against all of it before they are dealt out; and lines compared last in a task.
+LARGE_DEAL, LINES_A_TASK = 1 << 14, 2_000
 #: Bytes of lines that are hashed at once; a longer line goes alone.
 PIECE = 250_000
 #: Where the sketch begins among the columns that _join takes.
@@ -256,6 +258,11 @@ def near(deal: np.ndarray, s: np.ndarray, g: np.ndarray, size: np.ndarray, some:
     return found, words + pairs
 
 
+def _close(s: np.ndarray) -> np.ndarray:
+    """Which values have another one within BLOCK_DISTANCE bits, a strip of them at a time."""
+    return np.concatenate([(np.bitwise_count(s[at : at + STRIP, None] ^ s) <= BLOCK_DISTANCE).sum(axis=1) > 1 for at in range(0, len(s), STRIP)])
+
+
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by deal those that are not alone in theirs."""
     held: pa.RecordBatch | None = None  # the last row so far
@@ -494,13 +501,14 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(deals.ravel()), *(pa.array(np.repeat(batch.column(i).to_numpy(), deals.shape[1])) for i in (0, 1))], ["deal", "id", "s"])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of pigeonhole deals with a near SimHash in theirs; those of a large deal are left to its groups."""
+        """Rows of pigeonhole deals with a near SimHash in theirs; those of a deal beyond LARGE_DEAL are left to its groups."""
         for rows, edges in meeting.whole_groups(batches, 1, MANY_ROWS):
             sizes, s, kept = np.diff(edges), rows.column(2).to_numpy().view(np.uint64), np.zeros(rows.num_rows, bool)
             for n in np.unique(sizes[sizes > 1]).tolist():
                 places = edges[:-1][sizes == n][:, None] + np.arange(n)
                 if n > meeting.PART_ROWS:
-                    kept[places] = True
+                    for own in places:
+                        kept[own] = _close(s[own]) if n <= LARGE_DEAL else True
                     continue
                 for some in np.array_split(places, -(-places.size * n // 1_000_000)):
                     kept[some] = (np.bitwise_count(s[some][:, :, None] ^ s[some][:, None, :]) <= BLOCK_DISTANCE).sum(axis=2) > 1
@@ -540,7 +548,10 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     by_group = lambda rows: rows.repartition("deal", "a", "b").sortWithinPartitions("deal", "a", "b")
     facing = workspace.materialize(by_group(met).mapInArrow(_facing, kind), "facing_lines")  # few of them: only these move with their texts
     workspace.discard(rooted)
-    more = by_group(facing.join(workspace.shuffled(raw), "id").select(*facing.columns, "raw")).mapInArrow(_join, "u long, v long")
+    # Comparing them takes far longer than their bytes tell, so their number says how many tasks share it.
+    texts = facing.join(workspace.shuffled(raw), "id").select(*facing.columns, "raw")
+    texts = texts.repartition(facing.count() // LINES_A_TASK + 1, "deal", "a", "b").sortWithinPartitions("deal", "a", "b")
+    more = texts.mapInArrow(_join, "u long, v long")
     more = workspace.materialize(more, "line_links", meeting.BATCH_BYTES)
     workspace.discard(facing, raw)
     return links.unionByName(more)

@@ -435,3 +435,21 @@ def test_line_stages_broadcast_only_what_was_counted(spark, monkeypatch):
     workspace.materialize(quality_rules.clean(docs), "cleaned")
     seen = [x for x in seen if x[0] != "frequent_lines"]  # its hosts are few, and grouped before
     assert {"raw_lines", "rooted_lines", "line_groups", "cleaned"} <= {name for name, _ in seen} and not [x for x in seen if x[1] > 0]
+
+
+def test_rows_alone_in_a_large_deal_are_not_dealt_out():
+    """Of a pigeonhole deal larger than a part only values with a near one in it go on, whatever the strips."""
+    values = np.random.default_rng(5).integers(0, 2**63, 3 * meeting.PART_ROWS).astype(np.uint64)
+    values[2000], values[2001] = values[17] ^ np.uint64(7), values[18] ^ np.uint64(15)
+    assert np.flatnonzero(line_dedup._close(values)).tolist() == [17, 2000] and len(values) < line_dedup.LARGE_DEAL
+
+
+def test_lines_compared_last_are_shared_by_their_number(spark, monkeypatch):
+    """A crowd's parts meet in tasks of their own, however few bytes they have."""
+    monkeypatch.setattr(meeting, "PART_ROWS", 8)
+    monkeypatch.setattr(line_dedup, "LINES_A_TASK", 20)
+    write, tasks = workspace.materialize, []
+    monkeypatch.setattr(workspace, "materialize", lambda df, name, *a: (tasks.append(df.rdd.getNumPartitions()) if name == "line_links" else None, write(df, name, *a))[1])
+    base = passage(40)
+    line_dedup.duplicate_lines(spark.createDataFrame([(i, " ".join(w if rnd.random() > rnd.choice([0.02, 0.1, 0.25]) else rnd.choice(VOCABULARY) for w in base)) for i in range(60)], "doc_id long, text string"))
+    assert len(tasks) == 2 and tasks[1] > 4
