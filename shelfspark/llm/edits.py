@@ -5,6 +5,10 @@ bits of its upward and downward steps. Pairs of like lengths go through it toget
 operation each for all of them and for all blocks: each block is a column behind the one above it,
 whose carry it takes. Only blocks within reach of the diagonal are touched. Pairs that must exceed
 their limit are left behind on the way.
+
+Most pairs of lines are far apart, also where they hold one passage at different places. These are
+refuted before: a line is cut into parts, and each part is looked up, at its best, in the stretch of
+the other line that an alignment within the limit can bring it to.
 """
 
 from __future__ import annotations
@@ -14,10 +18,14 @@ import numpy as np
 from . import wordhash
 
 SIMILARITY = 0.8
-#: Sequences longer than this are compared one pair at a time; so many pairs go together; steps between looks at the limit.
-LONG, TOGETHER, LOOK = 4096, 2048, 16
+#: Sequences longer than this are compared one pair at a time, and lines of which fewer than this are of like lengths; so many
+#: pairs go together; steps between looks at the limit.
+LONG, FEW, TOGETHER, LOOK = 4096, 24, 2048, 16
 #: Bytes of the table of letters' places of pairs that go together, and letters from which each pair has numbers of its own.
 PLACES_BYTES, MANY_KINDS = 12_000_000, 128
+#: Letters of a part, the kinds that letters are folded into there (a power of 2), steps between looks at a part's distance,
+#: and parts and their steps that go together.
+PART, KINDS, EVERY, PARTS_TOGETHER, STEPS_TOGETHER = 64, 64, 4, 4096, 1 << 20
 _ONE, _ALL = np.uint64(1), ~np.uint64(0)
 
 
@@ -60,8 +68,7 @@ def capped_distances(a: list, b: list, limit: np.ndarray) -> np.ndarray:
         out[i] = distance(a[i].tolist(), b[i].tolist())
     todo, longest = todo[longest <= LONG], longest[longest <= LONG]
     kinds = 1 + int(max(np.concatenate([x[i] for i in todo]).max() for x in (a, b))) if len(todo) else 0
-    # Pairs of like lengths together: 1, 2, 3 to 4, 5 to 8, ... blocks.
-    kind = np.ceil(np.log2(np.maximum(longest, 64) / 64)).astype(np.int64)
+    kind = _blocks(longest)
     for k in np.unique(kind).tolist():
         own = todo[kind == k]
         most = max(64, min(TOGETHER, PLACES_BYTES // (8 * min(kinds, 64 << k) << k)))
@@ -71,6 +78,25 @@ def capped_distances(a: list, b: list, limit: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(sizes: np.ndarray) -> np.ndarray:
+    """Kinds of like lengths: 1, 2, 3 to 4, 5 to 8, ... blocks."""
+    return np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(np.int64)
+
+
+def _close(a: list, b: list, limit: np.ndarray) -> np.ndarray:
+    """Which pairs are within their limits: by capped_distances, and alone where few are of like lengths."""
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    alone = (np.minimum(la, lb) > 0) & (np.abs(la - lb) <= limit) & (np.maximum(la, lb) > limit)
+    kind = _blocks(np.maximum(la, lb))
+    alone &= np.bincount(kind[alone], minlength=kind.max(initial=0) + 1)[kind] < FEW
+    out = np.zeros(len(a), bool)
+    for i in np.flatnonzero(alone).tolist():
+        out[i] = distance(a[i].tolist(), b[i].tolist()) <= limit[i]
+    rest = np.flatnonzero(~alone)
+    out[rest] = capped_distances([a[i] for i in rest.tolist()], [b[i] for i in rest.tolist()], limit[rest]) <= limit[rest]
+    return out
+
+
 def _padded(x: np.ndarray, sizes: np.ndarray, width: int, filler: int) -> np.ndarray:
     out = np.full((len(sizes), width), filler, np.int64)
     out[np.arange(width) < sizes[:, None]] = x
@@ -204,16 +230,107 @@ class _Words:
         return self.data[self.begin[first] : self.end[last - 1]].decode() if first < last else ""
 
 
+def _folded(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of all lines as numbers below KINDS, and where each line's begin. Longer lines than LONG count as empty."""
+    lines = [x if len(x) <= LONG else "" for x in lines]
+    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+    return np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint8) & np.uint8(KINDS - 1), np.append(0, ends)[:-1]
+
+
+def _least(x: np.ndarray, first: np.ndarray, size: np.ndarray, y: np.ndarray, begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """For parts of x, of at most PART numbers: no more than their least distance to any run inside a stretch of y.
+
+    The last row of a part's table is looked at every few steps; between them it is at most half as many less.
+    """
+    out = np.zeros(len(first), np.int64)
+    order = np.argsort(width, kind="stable")
+    while len(order):
+        fit = int(np.searchsorted(width[order] * np.arange(1, len(order) + 1), STEPS_TOGETHER, "right"))
+        fit = min(max(fit, 1), PARTS_TOGETHER)
+        own, order = order[:fit], order[fit:]
+        steps, rows, sizes = int(width[own[-1]]), np.arange(fit) * KINDS, size[own]
+        places = np.zeros(fit * KINDS, np.uint64)
+        for i in range(int(sizes.max())):
+            some = np.flatnonzero(sizes > i)
+            places[rows[some] + x[first[own[some]] + i]] |= _ONE << np.uint64(i)
+        within = _ALL >> (64 - sizes).astype(np.uint64)
+        # A stretch shorter than the widest one goes on into what follows, which only makes its part's distance less.
+        columns = np.add(np.lib.stride_tricks.sliding_window_view(y, steps)[begin[own]].T, rows, dtype=np.int64, order="C")
+        up, down, least = np.full(fit, _ALL), np.zeros(fit, np.uint64), sizes.astype(np.int16)
+        fall, rise = np.empty(fit, np.uint64), np.empty(fit, np.uint64)
+        for step in range(steps):
+            match = places.take(columns[step])
+            np.bitwise_and(match, up, out=fall)
+            fall += up
+            fall ^= up
+            fall |= match
+            match |= down
+            np.bitwise_or(fall, up, out=rise)
+            np.invert(rise, out=rise)
+            rise |= down
+            fall &= up
+            rise <<= _ONE
+            fall <<= _ONE
+            np.bitwise_or(match, rise, out=up)
+            np.invert(up, out=up)
+            up |= fall
+            np.bitwise_and(match, rise, out=down)
+            if step % EVERY == EVERY - 1 or step == steps - 1:
+                np.minimum(least, np.bitwise_count(up & within).astype(np.int16) - np.bitwise_count(down & within), out=least)
+        out[own] = np.maximum(least - EVERY // 2, 0)
+    return out
+
+
+def limits(a: list[str], b: list[str]) -> np.ndarray:
+    """The edits at which pairs of lines still have a similarity of SIMILARITY."""
+    longest = np.fromiter((max(len(x), len(y)) for x, y in zip(a, b, strict=True)), np.int64, len(a))
+    return np.floor((1 - SIMILARITY) * longest + 1e-6).astype(np.int64)
+
+
+def apart(a: list[str], b: list[str], limit: np.ndarray) -> np.ndarray:
+    """Which pairs are surely further apart than their limits: few that are stay, and none that are not go.
+
+    An alignment with at most so many edits keeps near the diagonal, and what its parts cost adds up. Every second
+    part mostly tells already.
+    """
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    out = np.abs(la - lb) > limit
+    (x, xs), (y, ys) = _folded(a), _folded(b)
+    y = np.append(y, np.zeros(int(limit[la <= LONG].max(initial=0)) + PART + 2, np.uint8))
+    low, high = -((limit - lb + la) // 2), (limit + lb - la) // 2  # diagonals that it may take
+    parts, sums = -(-la // PART), np.zeros(len(a), np.int64)
+    for turn in (0, 1):
+        todo = np.flatnonzero(~out & (np.maximum(la, lb) <= LONG))
+        own = (parts[todo] + 1 - turn) // 2
+        pair = np.repeat(todo, own)
+        if not len(pair):
+            continue
+        nth = 2 * (np.arange(len(pair)) - np.repeat(np.cumsum(own) - own, own)) + turn
+        first, last = (la[pair] * n // parts[pair] for n in (nth, nth + 1))
+        begin = np.clip(first + low[pair], 0, lb[pair])
+        width = np.maximum(np.minimum(last + high[pair], lb[pair]) - begin, 1)
+        sums += np.bincount(pair, _least(x, xs[pair] + first, last - first, y, ys[pair] + begin, width), len(a)).astype(np.int64)
+        out |= sums > limit
+    return out
+
+
 def alike(a: list[str], b: list[str]) -> np.ndarray:
-    """Which pairs of lines of words with single spaces have an edit similarity of SIMILARITY or more.
+    """Which pairs of lines of words with single spaces have an edit similarity of SIMILARITY or more."""
+    limit = limits(a, b)
+    out = ~apart(a, b, limit)
+    left = np.flatnonzero(out)
+    out[left] = within([a[i] for i in left.tolist()], [b[i] for i in left.tolist()], limit[left])
+    return out
+
+
+def within(a: list[str], b: list[str], limit: np.ndarray) -> np.ndarray:
+    """Which pairs of lines of words with single spaces are at most their limit apart.
 
     Equal words at both ends are left out first. Words edited in the rest, each as costly as the
     longest with its space, may be few enough to be sure; other pairs are compared letter by letter.
     """
     if not len(a):
         return np.zeros(0, bool)
-    longest = np.fromiter((max(len(x), len(y)) for x, y in zip(a, b, strict=True)), np.int64, len(a))
-    limit = np.floor((1 - SIMILARITY) * longest + 1e-6).astype(np.int64)
     x, y = _Words(a), _Words(b)
     shorter = np.minimum(x.last - x.first, y.last - y.first)
     pair = np.repeat(np.arange(len(a)), shorter)
@@ -226,7 +343,7 @@ def alike(a: list[str], b: list[str]) -> np.ndarray:
     codes = [[own[i:j] for i, j in zip(f.tolist(), e.tolist(), strict=True)] for own, (f, e) in zip((numbers[: len(x.h)], numbers[len(x.h) :]), ends, strict=True)]
     costliest = np.maximum(*(_longest(w.end - w.begin, f, e) for w, (f, e) in zip((x, y), ends, strict=True))) + 1
     few = limit // costliest
-    out = capped_distances(*codes, few) <= few
+    out = _close(*codes, few)
     todo = np.flatnonzero(~out)
     letters: tuple[list, list] = ([], [])
     (xf, xl), (yf, yl) = ends
@@ -241,7 +358,7 @@ def alike(a: list[str], b: list[str]) -> np.ndarray:
     if len(todo):
         alphabet = np.unique(np.concatenate([*letters[0], *letters[1]]))
         codes = [[np.searchsorted(alphabet, c).astype(np.int32) for c in side] for side in letters]
-        out[todo] = capped_distances(*codes, limit[todo]) <= limit[todo]
+        out[todo] = _close(*codes, limit[todo])
     return out
 
 

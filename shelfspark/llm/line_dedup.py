@@ -49,11 +49,11 @@ LINES = "row long, doc_id long, copy long, line int, h long, s long, g long, siz
 LINE_COLUMNS = [c.split()[0] for c in LINES.split(", ")]
 #: Rows without texts, and pairs of lines and their characters, that a worker takes together.
 MANY_ROWS, MANY_PAIRS, MANY_LETTERS = 50_000, 4_000, 3_000_000
-#: Rows of a group held against all of it at once, pairs whose hashes are compared and pairs gathered together, and those
-#: compared before components are looked up again.
-STRIP, MANY_SHARED, MANY_NEAR, MANY_CHECKED = 128, 50_000, 200_000, 1_000
+#: Rows of a group held against all of it at once, pairs whose hashes are compared and pairs gathered together, those
+#: refuted together, and those compared before components are looked up again.
+STRIP, MANY_SHARED, MANY_NEAR, MANY_FAR, MANY_CHECKED = 128, 50_000, 200_000, 4_000, 1_000
 #: Members of a pigeonhole deal that are held against all of it before they are dealt out; and lines compared last in a task.
-LARGE_DEAL, LINES_A_TASK = 1 << 14, 2_000
+LARGE_DEAL, LINES_A_TASK = 1 << 14, 8_000
 #: Bytes of lines that are hashed at once; a longer line goes alone.
 PIECE = 250_000
 #: Where the sketch begins among the columns that _join takes.
@@ -420,17 +420,22 @@ def _settled(rows: pa.RecordBatch, pairs: list, forest: Forest) -> Iterator[pa.R
         chosen = nth < take
         x, y = i[chosen], j[chosen]
         i, j, take = i[~chosen], j[~chosen], 2 * take
-        for run in _parts(size[x] + size[y], MANY_CHECKED):
+        for many in _parts(size[x] + size[y], MANY_FAR):
             held = now()
-            apart = held[x[run]] != held[y[run]]
-            u, v = x[run][apart], y[run][apart]
+            apart = held[x[many]] != held[y[many]]
+            u, v = x[many][apart], y[many][apart]
             new = [k for k in np.unique(np.concatenate([u, v])).tolist() if k not in lines]
             lines.update(zip(new, map(normal_line, raw.take(pa.array(new, pa.int64())).to_pylist()), strict=True))
-            same = edits.alike([lines[k] for k in u.tolist()], [lines[k] for k in v.tolist()])
-            u, v = u[same], v[same]
-            for one, other in zip(roots[own[u]].tolist(), roots[own[v]].tolist(), strict=True):
-                forest.join(one, other)
-            yield pa.RecordBatch.from_arrays([pa.array(f(node[u], node[v])) for f in (np.minimum, np.maximum)], ["u", "v"])
+            limit = edits.limits([lines[k] for k in u.tolist()], [lines[k] for k in v.tolist()])
+            left = ~edits.apart([lines[k] for k in u.tolist()], [lines[k] for k in v.tolist()], limit)
+            u, v, limit = u[left], v[left], limit[left]
+            for at in range(0, len(u), MANY_CHECKED):
+                held = now() if at else held
+                run = at + np.flatnonzero(held[u[at : at + MANY_CHECKED]] != held[v[at : at + MANY_CHECKED]])
+                same = run[edits.within([lines[k] for k in u[run].tolist()], [lines[k] for k in v[run].tolist()], limit[run])]
+                for one, other in zip(roots[own[u[same]]].tolist(), roots[own[v[same]]].tolist(), strict=True):
+                    forest.join(one, other)
+                yield pa.RecordBatch.from_arrays([pa.array(f(node[u[same]], node[v[same]])) for f in (np.minimum, np.maximum)], ["u", "v"])
 
 
 def _facing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

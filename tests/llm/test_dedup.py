@@ -453,3 +453,31 @@ def test_lines_compared_last_are_shared_by_their_number(spark, monkeypatch):
     base = passage(40)
     line_dedup.duplicate_lines(spark.createDataFrame([(i, " ".join(w if rnd.random() > rnd.choice([0.02, 0.1, 0.25]) else rnd.choice(VOCABULARY) for w in base)) for i in range(60)], "doc_id long, text string"))
     assert len(tasks) == 2 and tasks[1] > 4
+
+
+def test_one_passage_at_different_places_is_refuted_without_letters(monkeypatch):
+    """Such lines have near SimHashes; parts looked up where an alignment can bring them tell them apart, and no alike lines."""
+    compared, exact = [], edits.capped_distances
+    monkeypatch.setattr(edits, "capped_distances", lambda a, b, limit: compared.append(len(a)) or exact(a, b, limit))
+    a, b = [], []
+    for n in (20, 60, 100):
+        for _ in range(20):
+            shared = passage(n)
+            a.append(" ".join([*shared, *passage(n // 2)])), b.append(" ".join([*passage(n // 2), *shared]))
+    assert not edits.alike(a, b).any() and not sum(compared)
+
+
+def test_no_pair_within_its_limit_is_refuted():
+    a, b = [], []
+    for n in (1, 5, 40, 63, 64, 65, 127, 128, 129, 300, 700):
+        for _ in range(40):
+            x = "".join(rnd.choice("abcdefgh \u00e9\u4e00\U0001f600") for _ in range(n))
+            share, moved = rnd.choice([0.01, 0.1, 0.2, 0.4]), rnd.randint(0, n // 4)
+            y = "".join(c if rnd.random() > share else rnd.choice(["", "x", c + c]) for c in x)
+            a.append(x), b.append(rnd.choice([y, y[moved:] + "q" * moved, "q" * moved + y[: n - moved], y[moved:], "q" * moved + y]))
+    exact = np.array([edits.distance(x, y) for x, y in zip(a, b)])
+    for limit in (exact, exact + 3, np.maximum(exact, edits.limits(a, b))):
+        for end in (len(a), 1, 0):
+            assert not edits.apart(a[:end], b[:end], limit[:end]).any()
+    assert not edits.apart(b, a, exact).any() and edits.apart(a, b, np.maximum(exact // 3 - 3, 0)).sum() > 100
+    assert edits.apart(["a" * 5000], ["b" * 5000], np.array([1000])).tolist() == [False]  # left to the comparison
