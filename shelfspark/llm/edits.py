@@ -23,9 +23,8 @@ SIMILARITY = 0.8
 LONG, FEW, TOGETHER, LOOK = 4096, 24, 2048, 16
 #: Bytes of the table of letters' places of pairs that go together, and letters from which each pair has numbers of its own.
 PLACES_BYTES, MANY_KINDS = 12_000_000, 128
-#: Letters of a part, the kinds that letters are folded into there (a power of 2), steps between looks at a part's distance,
-#: and parts and their steps that go together.
-PART, KINDS, EVERY, PARTS_TOGETHER, STEPS_TOGETHER = 64, 64, 4, 4096, 1 << 20
+#: Letters of a part, the kinds that letters are folded into there (a power of 2), and parts and their steps that go together.
+PART, KINDS, PARTS_TOGETHER, STEPS_TOGETHER = 64, 64, 2048, 1 << 20
 _ONE, _ALL = np.uint64(1), ~np.uint64(0)
 
 
@@ -145,7 +144,9 @@ def _in_reach(up: np.ndarray, down: np.ndarray, more: np.ndarray, less: np.ndarr
 
 def _together(a: list, b: list, la: np.ndarray, lb: np.ndarray, limit: np.ndarray, kinds: int) -> np.ndarray:
     """capped_distances of pairs whose second sequences get no longer down the lists; none is empty, all numbers are below kinds."""
-    n, blocks, reach = len(a), -(-int(la.max()) // 64), int(limit.max())
+    n, blocks = len(a), -(-int(la.max()) // 64)
+    # Columns by which a row may be left of or right of the diagonal: an alignment goes there and back within its limit.
+    left, right = (int(((limit + x) // 2).max()) for x in (la - lb, lb - la))
     flat = [np.concatenate(x).astype(np.int64) for x in (a, b)]
     if kinds > MANY_KINDS:
         *flat, kinds = _own_numbers(*flat, la, lb, kinds)
@@ -162,8 +163,8 @@ def _together(a: list, b: list, la: np.ndarray, lb: np.ndarray, limit: np.ndarra
     rise_of = lambda w, some: np.bitwise_count(up[w, some] & within[w, some]).astype(np.int64) - np.bitwise_count(down[w, some] & within[w, some])
     ends = set(lb.tolist())
     for step in range(int(lb[0]) + blocks):  # block w is at column step - w
-        high = min(last, step, (step + reach) // 65)
-        dropped = low if step >= 65 * low + 64 + reach else -1
+        high = min(last, step, (step + left) // 65)
+        dropped = low if step >= 65 * low + 64 + right else -1
         if dropped >= 0:  # out of reach from its column on
             some = slice(0, int(np.searchsorted(-lb, low - step, "right")))
             sums[some] += rise_of(low, some)
@@ -238,10 +239,7 @@ def _folded(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _least(x: np.ndarray, first: np.ndarray, size: np.ndarray, y: np.ndarray, begin: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """For parts of x, of at most PART numbers: no more than their least distance to any run inside a stretch of y.
-
-    The last row of a part's table is looked at every few steps; between them it is at most half as many less.
-    """
+    """For parts of x, of at most PART numbers: no more than their least distance to any run inside a stretch of y."""
     out = np.zeros(len(first), np.int64)
     order = np.argsort(width, kind="stable")
     while len(order):
@@ -256,7 +254,7 @@ def _least(x: np.ndarray, first: np.ndarray, size: np.ndarray, y: np.ndarray, be
         within = _ALL >> (64 - sizes).astype(np.uint64)
         # A stretch shorter than the widest one goes on into what follows, which only makes its part's distance less.
         columns = np.add(np.lib.stride_tricks.sliding_window_view(y, steps)[begin[own]].T, rows, dtype=np.int64, order="C")
-        up, down, least = np.full(fit, _ALL), np.zeros(fit, np.uint64), sizes.astype(np.int16)
+        up, down, least = np.full(fit, _ALL), np.zeros(fit, np.uint64), sizes.astype(np.uint8)
         fall, rise = np.empty(fit, np.uint64), np.empty(fit, np.uint64)
         for step in range(steps):
             match = places.take(columns[step])
@@ -275,9 +273,10 @@ def _least(x: np.ndarray, first: np.ndarray, size: np.ndarray, y: np.ndarray, be
             np.invert(up, out=up)
             up |= fall
             np.bitwise_and(match, rise, out=down)
-            if step % EVERY == EVERY - 1 or step == steps - 1:
-                np.minimum(least, np.bitwise_count(up & within).astype(np.int16) - np.bitwise_count(down & within), out=least)
-        out[own] = np.maximum(least - EVERY // 2, 0)
+            now = np.bitwise_count(up & within)
+            now -= np.bitwise_count(down & within)  # never below 0
+            np.minimum(least, now, out=least)
+        out[own] = least
     return out
 
 

@@ -51,7 +51,7 @@ LINE_COLUMNS = [c.split()[0] for c in LINES.split(", ")]
 MANY_ROWS, MANY_PAIRS, MANY_LETTERS = 50_000, 4_000, 3_000_000
 #: Rows of a group held against all of it at once, pairs whose hashes are compared and pairs gathered together, those
 #: refuted together, and those compared before components are looked up again.
-STRIP, MANY_SHARED, MANY_NEAR, MANY_FAR, MANY_CHECKED = 128, 50_000, 200_000, 4_000, 1_000
+STRIP, MANY_SHARED, MANY_NEAR, MANY_FAR, MANY_CHECKED = 128, 50_000, 200_000, 16_000, 2_000
 #: Members of a pigeonhole deal that are held against all of it before they are dealt out; and lines compared last in a task.
 LARGE_DEAL, LINES_A_TASK = 1 << 14, 8_000
 #: Bytes of lines that are hashed at once; a longer line goes alone.
@@ -380,11 +380,11 @@ def _near_pairs(rows: pa.RecordBatch, own: slice) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
-    """Runs of at most so many entries, and of MANY_LETTERS in sum but for single ones."""
+def _parts(sizes: np.ndarray, most: int, letters: int = MANY_LETTERS) -> Iterator[slice]:
+    """Runs of at most so many entries, and of so many letters in sum but for single ones."""
     sums, at = np.cumsum(sizes), 0
     while at < len(sizes):
-        upto = int(np.searchsorted(sums, (sums[at - 1] if at else 0) + MANY_LETTERS, "right"))
+        upto = int(np.searchsorted(sums, (sums[at - 1] if at else 0) + letters, "right"))
         end = min(max(upto, at + 1), at + most)
         yield slice(at, end)
         at = end
@@ -420,7 +420,7 @@ def _settled(rows: pa.RecordBatch, pairs: list, forest: Forest) -> Iterator[pa.R
         chosen = nth < take
         x, y = i[chosen], j[chosen]
         i, j, take = i[~chosen], j[~chosen], 2 * take
-        for many in _parts(size[x] + size[y], MANY_FAR):
+        for many in _parts(size[x] + size[y], MANY_FAR, 4 * MANY_LETTERS):
             held = now()
             apart = held[x[many]] != held[y[many]]
             u, v = x[many][apart], y[many][apart]
@@ -429,9 +429,9 @@ def _settled(rows: pa.RecordBatch, pairs: list, forest: Forest) -> Iterator[pa.R
             limit = edits.limits([lines[k] for k in u.tolist()], [lines[k] for k in v.tolist()])
             left = ~edits.apart([lines[k] for k in u.tolist()], [lines[k] for k in v.tolist()], limit)
             u, v, limit = u[left], v[left], limit[left]
-            for at in range(0, len(u), MANY_CHECKED):
-                held = now() if at else held
-                run = at + np.flatnonzero(held[u[at : at + MANY_CHECKED]] != held[v[at : at + MANY_CHECKED]])
+            for some in _parts(size[u] + size[v], MANY_CHECKED):
+                held = now() if some.start else held
+                run = some.start + np.flatnonzero(held[u[some]] != held[v[some]])
                 same = run[edits.within([lines[k] for k in u[run].tolist()], [lines[k] for k in v[run].tolist()], limit[run])]
                 for one, other in zip(roots[own[u[same]]].tolist(), roots[own[v[same]]].tolist(), strict=True):
                     forest.join(one, other)
